@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,9 @@ WHITE = " \t\n\x0b\x0c\r"
 #: The same class for Java regular expressions.
 WHITE_RE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch that Spark hands to Python.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once a session, however the driver came by it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_oriel_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="oriel-ship-")) / "oriel.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in root.rglob("*.py"):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._oriel_shipped = True
+
+
 class Workspace:
     """Intermediate results as parquet tables in the shared folder.
 
@@ -45,6 +64,9 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/oriel-{label}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
+        ship(spark)
+        # rows differ a thousandfold in size: batches for Python are bounded by bytes, not rows
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         atexit.register(self._clear)
 
     def path(self, name: str) -> str:
@@ -55,14 +77,17 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[name] = path
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Let shuffle files of finished jobs go, which wait for the JVM to collect the plans that made them."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):
                 self._delete(path)
-        # shuffle files go once the JVM has collected the plans that made them
-        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

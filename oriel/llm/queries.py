@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, quality
+from . import linededup, mixing, packing, quality, urlfilter, warc
 from .common import table
 from .hyperminhash import NearDup, near_duplicates
 
@@ -33,13 +33,21 @@ def op4_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.Mix()).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__n_removed").alias("n_removed"), F.col("__n_runs").alias("n_runs"), "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op7_url_filters, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
