@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, mixing, packing, quality, urlfilter, warc
+from . import ann, linededup, mixing, packing, quality, substring, urlfilter, warc
 from .common import table
 from .hyperminhash import NearDup, near_duplicates
 
@@ -46,13 +46,18 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"), ann.Spann(k=10))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.substring_dedup(table(spark, sf_dir, "documents"), substring.Repeats(length=50))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__n_removed").alias("n_removed"), F.col("__n_runs").alias("n_runs"), "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op7_url_filters, op8_nearest_neighbours, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op7_url_filters, op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
