@@ -325,3 +325,9 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
     )
+
+
+def keep_first(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are their component's first, with all their columns; null ids stay."""
+    others = near_duplicates(docs, rule, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(others, docs[id_col].cast("long") == F.col("__gone"), "left_anti")

@@ -182,3 +182,21 @@ def mix(docs: DataFrame, rule: Mix = Mix(), id_col: str = "doc_id", text_col: st
         "doc_id", F.when(F.col("key") != "", F.expr("substring(key, 2)")).alias("source"), "size", "source_size", "target",
         (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies",
     )
+
+
+def mixed(docs: DataFrame, rule: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the documents' rows and columns, each row as often as the mix holds it."""
+    turns = mix(docs, rule, id_col, text_col, source_col)
+    alike = turns.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    alike = Workspace(docs.sparkSession, "mixed").keep(alike.agg(F.sort_array(F.collect_list("copies")).alias("__copies")), "turns")
+    rows = docs.select(F.struct("*").alias("__row"))
+    rows = rows.withColumn("__size", word_count(F.col("__row").getField(text_col).cast("string")))
+    same = F.col("__row").getField(id_col).eqNullSafe(F.col("__id")) & F.col("__row").getField(source_col).cast("string").eqNullSafe(F.col("__source"))
+    rows = rows.join(alike.withColumnRenamed("__size", "__n"), same & (F.col("__size") == F.col("__n")))
+    if alike.where(F.size("__copies") > 1).limit(1).count():  # rows alike take their turns in any order
+        rank = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy("__n"))
+        rows = rows.withColumn("__k", rank)
+    else:
+        rows = rows.withColumn("__k", F.lit(1))
+    copies = F.expr("__copies[__k - 1]")
+    return rows.where(copies > 0).select("__row", F.explode(F.expr("sequence(1, __copies[__k - 1])")).alias("__turn")).select("__row.*")

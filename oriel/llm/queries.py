@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, mixing, packing, quality, substring, urlfilter, warc
+from . import ann, htmlextract, linededup, mixing, packing, quality, substring, urlfilter, warc
 from .common import table
 from .hyperminhash import NearDup, near_duplicates
 
@@ -37,6 +37,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op7_url_filters, op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op6_html_extraction, op7_url_filters, op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
