@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import BYTE_CODE, POWERS, Workspace, in_groups, mix64, text_slices
 
 LOW6 = np.uint64(63)
+#: Bytes of input for each bucket of grams and each block of documents.
+BUCKET_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
+#: Bytes that one suffix array is built over, but for a single gram's segments.
+ARRAY_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -396,20 +400,27 @@ def _removals(rule: Repeats, blocks: int):
         keys[: len(usable)] = usable
         keys[~inside] = ~np.uint64(0)
         gram = np.minimum.reduceat(keys, begins)
-        kinds, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
+        inverse, count = np.unique(gram, return_inverse=True, return_counts=True)[1:]
         chosen = np.flatnonzero(count[inverse] > 1)  # grams with different segments
-        if len(chosen):
-            n = sizes[chosen]
-            take = np.repeat(begins[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        chosen = chosen[np.argsort(inverse[chosen], kind="stable")]
+        # grams are independent: arrays over runs of whole grams, of bounded size
+        weight = np.cumsum(sizes[chosen])
+        turn = np.flatnonzero(np.diff(inverse[chosen])) + 1
+        turn = turn[np.diff(weight[turn - 1] // ARRAY_BYTES, prepend=0) != 0] if len(turn) else turn
+        for some in np.split(chosen, turn):
+            if not len(some):
+                continue
+            n = sizes[some]
+            take = np.repeat(begins[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
             array = SuffixArray(text[take], np.cumsum(n), rule.length)
-            owner = np.repeat(chosen, n)
+            owner = np.repeat(some, n)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             for repeat in array.repeats():
                 who = owner[repeat.starts]
                 low = first[who].min()
+                slot = at[who] + inner[repeat.starts]
                 for k in range(repeat.length - rule.length + 1):
-                    slot = at[who] + inner[repeat.starts] + k
-                    np.minimum.at(least, slot, low)
+                    least[slot + k] = np.minimum(least[slot + k], low)
         # occurrences: windows whose first document is an earlier one
         n = windows[which]
         slot = np.repeat(at[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -486,10 +497,11 @@ def substring_dedup(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "d
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "substring")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, blocks = 8 * parts, 2 * parts
     src = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     named = src.where("d is not null")
+    # both follow the input, so what a task holds does not
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets, blocks = max(48, size // BUCKET_BYTES), max(24, size // BLOCK_BYTES)
     grams = named.where(F.octet_length("text") >= rule.length).mapInArrow(_grams(rule, buckets), "bucket int, blob binary, tags binary")
     grams = grams.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     partners = ws.keep(grams.mapInArrow(_partners(blocks), "block int, bucket int, blob binary"), "partners")
