@@ -146,4 +146,7 @@ def keep_good(docs: DataFrame, version: str = "v1", text_col: str = "text") -> D
     """The documents a policy keeps, with all their columns."""
     mask = F.lit(POLICIES[version] | BASE)
     judged = measured(docs.select(F.struct("*").alias("__row"), F.col(text_col).cast("string").alias("__text")), F.col("__text"))
-    return judged.where(failure_bits().bitwiseAND(mask) == 0).select("__row.*")
+    # a number that depends on the row's place keeps the optimiser from pulling the measurements, each of
+    # which the rules name many times, into the condition
+    judged = judged.select("__row", (failure_bits().bitwiseAND(mask) == 0).alias("__ok"), F.monotonically_increasing_id().alias("__at"))
+    return judged.where("__ok and __at >= 0").select("__row.*")
