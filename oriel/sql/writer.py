@@ -468,7 +468,7 @@ class Writer:
             (joins if len(b.tables) > 1 and isinstance(p, t.Binary) and p.op == "=" and isinstance(p.left, t.Name) and isinstance(p.right, t.Name) else where).append(p)
         alias = self.alias_of(b.tables[0]) if len(b.tables) == 1 else ""
         self.scopes.append(self.scope(b.tables))
-        source = f"SELECT * FROM {self.tables(b.tables)}" + (f" WHERE {self.expr(all_of(joins))}" if joins else "")
+        source = f"SELECT *, xxhash64(struct(*)) AS `__id` FROM {self.tables(b.tables)}" + (f" WHERE {self.expr(all_of(joins))}" if joins else "")
         roots: list[Any] = []
         paths: list[t.Call] = []
         whole = [b.items, where, q.order if q else []]
@@ -481,8 +481,8 @@ class Writer:
         siblings = q.order if q is not None and q.siblings else []
         row = alias or base
         at = lambda e: self.expr(e)
-        first = [f"{quoted(row)}.*", "1 AS `level`", f"array(xxhash64(struct({quoted(row)}.*))) AS `__seen`"]
-        again = [f"{quoted(row)}.*", f"{h}.`level` + 1", f"array_append({h}.`__seen`, xxhash64(struct({quoted(row)}.*)))"]
+        first = [f"{quoted(row)}.*", "1 AS `level`", f"array({quoted(row)}.`__id`) AS `__seen`"]
+        again = [f"{quoted(row)}.*", f"{h}.`level` + 1", f"array_append({h}.`__seen`, {quoted(row)}.`__id`)"]
         for i, e in enumerate(roots):
             first.append(f"{at(e)} AS `__root{i}`")
             again.append(f"{h}.`__root{i}`")
@@ -500,7 +500,7 @@ class Writer:
         link = self.expr(b.connect)
         self.hierarchy.pop()
         if b.nocycle:
-            link += f" AND NOT array_contains({h}.`__seen`, xxhash64(struct({quoted(row)}.*)))"
+            link += f" AND NOT array_contains({h}.`__seen`, {quoted(row)}.`__id`)"
         self.scopes.pop()
         # the result is read from the tree under the table's own name
         self.scopes.append({(alias or h).lower(): None})
@@ -531,7 +531,7 @@ class Writer:
     def tree_item(self, i: t.Item, own: str, sorted_: bool) -> str:
         if isinstance(i.expr, t.Star):
             h = self.hierarchy[-1]
-            hide = ["`level`", "`__seen`", *(f"`__root{k}`" for k in range(len(h["roots"]))), *(f"`__path{k}`" for k in range(len(h["paths"]))), *(["`__sort`"] if sorted_ else [])]
+            hide = ["`level`", "`__id`", "`__seen`", *(f"`__root{k}`" for k in range(len(h["roots"]))), *(f"`__path{k}`" for k in range(len(h["paths"]))), *(["`__sort`"] if sorted_ else [])]
             return f"* EXCEPT ({', '.join(hide)})"
         return self.item(i)
 
@@ -584,9 +584,8 @@ class Writer:
     def _name(self, e: t.Name) -> str:
         parts = e.parts
         low = ".".join(parts).lower()
-        for swap in reversed(self.swaps):
-            if low in swap:
-                return swap[low]
+        if self.swaps and low in self.swaps[-1]:
+            return self.swaps[-1][low]
         if len(parts) == 1 and self.column(parts) is None:
             up = parts[0].upper()
             if low in self.names:
@@ -655,7 +654,7 @@ class Writer:
         if op == "MOD":
             return f"({a} % {b})"
         if op == "AT TIME ZONE":
-            return f"convert_timezone({b}, {a})" if self.is_ntz(e.left) is False else f"from_utc_timestamp({a}, {b})"
+            return f"from_utc_timestamp({a}, {b})" if self.is_ntz(e.left) is False else f"convert_timezone(current_timezone(), {b}, {a})"
         if op == "COLLATE":
             return f"collate({a}, '{self.collation(e.right)}')"
         if op == "[]":
