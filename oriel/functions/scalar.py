@@ -187,7 +187,7 @@ def _json_object(w, call: t.Call) -> str:
 
 
 def _json_array(w, call: t.Call) -> str:
-    return f"concat('[', array_join(array({', '.join(w.json_scalar(a) for a in call.args)}), ','), ']')"
+    return f"concat('[', array_join(array({', '.join(w.json_scalar(a, call.named.get('absent', True)) for a in call.args)}), ','), ']')"
 
 
 def _json_arrayagg(w, call: t.Call) -> str:

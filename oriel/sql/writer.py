@@ -857,11 +857,15 @@ class Writer:
         rows = f"collect_list(struct({keys} AS k, {x} AS x))"
         return f"array_{up.lower()}(transform(filter({rows}, r -> r.k = array_{pick}(transform({rows}, s -> s.k))), r -> r.x))"
 
-    def json_scalar(self, e: Any) -> str:
+    def json_scalar(self, e: Any, absent: bool = True) -> str:
+        """A value as JSON text; a null is left out unless NULL ON NULL is said."""
         if isinstance(e, t.Call) and e.parts[-1].upper().startswith("JSON_"):
             return self.expr(e)
+        if isinstance(e, t.Lit) and e.kind == "null":
+            return "cast(NULL AS STRING)" if absent else "'null'"
         x = self.expr(e)
-        return f"coalesce(substring(to_json(named_struct('a', {x})), 6, length(to_json(named_struct('a', {x}))) - 6), 'null')"
+        text = f"to_json(named_struct('a', {x}))"
+        return f"CASE WHEN {x} IS NULL THEN {'NULL' if absent else self.string('null')} ELSE substring({text}, 6, length({text}) - 6) END"
 
     # collections
 
