@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -167,6 +168,15 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iter
         a = b
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: a worker process outlives its task and idles beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (multiply and shift, as in public splitmix generators)."""
     x = x ^ (x >> np.uint64(30))
@@ -202,11 +212,12 @@ IS_WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
-def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, 64-bit hash) of each word, in order; words end at document bounds."""
+def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, 64-bit hash) of each word, in order; words end at document bounds."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64)
     solid = ~IS_WHITE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -220,4 +231,10 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_CODE[data] * up[:n], out=total[1:])
         words = mix64((total[ends] - total[starts]) * down[starts])
+    return starts, ends, words
+
+
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, 64-bit hash) of each word, in order."""
+    starts, _, words = word_spans(offsets, data)
     return np.searchsorted(offsets, starts, "right") - 1, words

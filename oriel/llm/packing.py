@@ -11,18 +11,19 @@ The outcome is that of packing document by document, at any number of them.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, in_batches
+from .common import Workspace, in_batches, text_slices, trim, word_spans
 
 #: Places that the pieces of one length are dealt to when they are ranked.
 BUCKETS = 1024
@@ -36,7 +37,7 @@ class Packing:
     capacity: int = 4096
     end_id: int = 1
     #: Distinct words whose ids a task remembers.
-    remembered: int = 200_000
+    remembered: int = 1_500_000
 
 
 class Capacities:
@@ -107,60 +108,86 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
 
 
 class WordIds:
-    """Token ids by word: a tokenizer that never looks across white space needs each distinct word once."""
+    """Token ids by word: a tokenizer that never looks across white space needs each distinct word once.
+
+    Words are known by a 64-bit hash, in sorted arrays, so the memory holds a
+    word in some thirty bytes; it is emptied when it is full.
+    """
 
     def __init__(self, path: str, remembered: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, offsets of each text in them)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        words = pc.split_pattern_regex(texts, r"[\x20\x09-\x0D]+")
-        flat, ends = words.values, words.offsets.to_numpy()
-        coded = flat.dictionary_encode()
-        index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
-            new, self.known = distinct, {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in distinct]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        bank = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[index]
-        total = np.concatenate([[0], np.cumsum(n)])
-        out = bank[np.repeat(starts[index] - total[:-1], n) + np.arange(total[-1])]
-        return out, total[ends]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bank = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            e = self.tokenizer.encode(words[at : at + 20_000], is_pretokenized=True, add_special_tokens=False)
+            ids, part = np.array(e.ids, np.uint32), hashes[at : at + 20_000]
+            sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
+            if self.used + len(ids) > len(self.bank):
+                self.bank = np.concatenate([self.bank, np.zeros(max(len(self.bank), len(ids)), np.uint32)])
+            self.bank[self.used : self.used + len(ids)] = ids
+            where = np.searchsorted(self.hashes, part)
+            self.hashes = np.insert(self.hashes, where, part)
+            self.starts = np.insert(self.starts, where, self.used + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, where, sizes)
+            self.used += len(ids)
+
+    def __call__(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents of a run in a row, offsets of each document in them)."""
+        first, last, hashes = word_spans(offsets, data)
+        distinct, example, index = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != distinct[inside]
+        if len(self.hashes) + new.sum() > self.remembered:
+            self._forget()
+            new[:] = True
+        if new.any():
+            raw = data.tobytes()
+            spans = zip(first[example[new]].tolist(), last[example[new]].tolist())
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in spans])
+        at = np.searchsorted(self.hashes, distinct)[index]
+        starts, sizes = self.starts[at], self.sizes[at]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.bank[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+        return ids, total[np.searchsorted(first, offsets)]
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str, remembered: int) -> WordIds:
+    """One memory a worker process, which outlives its tasks."""
+    return WordIds(path, remembered)
 
 
 def _pieces(rule: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids = WordIds(rule.tokenizer, rule.remembered)
+        encode = word_ids(rule.tokenizer, rule.remembered)
         kinds = {"doc_id": pa.int64(), "row": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-            weights = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-            a = 0
-            while a < batch.num_rows:  # runs of rows of about 2 MB
-                b = max(a + 1, int(np.searchsorted(weights, (weights[a - 1] if a else 0) + (2 << 20), "right")))
-                part = batch.slice(a, b - a)
-                ids, at = word_ids(part.column("text"))
-                for i, (d, t) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("row").to_pylist())):
+            docs, names = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+            for first, n, offsets, data in text_slices(batch, "text"):
+                ids, at = encode(offsets, data)
+                for i in range(n):
                     own = np.append(ids[at[i] : at[i + 1]], np.uint32(rule.end_id)).astype("<u4")
                     for k, s in enumerate(range(0, len(own), rule.capacity)):
                         cut = own[s : s + rule.capacity]
-                        yield d, t, k, s, len(cut), zlib.crc32(cut.tobytes())
-                a = b
+                        yield docs[first + i], names[first + i], k, s, len(cut), zlib.crc32(cut)
 
         for batch in batches:
             yield from in_batches(kinds, rows(batch))
+        trim()
 
     return run
 
