@@ -480,7 +480,14 @@ class Writer:
                 paths.append(c)
         siblings = q.order if q is not None and q.siblings else []
         row = alias or base
-        at = lambda e: self.expr(e)
+
+        def at(e: Any) -> str:
+            """An expression over the table's own row; the tree's row has columns of the same names."""
+            self.hierarchy.append({"prior": h, "row": row})
+            out = self.expr(e)
+            self.hierarchy.pop()
+            return out
+
         first = [f"{quoted(row)}.*", "1 AS `level`", f"array({quoted(row)}.`__id`) AS `__seen`"]
         again = [f"{quoted(row)}.*", f"{h}.`level` + 1", f"array_append({h}.`__seen`, {quoted(row)}.`__id`)"]
         for i, e in enumerate(roots):
@@ -496,9 +503,7 @@ class Writer:
             first.append(f"array({keys}) AS `__sort`")
             again.append(f"array_append({h}.`__sort`, {keys})")
         start = f" WHERE {self.expr(b.start)}" if b.start is not None else ""
-        self.hierarchy.append({"prior": h})
-        link = self.expr(b.connect)
-        self.hierarchy.pop()
+        link = at(b.connect)
         if b.nocycle:
             link += f" AND NOT array_contains({h}.`__seen`, {quoted(row)}.`__id`)"
         self.scopes.pop()
@@ -597,8 +602,12 @@ class Writer:
                 return self.is_leaf()
             if up in SHORT_CALLS:
                 return fn.TEMPLATES[up] if up in fn.TEMPLATES else "current_date()"
+            if self.hierarchy and "row" in self.hierarchy[-1]:
+                return f"{quoted(self.hierarchy[-1]['row'])}.{quoted(parts[0])}"
             if up == "ROWNUM":
                 return "row_number() OVER (ORDER BY monotonically_increasing_id())"
+        if len(parts) == 1 and self.hierarchy and "row" in self.hierarchy[-1]:
+            return f"{quoted(self.hierarchy[-1]['row'])}.{quoted(parts[0])}"
         if len(parts) > 1 and parts[-1].upper() in METHODS and self.collection(t.Name(parts[:-1])):
             return self.method(t.Name(parts[:-1]), parts[-1].upper(), [])
         if len(parts) > 1 and low in self.names:
