@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -70,6 +71,8 @@ class Catalog:
     types: dict[tuple[str, str], T.DataType | CollectionType] = field(default_factory=dict)
     functions: dict[tuple[str, str], str] = field(default_factory=dict)
     constraints: dict[tuple[str, str], list] = field(default_factory=dict)
+    #: Relations that are opened when a query first names them.
+    loaders: dict[tuple[str, str], Callable[[], DataFrame]] = field(default_factory=dict)
 
     def add_table(self, name: str, df: DataFrame) -> None:
         schema, table = split_name(name)
@@ -86,7 +89,14 @@ class Catalog:
         schema, short = split_name(name)
         self.types[schema or self.schema, short] = kind
 
+    def add_loader(self, name: str, load: Callable[[], DataFrame]) -> None:
+        schema, table = split_name(name)
+        self.loaders[schema or self.schema, table] = load
+
     def relation(self, schema: str, name: str) -> DataFrame | None:
+        key = (schema, name)
+        if key not in self.tables and key not in self.views and key in self.loaders:
+            self.tables[key] = self.loaders[key]()
         return self.tables.get((schema, name), self.views.get((schema, name)))
 
     def resolve(self, name: str) -> tuple[str, str]:

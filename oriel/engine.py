@@ -38,7 +38,7 @@ class Engine:
         """An engine over parquet tables of a folder."""
         out = cls(spark)
         for name in tables:
-            out.catalog.add_table(name, spark.read.parquet(f"{folder}/{name}.parquet"))
+            out.catalog.add_loader(name, lambda name=name: spark.read.parquet(f"{folder}/{name}.parquet"))
         return out
 
     def view_of(self, schema: str, name: str) -> str:

@@ -30,7 +30,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 
     out.catalog.add_type("t_numbers", CollectionType("T_NUMBERS", T.LongType()))
     out.catalog.add_type("t_small", CollectionType("T_SMALL", T.LongType(), limit=10))
-    out.catalog.add_view("v_big_orders", out.sql("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000"))
+    out.catalog.add_loader("v_big_orders", lambda: out.sql("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000"))
     return out
 
 
