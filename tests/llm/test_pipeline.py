@@ -7,6 +7,8 @@ import public_tokenizers
 from oriel.llm import hyperminhash, quality
 from tokenizers import Tokenizer
 
+from .helpers import corpus
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -44,3 +46,13 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns[:3] == ["doc_id", "piece", "start"]
+
+
+def test_stages_bear_awkward_rows(spark):
+    rows = [(i, t, "en", s, len(t or "")) for i, t, s in corpus()] + [(None, "a row without an id and many other words " * 9, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema) if name != "best_fit_packing" else stage(spark, docs, SF)
+        assert docs.columns[:3] == ["doc_id", "piece", "start"]
+        docs.collect()
