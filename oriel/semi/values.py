@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +62,3 @@ def object_tuple(column: Column, kind: T.StructType) -> Column:
             text = F.concat(F.lit('"'), F.replace(F.replace(v.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
         parts.append(F.coalesce(text, F.lit("")))
     return F.when(column.isNotNull(), F.concat(F.lit("("), F.concat_ws(",", *parts), F.lit(")")))
-
-
-def snake(name: str) -> str:
-    return re.sub(r"\W+", "_", name).lower()
