@@ -21,7 +21,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch that Spark hands to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,7 +145,7 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, offsets, bytes) of runs of rows of about ``most`` bytes; a null text is empty.
 
     One text longer than ``most`` makes a run of its own; texts are never cut.
@@ -197,7 +197,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 19)
             with np.errstate(over="ignore"):
                 for name, b in (("up", self.base), ("down", self.inverse)):
                     p = np.full(n, b, np.uint64)

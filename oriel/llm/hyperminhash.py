@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Workspace, in_groups, mix64, text_slices, word_hashes
+from .common import LOWER, Workspace, in_groups, mix64, text_slices, trim, word_hashes
 from .components import components
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
@@ -34,8 +34,8 @@ REST_BITS = 64 - BUCKET_BITS
 #: Registers are 16 bits wide, so a band of four is one 64-bit word: 32 bands.
 ROWS_PER_BAND = 4
 BANDS = BUCKETS // ROWS_PER_BAND
-#: Rows of a bucket that one block of the second round holds.
-BLOCK = 256
+#: Bytes of shingle sets that either side of a block of the second round holds.
+BLOCK_BYTES = 6 << 20
 
 
 @dataclass(frozen=True)
@@ -142,6 +142,7 @@ def _sign(rule: NearDup):
                     ],
                     names=["doc_id", "n", "key", "sig", "bands"],
                 )
+        trim()
 
     return run
 
@@ -159,6 +160,7 @@ def _sets(rule: NearDup):
                     ],
                     names=["doc_id", "key", "members"],
                 )
+        trim()
 
     return run
 
@@ -194,6 +196,7 @@ def _confirm(rule: NearDup):
                 for x, y in zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist())
             ]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        trim()
 
     return run
 
@@ -233,6 +236,7 @@ def _blocks(rule: NearDup):
             out = list(links(group))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+        trim()
 
     return run
 
@@ -283,23 +287,16 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     links = ws.keep(likely.join(full("u"), "u").join(full("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(rule), "u long, v long"), "links")
     roots = ws.keep(components(ws, links, "first"), "roots")
 
-    # round 2: what its bucket still holds apart, against the whole bucket in blocks
+    # round 2: what its bucket still holds apart, against the whole bucket in blocks of bounded bytes
     rows = shared.where("size > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "head", F.coalesce("root", "rep").alias("comp"))
     apart = rows.groupBy("bucket").agg(
-        F.min("comp").alias("low"),
-        F.max("comp").alias("high"),
-        F.min(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("main"),
-        F.count(F.lit(1)).alias("all"),
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("main")
     )
-    rows = rows.join(apart.where("low <> high"), "bucket").withColumn("other", F.col("comp") != F.col("main"))
-    others = rows.groupBy("bucket").agg(F.sum(F.col("other").cast("long")).alias("rest"))
-    rows = ws.keep(
-        rows.join(others, "bucket").select(
-            "bucket", "rep", "comp", "other",
-            F.ceil(F.col("all") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("rest") / BLOCK).cast("int").alias("ny"),
-        ),
-        "rows",
-    )
+    rows = rows.join(apart.where("low <> high"), "bucket").join(lean.select("rep", "n"), "rep")
+    rows = rows.select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("other"), (8 * F.col("n") + 2 * BUCKETS).alias("bytes"))
+    blocks = lambda b: F.ceil(F.greatest(F.sum(b), F.lit(1)) / BLOCK_BYTES).cast("int")
+    sizes = rows.groupBy("bucket").agg(blocks(F.col("bytes")).alias("nx"), blocks(F.when(F.col("other"), F.col("bytes"))).alias("ny"))
+    rows = ws.keep(rows.drop("bytes").join(sizes, "bucket"), "rows")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = (
