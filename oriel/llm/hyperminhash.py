@@ -263,9 +263,9 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
         "classes",
     )
     banded = ws.keep(
-        classes.select("rep", F.posexplode("bands").alias("band", "value"))
+        classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
         .where("value <> 0")
-        .select("rep", F.xxhash64("band", "value").alias("bucket")),
+        .select("rep", "n", F.xxhash64("band", "value").alias("bucket")),
         "banded",
     )
     heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -288,22 +288,22 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     roots = ws.keep(components(ws, links, "first"), "roots")
 
     # round 2: what its bucket still holds apart, against the whole bucket in blocks of bounded bytes
-    rows = shared.where("size > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "head", F.coalesce("root", "rep").alias("comp"))
+    rows = shared.where("size > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "head", F.coalesce("root", "rep").alias("comp"))
     apart = rows.groupBy("bucket").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("main")
     )
-    rows = rows.join(apart.where("low <> high"), "bucket").join(lean.select("rep", "n"), "rep")
+    rows = rows.join(apart.where("low <> high"), "bucket")
     rows = rows.select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("other"), (8 * F.col("n") + 2 * BUCKETS).alias("bytes"))
     blocks = lambda b: F.ceil(F.greatest(F.sum(b), F.lit(1)) / BLOCK_BYTES).cast("int")
     sizes = rows.groupBy("bucket").agg(blocks(F.col("bytes")).alias("nx"), blocks(F.when(F.col("other"), F.col("bytes"))).alias("ny"))
     rows = ws.keep(rows.drop("bytes").join(sizes, "bucket"), "rows")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    facts = ws.keep(by_rep.join(lean, "rep"), "facts")
     dealt = (
         rows.select("bucket", "rep", "comp", F.lit(0).alias("side"), place("nx").alias("x"), every("ny").alias("y"))
         .unionByName(rows.where("other").select("bucket", "rep", "comp", F.lit(1).alias("side"), place("ny").alias("y"), every("nx").alias("x")))
-        .join(lean, "rep")
-        .join(by_rep, "rep")
+        .join(facts, "rep")
         .repartition(F.col("bucket"), F.col("x"), F.col("y"))
         .sortWithinPartitions("bucket", "x", "y")
     )
