@@ -14,7 +14,7 @@ q("scan_comma_join", "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.
 q("scan_view", "SELECT o_orderkey, o_totalprice FROM v_big_orders WHERE o_custkey > 100", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_custkey > 100")
 q("scan_subquery", "SELECT d.o_orderstatus, d.total FROM (SELECT o_orderstatus, COUNT(*) AS total FROM orders GROUP BY o_orderstatus) d")
 q("scan_lateral", "SELECT n.n_name, x.c FROM nation n, LATERAL (SELECT COUNT(*) AS c FROM customer c WHERE c.c_nationkey = n.n_nationkey) x")
-q("scan_unnest", "SELECT e.vec_id, t.column_value AS v FROM embeddings e, TABLE(e.embedding) t WHERE e.vec_id < 10", "SELECT vec_id, unnest(embedding) AS v FROM embeddings WHERE vec_id < 10")
+q("scan_unnest", "SELECT e.vec_id, t.column_value AS v FROM embeddings e, TABLE(e.embedding) t", "SELECT vec_id, unnest(embedding) AS v FROM embeddings")
 q("scan_json_table", "SELECT e.event_id, j.k FROM events e, JSON_TABLE(e.props, '$' COLUMNS (k INTEGER PATH '$.k')) j", "SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events")
 q("scan_sample", "SELECT o_orderkey FROM orders SAMPLE (10) SEED (42)", rows_only=True)
 q("scan_dual", "SELECT 1 AS one, 'x' AS x FROM dual", "SELECT 1 AS one, 'x' AS x")
@@ -28,7 +28,7 @@ q("pred_and_or", "SELECT c_custkey FROM customer WHERE (c_acctbal > 5000 AND c_m
 q("pred_not", "SELECT c_custkey FROM customer WHERE NOT (c_acctbal > 0)")
 q("pred_is_null", "SELECT c_custkey FROM customer WHERE NULLIF(c_mktsegment, 'BUILDING') IS NULL AND c_name IS NOT NULL")
 q("pred_is_nan", "SELECT c_custkey FROM customer WHERE c_acctbal IS NOT NAN AND c_acctbal < 0", "SELECT c_custkey FROM customer WHERE NOT isnan(c_acctbal) AND c_acctbal < 0")
-q("pred_is_empty", "SELECT vec_id FROM embeddings e WHERE e.embedding IS NOT EMPTY AND vec_id < 20", "SELECT vec_id FROM embeddings WHERE len(embedding) > 0 AND vec_id < 20")
+q("pred_is_empty", "SELECT vec_id FROM embeddings e WHERE e.embedding IS NOT EMPTY", "SELECT vec_id FROM embeddings WHERE len(embedding) > 0")
 q("pred_compare", "SELECT o_orderkey FROM orders WHERE o_orderstatus ^= 'F' AND o_totalprice >= 1000 AND o_custkey != 7", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice >= 1000 AND o_custkey <> 7")
 q("pred_in_list", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('P')")
 q("pred_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -42,17 +42,17 @@ q("pred_not_exists", "SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELEC
 q("pred_any", "SELECT o_orderkey FROM orders WHERE o_custkey = ANY (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND o_totalprice > SOME (100000, 200000)", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND o_totalprice > 100000")
 q("pred_all", "SELECT o_orderkey FROM orders WHERE o_totalprice > ALL (SELECT o_totalprice FROM orders WHERE o_orderstatus = 'P')")
 q("pred_scalar_subquery", "SELECT c.c_custkey, (SELECT MAX(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c")
-q("expr_arith", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount) + l_tax / 2, 4) AS x FROM lineitem WHERE l_orderkey < 100")
+q("expr_arith", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice * (1 - l_discount) + l_tax / 2, 4) AS x FROM lineitem")
 q("expr_mod_pow", "SELECT n_nationkey MOD 7 AS m, 2 ** 3 AS p, MOD(n_nationkey, 4) AS k FROM nation", "SELECT n_nationkey % 7 AS m, power(2, 3)::DOUBLE AS p, n_nationkey % 4 AS k FROM nation")
 q("expr_concat", "SELECT n_name || '-' || NULLIF(n_name, 'NATION_3') AS c FROM nation")
 q("expr_unary_minus", "SELECT -ABS(c_acctbal) AS neg, +c_custkey AS pos FROM customer")
-q("expr_at_time_zone", "SELECT o_orderkey, o_orderdate AT TIME ZONE 'Asia/Tokyo' AS tokyo FROM orders WHERE o_orderkey < 50", "SELECT o_orderkey, o_orderdate + INTERVAL 9 HOUR AS tokyo FROM orders WHERE o_orderkey < 50")
+q("expr_at_time_zone", "SELECT o_orderkey, o_orderdate AT TIME ZONE 'Asia/Tokyo' AS tokyo FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 9 HOUR AS tokyo FROM orders")
 q("expr_collate", "SELECT c_custkey FROM customer WHERE LOWER(c_mktsegment) COLLATE BINARY_CI = 'BUILDING'", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'")
 q("expr_interval", "SELECT o_orderkey FROM orders WHERE o_orderdate < DATE '1995-01-31' + INTERVAL '3' DAY")
 q("expr_case_searched", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS size_class FROM orders")
 q("expr_case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders")
 q("expr_literals", "SELECT 1 AS i, 'it''s' AS s, TRUE AS b, NULLIF(1, 1) AS n, q'[a'b]' AS qs FROM dual", "SELECT 1 AS i, 'it''s' AS s, TRUE AS b, NULLIF(1, 1) AS n, 'a''b' AS qs")
-q("expr_dates", "SELECT o_orderkey, o_orderdate + 30 AS later, o_orderdate - DATE '1990-01-01' AS days FROM orders WHERE o_orderkey < 200", "SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS later, (epoch(o_orderdate) - epoch(TIMESTAMP '1990-01-01'))::DOUBLE / 86400 AS days FROM orders WHERE o_orderkey < 200")
+q("expr_dates", "SELECT o_orderkey, o_orderdate + 30 AS later, o_orderdate - DATE '1990-01-01' AS days FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS later, (epoch(o_orderdate) - epoch(TIMESTAMP '1990-01-01'))::DOUBLE / 86400 AS days FROM orders")
 # joins
 q("join_inner", "SELECT c.c_name, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey")
 q("join_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT OUTER JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 250000")
@@ -86,7 +86,7 @@ q("agg_regr", "SELECT ROUND(REGR_SLOPE(l_extendedprice, l_quantity), 4) AS slope
 q("agg_percentile", "SELECT o_orderstatus, ROUND(PERCENTILE_CONT(0.9) WITHIN GROUP (ORDER BY o_totalprice), 4) AS p90, PERCENTILE_DISC(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS p50 FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, ROUND(quantile_cont(o_totalprice, 0.9), 4) AS p90, quantile_disc(o_totalprice, 0.5) AS p50 FROM orders GROUP BY o_orderstatus")
 q("agg_collect", "SELECT n_regionkey, COLLECT(n_nationkey) AS ks FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS ks FROM nation GROUP BY n_regionkey")
 q("agg_wm_concat", "SELECT r_regionkey, WM_CONCAT(r_name) AS names FROM region GROUP BY r_regionkey", "SELECT r_regionkey, r_name AS names FROM region")
-q("agg_json", "SELECT n_regionkey, JSON_ARRAYAGG(n_nationkey ORDER BY n_nationkey) AS a, JSON_OBJECTAGG(KEY n_name VALUE n_nationkey) AS o FROM nation WHERE n_nationkey < 10 GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) || ']' AS a, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS o FROM nation WHERE n_nationkey < 10 GROUP BY n_regionkey")
+q("agg_json", "SELECT n_regionkey, JSON_ARRAYAGG(n_nationkey ORDER BY n_nationkey) AS a, JSON_OBJECTAGG(KEY n_name VALUE n_nationkey) AS o FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) || ']' AS a, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS o FROM nation GROUP BY n_regionkey")
 q("agg_keep", "SELECT o_custkey, MIN(o_totalprice) KEEP (DENSE_RANK FIRST ORDER BY o_orderdate) AS first_price FROM orders GROUP BY o_custkey", "SELECT o_custkey, MIN(o_totalprice) AS first_price FROM orders o WHERE o_orderdate = (SELECT MIN(o_orderdate) FROM orders i WHERE i.o_custkey = o.o_custkey) GROUP BY o_custkey")
 # windows
 W = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
@@ -130,4 +130,4 @@ q("cte_search_depth", f"WITH e AS ({TREE}), t(id, nm, lvl) AS (SELECT id, nm, 1
 q("cte_with_function", "WITH FUNCTION twice(x NUMBER) RETURN BINARY_DOUBLE IS BEGIN RETURN x * 2; END; SELECT n_nationkey, twice(n_nationkey) AS d FROM nation", "SELECT n_nationkey, CAST(n_nationkey * 2 AS DOUBLE) AS d FROM nation")
 q("hier_connect_by", f"SELECT e.id, LEVEL AS lvl, CONNECT_BY_ROOT e.nm AS root, SYS_CONNECT_BY_PATH(e.nm, '/') AS path, CONNECT_BY_ISLEAF AS leaf FROM ({TREE}) e START WITH e.boss IS NULL CONNECT BY NOCYCLE PRIOR e.id = e.boss ORDER SIBLINGS BY e.nm", f"WITH RECURSIVE e AS ({TREE}), h AS (SELECT id, 1 AS lvl, nm AS root, '/' || nm AS path FROM e WHERE boss IS NULL UNION ALL SELECT e.id, h.lvl + 1, h.root, h.path || '/' || e.nm FROM e JOIN h ON e.boss = h.id) SELECT id, lvl, root, path, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.boss = h.id) THEN 0 ELSE 1 END AS leaf FROM h")
 q("pivot_basic", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (COUNT(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS o, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
-q("unpivot_basic", "SELECT l_orderkey, l_linenumber, what, v FROM (SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem WHERE l_orderkey < 100) UNPIVOT (v FOR what IN (l_tax AS 'tax', l_discount AS 'disc'))", "SELECT l_orderkey, l_linenumber, 'tax' AS what, l_tax AS v FROM lineitem WHERE l_orderkey < 100 UNION ALL SELECT l_orderkey, l_linenumber, 'disc', l_discount FROM lineitem WHERE l_orderkey < 100")
+q("unpivot_basic", "SELECT l_orderkey, l_linenumber, what, v FROM (SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem) UNPIVOT (v FOR what IN (l_tax AS 'tax', l_discount AS 'disc'))", "SELECT l_orderkey, l_linenumber, 'tax' AS what, l_tax AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'disc', l_discount FROM lineitem")
