@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier place has; what has lost all its words goes."""
-    out = linededup.line_dedup(docs)
+    out = linededup.line_dedup(docs, linededup.CORPUS)
     emptied = (F.col("__n_removed") > 0) & (word_count(F.col("text")) == 0)
     out = out.where(~emptied).drop("__n_removed", "__n_runs")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,7 +2,8 @@
 
 Each window of consecutive lines selects its least line hash as fingerprint, so
 every repeated run of ``window`` lines has a fingerprint in common with its
-first occurrence.  A line of ``long_words`` words or more is a window by itself.
+first occurrence.  A line of ``long_words`` words or more is a window by itself;
+one of ``short_words`` or more is where exact counts show that it recurs.
 Positions are joined on the fingerprint and the window around it, each with the
 earliest one; adjoining matches merge, are extended line by line in both
 directions as long as both places agree, and the later place's lines go.
@@ -24,10 +25,20 @@ SALT = 16
 
 @dataclass(frozen=True)
 class Winnow:
-    """Lines in a window, and the words from which one line counts as a window."""
+    """Lines in a window, and the words from which one line counts as a window.
+
+    Shorter lines of ``short_words`` words or more (0: none) count as windows too if they have
+    ``places`` places in all and these are in two documents at least.
+    """
 
     window: int = 3
     long_words: int = 10
+    short_words: int = 0
+    places: int = 3
+
+
+#: For corpora: lines of a few words that come again and again, such as notices, go as well.
+CORPUS = Winnow(short_words=3)
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,16 +63,18 @@ def repeated_lines(docs: DataFrame, rule: Winnow = Winnow(), id_col: str = "doc_
     sketch = ws.keep(_sketch(docs, id_col, text_col), "sketch")
     key = ", ".join(f"h[i + {j}]" for j in range(t))
     runs = F.expr(
-        f"if(size(h) < {t}, cast(array() as array<struct<k:int,n:int,f:bigint,key:bigint>>), transform(sequence(0, greatest(size(h), {t}) - {t}), i ->"
-        f" named_struct('k', i, 'n', {t}, 'f', array_min(slice(h, i + 1, {t})), 'key', xxhash64({key}))))"
+        f"if(size(h) < {t}, cast(array() as array<struct<k:int,n:int,f:bigint,key:bigint,short:boolean>>), transform(sequence(0, greatest(size(h), {t}) - {t}), i ->"
+        f" named_struct('k', i, 'n', {t}, 'f', array_min(slice(h, i + 1, {t})), 'key', xxhash64({key}), 'short', false)))"
     )
+    least = min(rule.short_words or rule.long_words, rule.long_words)
     single = F.expr(
-        f"transform(filter(sequence(0, size(h) - 1), i -> w[i] >= {rule.long_words}), i -> named_struct('k', i, 'n', 1, 'f', h[i], 'key', h[i]))"
+        f"transform(filter(sequence(0, size(h) - 1), i -> w[i] >= {least}), i -> named_struct('k', i, 'n', 1, 'f', h[i], 'key', h[i], 'short', w[i] < {rule.long_words}))"
     )
     windows = sketch.where(F.size("h") > 0).select("d", "th", F.explode(F.concat(runs, single)).alias("x")).select("d", "th", "x.*")
     windows = ws.keep(windows, "windows")
-    firsts = windows.groupBy("f", "key", "n").agg(F.min(F.struct("d", "th", "k")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    hits = windows.join(firsts, ["f", "key", "n"]).where(F.struct("d", "th", "k") > F.col("p"))
+    firsts = windows.groupBy("f", "key", "n", "short").agg(F.min(F.struct("d", "th", "k")).alias("p"), F.max(F.struct("d", "th")).alias("last"), F.count(F.lit(1)).alias("c"))
+    firsts = firsts.where("c > 1").where(~F.col("short") | (F.col("c") >= rule.places) & (F.struct("p.d", "p.th") < F.col("last"))).drop("short", "last", "c")
+    hits = windows.drop("short").join(firsts, ["f", "key", "n"]).where(F.struct("d", "th", "k") > F.col("p"))
     hits = hits.select("d", "th", "k", "n", F.col("p.d").alias("pd"), F.col("p.th").alias("pth"), (F.col("k") - F.col("p.k")).alias("shift"))
 
     # windows of one document, partner and shift that adjoin or overlap are one run
