@@ -4,9 +4,9 @@ A document's size is its number of words.  Sources share a budget by weight;
 what a source cannot use is shared among the others.  Whole rounds over a
 source fill its target as far as they go; for the rest, documents are counted by
 exact length, most of the budget is filled in proportion to those counts, and
-a bounded-knapsack dynamic program over lengths finds what remains, so a source
-meets its target to the word wherever its lengths allow.  Which documents of a
-length are taken is decided by a seeded hash.
+a bounded-knapsack dynamic program over lengths fills what remains as well as the
+lengths still open allow, however long they are.  Which documents of a length are
+taken is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -34,19 +34,23 @@ class Mix:
     share: float = 1.5
     most: int = 2
     seed: int = 7
-    #: Budget up to which the dynamic program runs, in words; what lies above is filled before.
+    #: Budget up to which the dynamic program runs, in words, or twice the longest document that
+    #: fits where that is more; what lies above is filled before.
     table: int = 1 << 16
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to ``budget`` as
-    possible from below.  Lengths are distinct and positive; no count is exceeded."""
+    """How many documents of each length to take so that their words come near to ``budget`` from below.
+    After the proportional fill, the rest is met as nearly as possible; no document left out would still
+    fit.  Lengths are distinct and positive; no count is exceeded."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
     taken = counts * max(budget, 0) // max(total, 1)  # the same share of each length
     left = budget - int((lengths * taken).sum())
+    # long documents compete too: twice the longest that still fits goes into the table
+    table = max(table, 2 * int(lengths[(lengths <= left) & (counts > taken)].max(initial=0)))
     # down to the table: longest first, one document at a time of each length
     for i in np.argsort(-lengths):
         if left <= table:
@@ -60,7 +64,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int) -> np.
         n = min(int(counts[i] - taken[i]), (left - table) // int(lengths[i]))
         taken[i] += n
         left -= n * int(lengths[i])
-    top = min(left, table)
+    top = left  # by now less than the table and one document
     if top <= 0:
         return taken
     # bounded knapsack: copies of a length in binary bundles; a bit for each reachable sum
