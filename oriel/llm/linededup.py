@@ -1,11 +1,10 @@
-"""Repeated runs of lines by winnowing over line hashes, in DataFrame functions only.
+"""Repeated runs of lines by hashes of line windows, in DataFrame functions only.
 
-Each window of consecutive lines selects its least line hash as fingerprint, so
-every repeated run of ``window`` lines has a fingerprint in common with its
-first occurrence.  A line of ``long_words`` words or more is a window by itself;
+Every window of ``window`` consecutive lines is joined, under its least line hash and the
+hash of all its lines; the least hash follows from the window and thins nothing out.  So
+every repeated run of ``window`` lines meets its first occurrence.  A line of ``long_words`` words or more is a window by itself;
 one of ``short_words`` or more is where exact counts show that it recurs.
-Positions are joined on the fingerprint and the window around it, each with the
-earliest one; adjoining matches merge, are extended line by line in both
+Each window is joined with the earliest place that has it; adjoining matches merge, are extended line by line in both
 directions as long as both places agree, and the later place's lines go.
 """
 
