@@ -54,7 +54,8 @@ def measured(df: DataFrame, text: Column) -> DataFrame:
     df = df.withColumn("__trim", F.trim("__t", blank))
     df = df.withColumn("__w", F.when(F.col("__trim") == "", F.array().cast("array<string>")).otherwise(F.split("__trim", WHITE_RE, -1)))
     df = df.withColumn("__l", F.filter(F.split("__t", "\n", -1), lambda x: F.trim(x, blank) != ""))
-    # three-word windows as (hash << b | start), b bits for the start: a primitive sort brings equal windows together
+    # three-word windows as (hash << b | start), b bits for the start: a primitive sort brings equal windows together.
+    # What is left of the hash only says where to look: neighbours count as equal if their words are.
     df = df.withColumn("__n", F.size("__w")).withColumn("__b", F.length(F.bin(F.col("__n").cast("long"))))
     df = df.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
     df = df.withColumn(
@@ -64,13 +65,16 @@ def measured(df: DataFrame, text: Column) -> DataFrame:
             " i -> coalesce(shiftleft(xxhash64(__h[i], __h[i + 1], __h[i + 2]), __b) | cast(i as bigint), 0L))))"
         ),
     )
-    df = df.withColumn(
-        "__r",
-        F.expr(
-            "sort_array(transform(filter(__g, (x, i) -> (i > 0 and shiftright(__g[i - 1], __b) = shiftright(x, __b))"
-            " or (i < __n - 3 and shiftright(__g[i + 1], __b) = shiftright(x, __b))), x -> x & (shiftleft(1L, __b) - 1)))"
-        ),
-    )
+    start = lambda x: f"cast({x} & (shiftleft(1L, __b) - 1) as int)"
+
+    def equal(step: int) -> str:
+        other = f"get(__g, i + {step})"
+        words = " and ".join(f"get(__w, {start(other)} + {k}) = get(__w, {start('x')} + {k})" for k in range(3))
+        return f"(shiftright({other}, __b) = shiftright(x, __b) and {words})"
+
+    # two to each side: a window of other words with the same rest of a hash may lie between
+    near = " or ".join(equal(step) for step in (-1, 1, -2, 2))
+    df = df.withColumn("__r", F.expr(f"sort_array(transform(filter(__g, (x, i) -> {near}), x -> x & (shiftleft(1L, __b) - 1)))"))
     covered = F.expr(
         "aggregate(__r, named_struct('at', -3L, 'n', 0L), (s, x) -> named_struct('at', x, 'n', s.n + least(3L, x - s.at)), s -> s.n)"
     )
