@@ -3,7 +3,7 @@
 A document's size is its number of words.  Sources share a budget by weight;
 what a source cannot use is shared among the others.  Whole rounds over a
 source fill its target as far as they go; for the rest, documents are counted by
-exact length, most of the budget is filled in proportion to those counts, and
+exact length, what exceeds the program's table is filled in proportion to those counts, and
 a bounded-knapsack dynamic program over lengths fills what remains as well as the
 lengths still open allow, however long they are.  Which documents of a length are
 taken is decided by a seeded hash.
@@ -41,16 +41,17 @@ class Mix:
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, table: int) -> np.ndarray:
     """How many documents of each length to take so that their words come near to ``budget`` from below.
-    After the proportional fill, the rest is met as nearly as possible; no document left out would still
-    fit.  Lengths are distinct and positive; no count is exceeded."""
+    A budget of up to ``table`` words, or twice the longest length that fits, is met as nearly as any choice can;
+    above that a proportional fill comes first, and the rest is met as nearly as what it leaves allows.
+    No document left out would still fit.  Lengths are distinct and positive; no count is exceeded."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = counts * max(budget, 0) // max(total, 1)  # the same share of each length
+    # long documents compete too: twice the longest that fits is left to the table, so budgets up to that are met exactly
+    table = max(table, 2 * int(lengths[lengths <= budget].max(initial=0)))
+    taken = counts * max(budget - table, 0) // max(total, 1)  # the same share of each length
     left = budget - int((lengths * taken).sum())
-    # long documents compete too: twice the longest that still fits goes into the table
-    table = max(table, 2 * int(lengths[(lengths <= left) & (counts > taken)].max(initial=0)))
     # down to the table: longest first, one document at a time of each length
     for i in np.argsort(-lengths):
         if left <= table:
@@ -197,8 +198,9 @@ def mixed(docs: DataFrame, rule: Mix = Mix(), id_col: str = "doc_id", text_col:
     rows = rows.withColumn("__size", word_count(F.col("__row").getField(text_col).cast("string")))
     same = F.col("__row").getField(id_col).eqNullSafe(F.col("__id")) & F.col("__row").getField(source_col).cast("string").eqNullSafe(F.col("__source"))
     rows = rows.join(alike.withColumnRenamed("__size", "__n"), same & (F.col("__size") == F.col("__n")))
-    if alike.where(F.size("__copies") > 1).limit(1).count():  # rows alike take their turns in any order
-        rank = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy("__n"))
+    if alike.where(F.size("__copies") > 1).limit(1).count():  # rows alike take their turns by their texts
+        text = F.col("__row").getField(text_col).cast("string")
+        rank = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy(F.xxhash64(text), text))
         rows = rows.withColumn("__k", rank)
     else:
         rows = rows.withColumn("__k", F.lit(1))
