@@ -1,25 +1,29 @@
-"""Repeated runs of lines by hashes of line windows, in DataFrame functions only.
-
-Every window of ``window`` consecutive lines is joined, under its least line hash and the
-hash of all its lines; the least hash follows from the window and thins nothing out.  So
-every repeated run of ``window`` lines meets its first occurrence.  A line of ``long_words`` words or more is a window by itself;
-one of ``short_words`` or more is where exact counts show that it recurs.
-Each window is joined with the earliest place that has it; adjoining matches merge, are extended line by line in both
-directions as long as both places agree, and the later place's lines go.
+"""Repeated runs of lines by winnowing over line hashes, in DataFrame functions only.
+
+Of every ``window`` consecutive lines the least hash selects a position, so two equal
+runs of that length select the same line; a document's selected positions are its
+fingerprints, about half as many as its windows.  Fingerprints are joined on their hash: one
+that the corpus has once drops its windows at once.  The windows of those that recur are verified against all their
+lines and find the earliest place that has them.  A line of ``long_words`` words or more is a fingerprint and
+a window by itself; one of ``short_words`` or more is where exact counts show that it recurs.
+Adjoining matches merge, are extended line by line in both directions up to the first line in which
+the places differ, and the later place's lines go.  Lines count as equal if two independent 64-bit hashes of them are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import WHITE, Workspace, word_count
 
-#: Copies of a partner's lines, so that the runs that name one partner spread over as many tasks.
-SALT = 16
+#: Runs that name one partner and are extended beside one copy of its lines.
+RUNS_BESIDE = 512
+#: Lines that are compared before all that remain, most runs being short.
+STEP = 8
 
 
 @dataclass(frozen=True)
@@ -41,14 +45,34 @@ CORPUS = Winnow(short_words=3)
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document: place, hash and words of every line that has a word."""
+    """Per document: place, two hashes and words of every line that has a word."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     src = src.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("t").alias("th"), F.split("t", "\n", -1).alias("raw"))
     lines = F.filter(
-        F.transform("raw", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.trim(x, F.lit(WHITE)).alias("s"))), lambda x: x.s != ""
+        F.transform("raw", lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.trim(x, F.lit(WHITE)).alias("s"))),
+        lambda x: x.s != "",
     )
     src = src.select("d", "th", lines.alias("ls"))
-    return src.select("d", "th", F.col("ls.at").alias("at"), F.col("ls.h").alias("h"), F.transform("ls", lambda x: word_count(x.s)).alias("w")).dropDuplicates(["d", "th"])
+    words = F.transform("ls", lambda x: word_count(x.s))
+    return src.select("d", "th", F.col("ls.at").alias("at"), F.col("ls.h").alias("h"), F.col("ls.g").alias("g"), words.alias("w")).dropDuplicates(["d", "th"])
+
+
+def _selected(t: int) -> str:
+    """The line that the window from line i selects: the last of its least hashes."""
+    return f"i + {t} - cast(array_position(reverse(slice(h, i + 1, {t})), array_min(slice(h, i + 1, {t}))) as int)"
+
+
+def _starts(t: int) -> str:
+    return f"if(size(h) < {t}, cast(array() as array<int>), sequence(0, greatest(size(h), {t}) - {t}))"
+
+
+def fingerprints(sketch: DataFrame, rule: Winnow) -> DataFrame:
+    """(d, th, k, h, picked, w): lines that a window selects (``picked``), and those that are long enough to count alone."""
+    least = min(rule.short_words or rule.long_words, rule.long_words)
+    picks = sketch.where(F.size("h") > 0).withColumn("picks", F.expr(f"array_distinct(transform({_starts(rule.window)}, i -> {_selected(rule.window)}))"))
+    alone = F.expr(f"filter(sequence(0, size(h) - 1), k -> w[k] >= {least})")
+    rows = picks.select("d", "th", "h", "w", "picks", F.explode(F.array_union("picks", alone)).alias("k"))
+    return rows.select("d", "th", "k", F.expr("h[k]").alias("h"), F.array_contains("picks", F.col("k")).alias("picked"), F.expr("w[k]").alias("w"))
 
 
 def repeated_lines(docs: DataFrame, rule: Winnow = Winnow(), id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
@@ -59,22 +83,26 @@ def repeated_lines(docs: DataFrame, rule: Winnow = Winnow(), id_col: str = "doc_
     """
     ws = ws or Workspace(docs.sparkSession, "lines")
     t = rule.window
-    sketch = ws.keep(_sketch(docs, id_col, text_col), "sketch")
-    key = ", ".join(f"h[i + {j}]" for j in range(t))
-    runs = F.expr(
-        f"if(size(h) < {t}, cast(array() as array<struct<k:int,n:int,f:bigint,key:bigint,short:boolean>>), transform(sequence(0, greatest(size(h), {t}) - {t}), i ->"
-        f" named_struct('k', i, 'n', {t}, 'f', array_min(slice(h, i + 1, {t})), 'key', xxhash64({key}), 'short', false)))"
-    )
     least = min(rule.short_words or rule.long_words, rule.long_words)
-    single = F.expr(
-        f"transform(filter(sequence(0, size(h) - 1), i -> w[i] >= {least}), i -> named_struct('k', i, 'n', 1, 'f', h[i], 'key', h[i], 'short', w[i] < {rule.long_words}))"
-    )
-    windows = sketch.where(F.size("h") > 0).select("d", "th", F.explode(F.concat(runs, single)).alias("x")).select("d", "th", "x.*")
-    windows = ws.keep(windows, "windows")
-    firsts = windows.groupBy("f", "key", "n", "short").agg(F.min(F.struct("d", "th", "k")).alias("p"), F.max(F.struct("d", "th")).alias("last"), F.count(F.lit(1)).alias("c"))
-    firsts = firsts.where("c > 1").where(~F.col("short") | (F.col("c") >= rule.places) & (F.struct("p.d", "p.th") < F.col("last"))).drop("short", "last", "c")
-    hits = windows.drop("short").join(firsts, ["f", "key", "n"]).where(F.struct("d", "th", "k") > F.col("p"))
-    hits = hits.select("d", "th", "k", "n", F.col("p.d").alias("pd"), F.col("p.th").alias("pth"), (F.col("k") - F.col("p.k")).alias("shift"))
+    sketch = ws.keep(_sketch(docs, id_col, text_col), "sketch")
+    prints = ws.keep(fingerprints(sketch, rule), "prints")
+    known = prints.groupBy("h").agg(F.min(F.struct("d", "th", "k")).alias("p"), F.max(F.struct("d", "th")).alias("last"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = ws.keep(prints.join(known, "h"), "shared")
+
+    # lines that count alone: all their places are fingerprints, so the earliest is known
+    recurs = (F.col("w") >= rule.long_words) | (F.col("c") >= rule.places) & (F.struct("p.d", "p.th") < F.col("last"))
+    alone = shared.where((F.col("w") >= least) & recurs & (F.struct("d", "th", "k") > F.col("p")))
+    place = ["d", "th", "k", "n", "pd", "pth", "shift"]
+    alone = alone.select("d", "th", "k", F.lit(1).alias("n"), F.col("p.d").alias("pd"), F.col("p.th").alias("pth"), (F.col("k") - F.col("p.k")).alias("shift"))
+    # windows whose selected line recurs, each with the earliest that has all its lines
+    ours = shared.where("picked").groupBy("d", "th").agg(F.collect_set("k").alias("ks")).join(sketch.select("d", "th", "h", "g"), ["d", "th"])
+    key = lambda c: f"array({', '.join(f'{c}[i + {j}]' for j in range(t))})"
+    starts = F.expr(f"transform(filter({_starts(t)}, i -> array_contains(ks, {_selected(t)})), i -> named_struct('k', i, 'hs', {key('h')}, 'gs', {key('g')}))")
+    windows = ws.keep(ours.select("d", "th", F.explode(starts).alias("x")).select("d", "th", "x.*"), "windows")
+    firsts = windows.groupBy("hs", "gs").agg(F.min(F.struct("d", "th", "k")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    hits = windows.join(firsts, ["hs", "gs"]).where(F.struct("d", "th", "k") > F.col("p"))
+    hits = hits.select("d", "th", "k", F.lit(t).alias("n"), F.col("p.d").alias("pd"), F.col("p.th").alias("pth"), (F.col("k") - F.col("p.k")).alias("shift"))
+    hits = hits.select(place).unionByName(alone.select(place))
 
     # windows of one document, partner and shift that adjoin or overlap are one run
     along = Window.partitionBy("d", "th", "pd", "pth", "shift").orderBy("k", "n")
@@ -82,16 +110,24 @@ def repeated_lines(docs: DataFrame, rule: Winnow = Winnow(), id_col: str = "doc_
     hits = hits.withColumn("run", F.sum(F.when(F.col("k") <= F.col("reach"), 0).otherwise(1)).over(along))
     runs = hits.groupBy("d", "th", "pd", "pth", "shift", "run").agg(F.min("k").alias("a"), F.max(F.col("k") + F.col("n")).alias("z")).drop("run")
     runs = ws.keep(runs, "runs")
-
-    # both ways, while the lines before and after agree
-    partners = sketch.select(F.col("d").alias("pd"), F.col("th").alias("pth"), F.col("h").alias("ph"))
-    partners = partners.join(runs.select("pd", "pth").distinct(), ["pd", "pth"], "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    own = runs.withColumn("salt", F.pmod(F.xxhash64("d", "th"), F.lit(SALT)).cast("int")).join(partners, ["pd", "pth", "salt"]).drop("pd", "pth", "salt")
-    own = own.join(sketch.select("d", "th", "h", "at"), ["d", "th"])
+    ws.drop("prints", "shared", "windows")
+
+    # both ways, up to the first line in which the places differ; a partner's lines are copied once for so many runs
+    named = runs.groupBy("pd", "pth").agg(F.ceil(F.count(F.lit(1)) / RUNS_BESIDE).cast("int").alias("beside"))
+    partners = sketch.select(F.col("d").alias("pd"), F.col("th").alias("pth"), F.col("h").alias("ph"), F.col("g").alias("pg")).join(named, ["pd", "pth"])
+    partners = partners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("beside") - 1))).drop("beside")
+    own = runs.join(named, ["pd", "pth"]).withColumn("salt", F.pmod(F.xxhash64("d", "th", "shift"), F.col("beside")).cast("int")).drop("beside")
+    own = own.join(partners, ["pd", "pth", "salt"]).drop("pd", "pth", "salt")
+    own = own.join(sketch.select("d", "th", "h", "g", "at"), ["d", "th"])
     own = own.withColumns({"room_a": F.least("a", F.col("a") - F.col("shift")), "room_z": F.least(F.size("h") - F.col("z"), F.size("ph") - (F.col("z") - F.col("shift")))})
-    back = F.expr("if(room_a < 1, 0, coalesce(array_min(filter(sequence(1, greatest(room_a, 1)), i -> h[a - i] <> ph[a - shift - i])) - 1, room_a))")
-    onward = F.expr("if(room_z < 1, 0, coalesce(array_min(filter(sequence(0, greatest(room_z, 1) - 1), i -> h[z + i] <> ph[z - shift + i])), room_z))")
-    own = own.withColumns({"back": back.cast("int"), "onward": onward.cast("int")})
+
+    def agree(room: str, mine: str, theirs: str) -> Column:
+        """Lines, counted from 1, before the first that differs: looked for in the first few, then in all."""
+        first = lambda most: f"array_min(filter(sequence(1, greatest({most}, 1)), i -> h[{mine}] <> ph[{theirs}] or g[{mine}] <> pg[{theirs}]))"
+        found = f"coalesce({first(f'least({room}, {STEP})')}, if({room} > {STEP}, {first(room)}, null))"
+        return F.expr(f"if({room} < 1, 0, coalesce({found} - 1, {room}))").cast("int")
+
+    own = own.withColumns({"back": agree("room_a", "a - i", "a - shift - i"), "onward": agree("room_z", "z + i - 1", "z - shift + i - 1")})
     spans = own.select("d", "th", F.expr("slice(at, a - back + 1, z + onward - a + back)").alias("places"))
     return spans.groupBy("d", "th").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("gone"), F.count(F.lit(1)).alias("n_runs"))
 
@@ -104,8 +140,10 @@ def line_dedup(docs: DataFrame, rule: Winnow = Winnow(), id_col: str = "doc_id",
     repeated run keep their text byte for byte, null texts stay null, and no row
     is dropped, not even one that has lost all its lines.  Of equal places the one with
     the smallest (doc_id, text hash, line) stays; a null id sorts first.
-    Lines without a word are never removed and never part of a run.
+    Lines without a word are never removed and never part of a run.  Columns of the
+    documents that are named like the two that are added are replaced by them.
     """
+    docs = docs.drop("__n_removed", "__n_runs")
     gone = repeated_lines(docs, rule, id_col, text_col)
     text = F.col("__row").getField(text_col).cast("string")
     rows = docs.select(F.struct("*").alias("__row"))
