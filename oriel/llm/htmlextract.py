@@ -33,7 +33,7 @@ CONTENT = frozenset("article content post entry main story body text page blog n
 
 def features(nodes: list[Node]) -> np.ndarray:
     """One row a node, parents before children."""
-    rows = np.zeros((len(nodes), len(TAGS) + 26))
+    rows = np.zeros((len(nodes), len(TAGS) + 28))
     index = {id(n): i for i, n in enumerate(nodes)}
     total = max(nodes[0].chars, 1)
     for i, n in enumerate(nodes):
@@ -72,6 +72,8 @@ def features(nodes: list[Node]) -> np.ndarray:
             r[k + 23] = before.link_chars / max(before.chars, 1) if before is not None else -1
         r[k + 24] = sum(c.tag == "p" for c in n.children)
         r[k + 25] = n.chars / max(n.words, 1)
+        r[k + 26] = n.inline
+        r[k + 27] = "-" in n.tag
     return rows
 
 
@@ -109,12 +111,13 @@ class Pages:
     def words(self, low: int, high: int, stop: bool = True) -> str:
         letters = "etaoinshrdlucmfwypvbg"
         n = int(self.r.integers(low, high + 1))
-        out = ["".join(letters[int(self.r.integers(len(letters)))] for _ in range(int(self.r.integers(1, 11)))) for _ in range(n)]
-        for i in range(len(out)):
-            if self.r.random() < 0.1:
-                out[i] += ","
-            if self.r.random() < 0.1:
-                out[i] += ".%&#*!?"[int(self.r.integers(7))] * int(self.r.integers(1, 4))
+        ends = np.cumsum(self.r.integers(1, 11, n)).tolist()
+        run = "".join(letters[i] for i in self.r.integers(len(letters), size=ends[-1] if ends else 0).tolist())
+        out = [run[a:z] for a, z in zip([0, *ends], ends)]
+        for i in np.flatnonzero(self.r.random(n) < 0.1).tolist():
+            out[i] += ","
+        for i in np.flatnonzero(self.r.random(n) < 0.1).tolist():
+            out[i] += ".%&#*!?"[int(self.r.integers(7))] * int(self.r.integers(1, 4))
         text = " ".join(out).capitalize()
         return text.replace("&", "&amp;") + ("." if stop else "")
 
@@ -130,6 +133,8 @@ class Pages:
             kind = self.r.random()
             size = (1, 3) if self.r.random() < 0.2 else (8, 40) if self.r.random() < 0.4 else (30, 150)
             text = self.words(*size)
+            if self.r.random() < 0.2:
+                text += f" {self.inline()} {self.words(2, 12)}"
             if self.r.random() < 0.25:
                 text += f' <a href="/x">{self.words(1, 4, False)}</a> {self.words(3, 12)}'
             if kind < 0.78:
@@ -151,7 +156,19 @@ class Pages:
                 out.append(self.form())
         return "".join(out)
 
+    def inline(self) -> str:
+        """Inline elements with attributes: most belong to the text, adverts do not."""
+        m, text = self.MARK, self.words(1, 8, False)
+        if self.r.random() < 0.35:
+            cls = self.pick("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "inline-ad", "advertisement", "banner")
+            return self.pick(f'<span class="{cls}">{text}</span>', f'<a class="{cls}" href="/b">{text}</a>', f'<em id="{cls}">{text}</em>', f'<ins class="{cls}">{text}</ins>')
+        cls = self.pick("highlight", "term", "name", "quote", "caps", "lead", "note-ref", "author", "date", "link", "external", "keyword", "small")
+        return self.pick(f'<span class="{cls}">{m}{text}</span>', f'<a class="{cls}" href="/x">{m}{text}</a>', f'<em class="{cls}">{m}{text}</em>', f'<strong id="{cls}">{m}{text}</strong>')
+
     def advert(self) -> str:
+        if self.r.random() < 0.15:
+            tag = self.pick("custom-ad", "ad-banner", "x-promo", "amp-ad", "sponsored-box")
+            return f"<{tag}>{self.pick('<p>', '<div>', '')}{self.words(2, 25)}</{tag}>"
         cls = self.pick("ad", "ads", "advert", "advertisement", "ad-slot", "banner", "sponsored", "promo", "ad-banner top")
         return self.pick(f'<div class="{cls}">{self.words(3, 25)}</div>', f'<div id="{cls}"><p>{self.words(3, 25)}</p></div>', f'<aside class="{cls}"><a href="/b">{self.words(2, 9)}</a></aside>', f'<section class="{cls}"><h3>{self.words(1, 4, False)}</h3><p>{self.words(4, 30)}</p></section>')
 

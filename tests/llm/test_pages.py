@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import time
 import zlib
 
 import numpy as np
@@ -184,3 +185,24 @@ def test_few_and_no_vectors(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1, 0.5)]
     none = vectors(spark, [])
     assert ann.search(none, none).count() == 0
+
+
+@pytest.mark.parametrize(
+    "make",
+    [lambda n: "<a " * n, lambda n: '<a "' * (2 * n + 1) + ">x", lambda n: "<div>" * n, lambda n: "<table><td><p><td>" + "<x><div>" * n, lambda n: "<b>a" * n, lambda n: "<span class=a>a" * n, lambda n: "a<b>b</b>" * n],
+)
+def test_hostile_pages_take_time_in_proportion(make):
+    def seconds(n):
+        page = make(n)
+        began = time.perf_counter()
+        root = parse(page)
+        htmlextract.blocks(root, {id(x) for x in walk(root)})
+        return time.perf_counter() - began
+
+    assert seconds(32_000) < 16 * max(seconds(8_000), 0.02)
+
+
+def test_inline_adverts_go_and_marked_words_stay(model):
+    story = "This is a long story, with commas and much sense in it, that goes on for quite a while."
+    page = f'<body><article><h1>A story of some length</h1><p>{story} <span class="ad">BUY NOW</span> {story} <span class="term">Marked words</span> end it.</p><custom-ad><p>promo here</p></custom-ad><p>{story}</p></article><footer>nobody</footer></body>'
+    assert htmlextract.texts([page], model) == [f"A story of some length\n{story} {story} Marked words end it.\n{story}"]
