@@ -3,8 +3,12 @@
 Pattern rules are indexed by their rarest literal token, the one that fewest
 URLs hold.  A URL's distinct tokens fetch candidate rules by an equi-join, and
 only candidates run their regular expression.  A verdict depends on nothing but
-the URL, so URLs are judged once each, however many rows hold them.  Host rules with a path
-prefix are looked up by every parent domain of the host; the longest fit wins.
+the URL, so URLs are judged once each, however many rows hold them.  Host rules with a
+path prefix are indexed by host: every distinct host looks up itself and its parent
+domains by an equi-join, and of its rules the longest that fits the path wins.
+
+Rules are tables, read from files or given as tuples; those of at most
+``BROADCAST_BYTES`` are broadcast, larger ones are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -12,12 +16,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Most rules that are broadcast; larger tables are joined by a shuffle.
-BROADCAST_RULES = 20_000
+from .common import Workspace
+
+#: Bytes of text in a rule table that is broadcast; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 TOKEN = r"[a-z0-9]+"
 
 
@@ -55,7 +60,7 @@ PATTERN_RULES = (
     PatternRule("block", r"://([^/?#]*\.)?cheap-pills?\.", ("cheap",)),
     PatternRule("block", r"://([^/?#]*\.)?spam-[a-z0-9-]+\.", ("spam",)),
     PatternRule("block", r"://([^/?#]*\.)?adult-[a-z0-9-]+\.", ("adult",)),
-    PatternRule("block", r"://([^/?#]*\.)?(xxx|porn)[.-]", ("xxx",)),
+    PatternRule("block", r"://([^/?#]*\.)?xxx[.-]", ("xxx",)),
     PatternRule("block", r"://([^/?#]*\.)?porn[.-]", ("porn",)),
     PatternRule("block", r"[?&/]doubleclick[/.=]", ("doubleclick",)),
     PatternRule("allow", r"://([^/?#]*\.)?spam-(policy|report)\.", ("spam",)),
@@ -72,36 +77,72 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), path
 
 
-def _host_rule(host: Column, path: Column, rules: tuple[HostRule, ...]) -> Column:
-    """The longest rule that fits a host or a parent of it and starts its path, as (name, verdict)."""
-    out = F.lit(None).cast("struct<name:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: (len(r.host), len(r.path))):  # later ones, being longer, win
-        fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
-        out = F.when(fits, F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
-    return out
+def host_table(spark: SparkSession, rules: tuple[HostRule, ...] | DataFrame) -> DataFrame:
+    """(host, path, verdict) of host rules."""
+    if isinstance(rules, DataFrame):
+        return rules.select("host", F.coalesce("path", F.lit("/")).alias("path"), "verdict")
+    return _literal(spark, ("host", "path", "verdict"), [(r.host, r.path, r.verdict) for r in rules])
+
+
+def pattern_table(spark: SparkSession, rules: tuple[PatternRule, ...] | DataFrame) -> DataFrame:
+    """(pattern, verdict, token), a row for each token of each rule; a rule without literal tokens is refused."""
+    if isinstance(rules, DataFrame):
+        bad = F.coalesce(F.size("tokens") < 1, F.lit(True)) | F.exists("tokens", lambda t: ~F.coalesce(t.rlike(f"^{TOKEN}$"), F.lit(False)))
+        checked = F.when(bad, F.raise_error(F.concat(F.lit("a pattern needs literal tokens: "), "pattern"))).otherwise(F.col("tokens"))
+        return rules.select("pattern", "verdict", F.explode(checked).alias("token"))
+    for r in rules:
+        if not r.tokens or not all(re.fullmatch(TOKEN, t) for t in r.tokens):
+            raise ValueError(f"a pattern needs literal tokens: {r.pattern}")
+    return _literal(spark, ("pattern", "verdict", "token"), [(r.pattern, r.verdict, t) for r in rules for t in r.tokens])
+
+
+def _literal(spark: SparkSession, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> DataFrame:
+    if not rows:
+        return spark.range(0).select(*[F.lit("").alias(n) for n in names])
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, row)]) for row in rows])))
+
 
+def read_host_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Host rules from JSON lines with host, path and verdict."""
+    return spark.read.schema("host string, path string, verdict string").json(path)
 
-def rule_index(urls: DataFrame, rules: tuple[PatternRule, ...]) -> DataFrame:
+
+def read_pattern_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Pattern rules from JSON lines with verdict, pattern and tokens."""
+    return spark.read.schema("verdict string, pattern string, tokens array<string>").json(path)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its text is within the bound."""
+    size = table.select(F.sum(sum((F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in table.columns), F.lit(0)).cast("long"))).first()[0]
+    return F.broadcast(table) if (size or 0) <= BROADCAST_BYTES else table
+
+
+def rule_index(urls: DataFrame, named: DataFrame) -> DataFrame:
     """(token, pattern, verdict), each rule under that of its tokens which the fewest URLs hold.
 
     One count a distinct token that any rule names; ``urls`` has columns url, tokens.
     """
-    names = ("rule", "verdict", "pattern", "token")
-    rows = [(i, r.verdict, r.pattern, t) for i, r in enumerate(rules) for t in r.tokens]
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, row)]) for row in rows])
-    named = urls.sparkSession.range(1).select(F.inline(table))
-    only = named.select("token").distinct()
-    if len(rows) <= BROADCAST_RULES:
-        only = F.broadcast(only)
+    only = _small(named.select("token").distinct())
     counts = urls.select(F.explode("tokens").alias("token")).join(only, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("rule").orderBy(F.coalesce("n", F.lit(0)), "token"))
-    return named.join(counts, "token", "left").withColumn("rank", rank).where("rank = 1").select("token", "pattern", "verdict")
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))
+    return named.join(counts, "token", "left").groupBy("pattern", "verdict").agg(best.getField("token").alias("token")).select("token", "pattern", "verdict")
+
+
+def host_verdicts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, rules): for each host that a rule covers, the rules of itself and its parent domains."""
+    most = rules.select(F.max(F.size(F.split("host", "[.]")))).first()[0] or 1  # no longer name can be a rule's
+    names = F.expr(f"transform(sequence(greatest(size(labels) - {most - 1}, 1), size(labels)), i -> array_join(slice(labels, i, {most}), '.'))")
+    hosts = hosts.withColumn("labels", F.split("host", "[.]"))
+    fits = hosts.where("host <> ''").select("host", F.explode(names).alias("suffix")).join(_small(rules.withColumnRenamed("host", "suffix")), "suffix")
+    rule = F.struct(F.length("suffix").alias("hl"), F.length("path").alias("pl"), F.concat("suffix", "path").alias("name"), "path", "verdict")
+    return fits.groupBy("host").agg(F.collect_set(rule).alias("rules"))
 
 
 def judge(
     pages: DataFrame,
-    host_rules: tuple[HostRule, ...] = HOST_RULES,
-    pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES,
+    host_rules: tuple[HostRule, ...] | DataFrame = HOST_RULES,
+    pattern_rules: tuple[PatternRule, ...] | DataFrame = PATTERN_RULES,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
@@ -111,21 +152,25 @@ def judge(
     rules decide: blocked if a block pattern and no allow pattern matches,
     else allowed.  A null url, or one without ``://``, has an empty host and path and
     is allowed.  Ids may be null or repeat; each row gets its own result.
+    Rules that name one host and path twice are one, the verdict that sorts last being its own.
     """
-    for r in pattern_rules:
-        if not r.tokens or not all(re.fullmatch(TOKEN, t) for t in r.tokens):
-            raise ValueError(f"a pattern needs literal tokens: {r.pattern}")
+    spark = pages.sparkSession
+    ws = Workspace(spark, "urls")
+    hosts_, patterns = host_table(spark, host_rules), pattern_table(spark, pattern_rules)
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
-    src = src.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")).withColumn("r", _host_rule(F.col("host"), F.col("path"), host_rules))
+    urls = src.where("url is not null").select("url").distinct().select("url", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    urls = ws.keep(urls, "urls")
+    covered = ws.keep(host_verdicts(urls.select("host").distinct(), hosts_), "hosts")
+    fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r.path))
+    ruled = ws.keep(urls.join(_small(covered), "host", "left").select("url", "host", "path", F.array_max(fits).alias("r")), "ruled")
     # the patterns are asked about URLs that no host rule decides, once for each
-    open_ = src.where("r is null and url is not null").select(F.col("url"), F.lower("url").alias("low")).distinct()
-    tokens = open_.withColumn("tokens", F.array_distinct(F.expr(f"regexp_extract_all(low, '{TOKEN}', 0)")))
-    index = rule_index(tokens, pattern_rules)
-    if len(pattern_rules) <= BROADCAST_RULES:
-        index = F.broadcast(index)
-    found = tokens.select("url", "low", F.explode("tokens").alias("token")).join(index, "token").where(F.expr("low rlike pattern"))
+    tokens = ruled.where("r is null").select("url", F.lower("url").alias("low")).withColumn("tokens", F.array_distinct(F.expr(f"regexp_extract_all(low, '{TOKEN}', 0)")))
+    index = ws.keep(rule_index(tokens, patterns), "index")
+    found = tokens.select("url", "low", F.explode("tokens").alias("token")).join(_small(index), "token").where(F.expr("low rlike pattern"))
     found = found.groupBy("url").agg(F.min(F.col("verdict") == "block").alias("blocked"))
-    out = src.join(found, "url", "left")
-    method = F.when(F.col("blocked"), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", F.col("r.name").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"))
+    decided = ruled.join(found, "url", "left").select(
+        "url", "host", "path", F.col("r.name").alias("rule"), F.coalesce("r.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict")
+    )
+    out = src.join(decided, "url", "left")
+    return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

@@ -107,6 +107,16 @@ def test_patterns_need_tokens(spark, pages):
         urlfilter.judge(pages, pattern_rules=(urlfilter.PatternRule("block", "x.*", ()),))
 
 
+def test_rules_come_from_files(spark, tmp_path):
+    (tmp_path / "hosts.json").write_text("\n".join(f'{{"host": "h{i}.test", "path": "/", "verdict": "block"}}' for i in range(30_000)) + '\n{"host": "a.h7.test", "path": "/ok", "verdict": "allow"}\n')
+    (tmp_path / "patterns.json").write_text('{"verdict": "block", "pattern": "[?]bad=", "tokens": ["bad"]}\n')
+    urls = ["http://x.y.h29999.test/", "http://a.h7.test/ok/1", "http://b.a.h7.test/no", "http://h30000.test/?bad=1", "http://h30000.test/bad", "http://" + "x." * 3000 + "h1.test/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    hosts, patterns = urlfilter.read_host_rules(spark, str(tmp_path / "hosts.json")), urlfilter.read_pattern_rules(spark, str(tmp_path / "patterns.json"))
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, hosts, patterns).collect()}
+    assert got == {0: ("h29999.test/", "block"), 1: ("a.h7.test/ok", "allow"), 2: ("h7.test/", "block"), 3: (None, "block"), 4: (None, "allow"), 5: ("h1.test/", "block")}
+
+
 # html
 
 
