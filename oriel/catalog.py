@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .operators.sequences import Sequence
 from .types import spark_type
 
 # fixed values: words that need quotes as identifiers
@@ -71,9 +72,21 @@ class Catalog:
     types: dict[tuple[str, str], T.DataType | CollectionType] = field(default_factory=dict)
     functions: dict[tuple[str, str], str] = field(default_factory=dict)
     constraints: dict[tuple[str, str], list] = field(default_factory=dict)
+    schemas: set[str] = field(default_factory=set)
+    #: By table: columns that take no null, and expressions for columns that an INSERT leaves out.
+    required: dict[tuple[str, str], set[str]] = field(default_factory=dict)
+    defaults: dict[tuple[str, str], dict[str, str]] = field(default_factory=dict)
+    sequences: dict[tuple[str, str], Sequence] = field(default_factory=dict)
     #: Relations that are opened when a query first names them.
     loaders: dict[tuple[str, str], Callable[[], DataFrame]] = field(default_factory=dict)
 
+    def add_schema(self, name: str) -> None:
+        self.schemas.add(normal(name))
+
+    def add_sequence(self, name: str, start: int = 1, step: int = 1) -> Sequence:
+        schema, short = split_name(name)
+        return self.sequences.setdefault((schema or self.schema, short), Sequence(start, step))
+
     def add_table(self, name: str, df: DataFrame) -> None:
         schema, table = split_name(name)
         self.tables[schema or self.schema, table] = df

@@ -13,8 +13,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .catalog import Catalog, normal, quoted
+from .catalog import Catalog, ResolutionError, normal, quoted, split_name
 from .sql import tree as t
 from .sql.parser import Parser, parse_statement
 from .sql.writer import Raw, Writer, all_of
@@ -99,6 +100,40 @@ class Engine:
         schema, _, short = name.rpartition(".")
         self.catalog.functions[normal(schema) if schema else self.catalog.schema, short.upper()] = own
 
+    # DDL
+
+    def create_table(self, name: str, columns: list[tuple[str, str]], required: tuple[str, ...] = (), defaults: dict[str, str] | None = None) -> DataFrame:
+        """An empty table from (name, type) pairs; ``required`` columns take no null, ``defaults`` are expressions."""
+        schema, table = split_name(name)
+        key = (schema or self.catalog.schema, table)
+        if self.catalog.relation(*key) is not None:
+            raise ResolutionError(f"{key[0]}.{key[1]} is there already")
+        known = {c.lower() for c, _ in columns}
+        if len(known) != len(columns) or unknown_of(known, [*required, *(defaults or {})]):
+            raise LookupError(f"columns of {name} repeat or are not named")
+        fields = [T.StructField(c.lower(), self.catalog.spark_type(kind)) for c, kind in columns]
+        self.catalog.schemas.add(key[0])
+        self.catalog.tables[key] = self.spark.createDataFrame([], T.StructType(fields))
+        self.catalog.required[key] = {c.lower() for c in required}
+        self.catalog.defaults[key] = {c.lower(): e for c, e in (defaults or {}).items()}
+        return self.catalog.tables[key]
+
+    def create_empty_view(self, name: str, columns: list[tuple[str, str]]) -> DataFrame:
+        """A view of typed nulls and no rows, that others can name before its query can be written."""
+        kinds = [F.lit(None).cast(self.catalog.spark_type(kind)).alias(c.lower()) for c, kind in columns]
+        self.catalog.add_view(name, self.spark.range(0).select(*kinds))
+        return self.catalog.relation(*self.catalog.resolve(name))
+
+    def create_view(self, name: str, query: str) -> DataFrame:
+        """A view's query in place of what the name stood for; its columns must be those of an empty view before it."""
+        schema, short = split_name(name)
+        old = self.catalog.views.get((schema or self.catalog.schema, short))
+        new = self.sql(query)
+        if old is not None and [f.name.lower() for f in old.schema] != [f.name.lower() for f in new.schema]:
+            raise ResolutionError(f"view {name} has other columns than it was announced with")
+        self.catalog.add_view(name, new)
+        return new
+
     # DML
 
     def _target(self, name: list[str]) -> tuple[tuple[str, str], DataFrame]:
@@ -122,7 +157,14 @@ class Engine:
         else:
             source = w.query(s.query)
         place = {c: f"`__c{i}`" for i, c in enumerate(given)}
-        items = ", ".join(f"cast({place.get(f.name.lower(), 'NULL')} AS {f.dataType.simpleString()}) AS {quoted(f.name)}" for f in df.schema)
+        defaults = {c: w.expr(Parser(e).expr()) for c, e in self.catalog.defaults.get(key, {}).items()}
+        required = self.catalog.required.get(key, set())
+
+        def value(f: T.StructField) -> str:
+            out = f"cast({place.get(f.name.lower(), defaults.get(f.name.lower(), 'NULL'))} AS {f.dataType.simpleString()})"
+            return f"coalesce({out}, raise_error('{key[1]}.{f.name} takes no null'))" if f.name.lower() in required else out
+
+        items = ", ".join(f"{value(f)} AS {quoted(f.name)}" for f in df.schema)
         new = f"SELECT {items} FROM ({source}) AS __new({cols})"
         new = self._fire("INSERT", key, df, new)
         return self._replace(key, f"SELECT * FROM {self.view_of(*key)} UNION ALL {new}", binds)
@@ -188,7 +230,7 @@ class Engine:
         return self._replace(key, f"SELECT * FROM {self.view_of(*key)} AS {quoted(alias)} WHERE {keep}", binds)
 
     def merge(self, s: t.Merge, w: Writer, binds: dict[str, Any] | None) -> DataFrame:
-        """One full outer join; marks on both sides say which rows met."""
+        """One full outer join; marks on both sides say which rows met.  A target row that would be changed twice raises."""
         key, df = self._target(s.table)
         a = s.alias or s.table[-1]
         b = getattr(s.source, "alias", "") or (s.source.name[-1] if isinstance(s.source, t.Table) else "__s")
@@ -208,16 +250,20 @@ class Engine:
                 text += f" WHEN {change} THEN cast({sets[c]} AS {kind})"
             items.append(f"{text} ELSE {old} END AS {quoted(f.name)}")
         fresh = f"({quoted(a)}.`__t` IS NOT NULL" + ("" if not s.values else f" OR coalesce({w.expr(s.insert_where)}, false)" if s.insert_where is not None else " OR true") + ")"
+        once = f"coalesce({quoted(a)}.`__tid`, -1 - {quoted(b)}.`__sid`)"  # a row of either side
+        twice = f"sum(CASE WHEN coalesce({change}, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {once}) > 1"
         text = (
-            f"SELECT {', '.join(items)}, coalesce({change}, false) AS `__changed` FROM (SELECT *, true AS `__t` FROM {self.view_of(*key)}) AS {quoted(a)}"
-            f" FULL OUTER JOIN (SELECT *, true AS `__s` FROM {source}) AS {quoted(b)} ON {w.expr(s.on)} WHERE {fresh}"
+            f"SELECT {', '.join(items)}, coalesce({change}, false) AS `__changed`, {twice} AS `__twice`"
+            f" FROM (SELECT *, true AS `__t`, monotonically_increasing_id() AS `__tid` FROM {self.view_of(*key)}) AS {quoted(a)}"
+            f" FULL OUTER JOIN (SELECT *, true AS `__s`, monotonically_increasing_id() AS `__sid` FROM {source}) AS {quoted(b)} ON {w.expr(s.on)} WHERE {fresh}"
         )
+        checked = "CASE WHEN `__twice` AND `__changed` THEN cast(raise_error('MERGE: two source rows match one target row') AS BOOLEAN) ELSE true END"
         gone = ""
         if s.delete_where is not None:  # judged on the updated row
             d = self.writer(binds)
             d.scopes.append({a.lower(): {f.name.lower(): f.dataType for f in df.schema}})
-            gone = f" WHERE NOT (`__changed` AND coalesce({d.expr(s.delete_where)}, false))"
-        return self._replace(key, f"SELECT * EXCEPT (`__changed`) FROM ({text}) AS {quoted(a)}{gone}", binds)
+            gone = f" AND NOT (`__changed` AND coalesce({d.expr(s.delete_where)}, false))"
+        return self._replace(key, f"SELECT * EXCEPT (`__changed`, `__twice`) FROM ({text}) AS {quoted(a)} WHERE {checked}{gone}", binds)
 
     # triggers
 
@@ -239,6 +285,10 @@ class Engine:
         return rows
 
 
+def unknown_of(known: set[str], names: list[str]) -> set[str]:
+    return {n.lower() for n in names} - known
+
+
 def dual(spark: SparkSession) -> DataFrame:
     """The relation of one row."""
     return spark.range(1).select(F.lit("X").alias("dummy"))

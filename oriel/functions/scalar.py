@@ -6,6 +6,7 @@ filled with the arguments, and ``WRITERS`` build their text from the call.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -33,8 +34,8 @@ TEMPLATES = {
     "MONTHS_BETWEEN": "months_between({0}, {1})",
     "TO_DSINTERVAL": "cast({0} AS INTERVAL DAY TO SECOND)", "TO_YMINTERVAL": "cast({0} AS INTERVAL YEAR TO MONTH)",
     "REGEXP_LIKE": "({0} RLIKE {1})", "REGEXP_COUNT": "regexp_count({0}, {1})", "LOG": "log({0}, {1})", "REMAINDER": "({0} - {1} * rint({0} / {1}))",
-    "LNNVL": "coalesce(NOT ({0}), true)", "NANVL": "nanvl({0}, {1})", "BITAND": "({0} & {1})", "CHR": "char({0})", "UNISTR": "{0}", "TO_LOB": "{0}",
-    "XMLELEMENT": "concat('<', {0}, '>', coalesce(cast({1} AS STRING), ''), '</', {0}, '>')", "SYS_EXTRACT_UTC": "to_utc_timestamp({0}, current_timezone())",
+    "LNNVL": "coalesce(NOT ({0}), true)", "NANVL": "nanvl({0}, {1})", "BITAND": "({0} & {1})", "CHR": "char({0})", "TO_LOB": "{0}",
+    "CONCAT": "concat(coalesce(cast({0} AS STRING), ''), coalesce(cast({1} AS STRING), ''))", "SYS_EXTRACT_UTC": "to_utc_timestamp({0}, current_timezone())",
     "JSON_SERIALIZE": "cast({0} AS STRING)", "JSON_EXISTS": "(get_json_object({0}, {1}) IS NOT NULL)",
     "WM_CONCAT": "listagg({0}, ',')", "COLLECT": "sort_array(collect_list({0}))", "XMLAGG": "array_join(collect_list({0}), '')",
 }
@@ -246,6 +247,39 @@ def _to_timestamp_tz(w, call: t.Call) -> str:
     return _to_date("to_timestamp")(w, call)
 
 
+def _unistr(w, call: t.Call) -> str:
+    text = text_of(call.args[0])
+    if text is None:
+        raise UnsupportedSyntax("UNISTR needs a literal")
+    return w.string(re.sub(r"\\(\\|[0-9A-Fa-f]{4})", lambda m: "\\" if m[1] == "\\" else chr(int(m[1], 16)), text))
+
+
+# fixed values: parameters of the session's context
+CONTEXT = {"CURRENT_USER": "current_user()", "SESSION_USER": "session_user()", "CURRENT_SCHEMA": "'{schema}'", "DB_NAME": "current_catalog()"}
+
+
+def _sys_context(w, call: t.Call) -> str:
+    space, name = ((text_of(a) or "").upper() for a in call.args[:2])
+    if space != "USERENV" or name not in CONTEXT:
+        raise UnsupportedSyntax(f"SYS_CONTEXT of {space}.{name}")
+    return CONTEXT[name].format(schema=w.catalog.schema)
+
+
+def _xmlelement(w, call: t.Call) -> str:
+    """An element named by the first argument; the others are its content, markup or text that is escaped."""
+    name = call.args[0].parts[-1] if isinstance(call.args[0], t.Name) else text_of(call.args[0])
+    if not name or not re.fullmatch(r"[A-Za-z_][\w.-]*", name):
+        raise UnsupportedSyntax("XMLELEMENT needs a name")
+
+    def content(a: Any) -> str:
+        text = f"coalesce(cast({w.expr(a)} AS STRING), '')"
+        if isinstance(a, t.Call) and a.parts[-1].upper().startswith("XML"):
+            return text
+        return f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+    return f"concat({', '.join([w.string(f'<{name}>'), *map(content, call.args[1:]), w.string(f'</{name}>')])})"
+
+
 WRITERS: dict[str, Callable[[Any, t.Call], str]] = {
     "TO_CHAR": _to_char, "TO_NUMBER": _to_number, "TO_DATE": _to_date("to_timestamp_ntz"), "TO_TIMESTAMP": _to_date("to_timestamp_ntz"),
     "TO_TIMESTAMP_TZ": _to_timestamp_tz, "TRUNC": _trunc, "ROUND": _round, "SUBSTR": _substr, "INSTR": _instr, "TRIM": _trim,
@@ -253,7 +287,7 @@ WRITERS: dict[str, Callable[[Any, t.Call], str]] = {
     "EXTRACT": _extract, "VALIDATE_CONVERSION": _validate, "JSON_VALUE": _json_value, "JSON_QUERY": _json_query, "JSON_OBJECT": _json_object,
     "JSON_ARRAY": _json_array, "JSON_ARRAYAGG": _json_arrayagg, "JSON_OBJECTAGG": _json_objectagg, "LISTAGG": _listagg,
     "RATIO_TO_REPORT": _ratio, "REGEXP_SUBSTR": _regexp_substr, "REGEXP_REPLACE": _regexp_replace, "REGEXP_INSTR": _regexp_instr,
-    "LAG_DIFF": _lag_diff, "LAG_DIFF_PERCENT": _lag_diff,
+    "UNISTR": _unistr, "SYS_CONTEXT": _sys_context, "XMLELEMENT": _xmlelement, "LAG_DIFF": _lag_diff, "LAG_DIFF_PERCENT": _lag_diff,
 }
 
 #: Every name that is a function and not an indexed collection.

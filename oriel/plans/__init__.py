@@ -6,6 +6,6 @@ from .base import Registry
 
 
 def registries() -> list[Registry]:
-    from . import procedural, relational, scalars
+    from . import more, procedural, relational, scalars
 
-    return [relational.R, scalars.R, procedural.R]
+    return [relational.R, scalars.R, procedural.R, more.R]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..catalog import CollectionType
 from ..engine import Engine
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @dataclass(frozen=True)

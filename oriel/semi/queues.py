@@ -12,8 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RECIPIENT = "array<struct<address:string,name:string,delivery_status:string,routing_info:string,priority:int,index:int>>"
-#: Most recipients that a list keeps.
-MOST_RECIPIENTS = 10
 
 
 def _get(path: str) -> Callable[[Column], Column]:
@@ -117,9 +115,9 @@ def parse_recipient(text: Column) -> Column:
     )
 
 
-def recipients(texts: Column, mode: str = "BROADCAST") -> Column:
-    """A list of recipient texts as JSON; the first ten are kept, as the type's limit says, and all are counted."""
-    rows = F.transform(F.slice(texts, 1, MOST_RECIPIENTS), lambda x, i: parse_recipient(x).withField("index", i + 1))
+def recipients(texts: Column, mode: str = "BROADCAST", most: int | None = None) -> Column:
+    """A list of recipient texts as JSON; where a limit is asked for, as many are kept and all are counted."""
+    rows = F.transform(texts if most is None else F.slice(texts, 1, most), lambda x, i: parse_recipient(x).withField("index", i + 1))
     meta = F.struct(F.size(texts).alias("total_count"), F.lit(mode).alias("delivery_mode"))
     tech = F.struct(F.lit("AQ$_RECIPIENTS").alias("original_type"))
     return F.to_json(F.struct(F.lit("AQ_RECIPIENTS").alias("recipients_type"), rows.alias("recipients"), meta.alias("metadata"), tech.alias("technical_info")))

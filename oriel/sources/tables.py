@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,15 +22,20 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\t", *[cell(f) for f in df.schema]).alias("value")).write.mode("overwrite").text(path)
 
 
+def _plain(part: Column) -> Column:
+    for raw, out in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+        part = F.replace(part, F.lit(raw), F.lit(out))
+    return part
+
+
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows that ``write_tsv`` wrote, in the types of ``schema``."""
     parts = F.split("value", "\t", -1)
 
     def back(i: int, f: T.StructField):
         c = parts[i]
-        text = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-        for raw, out in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\x00", "\\")):
-            text = F.replace(text, F.lit(raw), F.lit(out))
+        # between two escaped backslashes every backslash begins another escape
+        text = F.array_join(F.transform(F.split(c, r"\\\\", -1), _plain), "\\")
         return F.when(c != "\\N", text).cast(f.dataType).alias(f.name)
 
     return spark.read.text(path).select(*[back(i, f) for i, f in enumerate(schema)])

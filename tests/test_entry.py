@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "scan_unnest scan_json_table pred_all pred_not_in_subquery expr_dates join_partition_outer join_oracle_plus agg_cube agg_listagg agg_keep win_first_last "
     "win_range_frame limit_percent set_chain cte_search_depth cte_with_function hier_connect_by unpivot_basic fn_instr_pos_occ fn_add_months fn_json_array "
+    "fn_concat fn_unistr agg_xml win_lag_diff expr_bind_params plsql_exceptions plsql_forall dict_columns ddl_create_table seq_nextval transfer_convert "
     "multiset_ops map_methods dml_merge dml_insert_all select_into chk_foreign_key sink_tsv_roundtrip aq_recipient_accessors"
 ).split()
 

@@ -7,6 +7,7 @@ import pytest
 from oriel.engine import Engine
 from oriel.operators import constraints as c
 from oriel.operators import rowcount
+from oriel.operators.sequences import Sequence
 from oriel.pipeline import Migration
 from oriel.semi import queues, values
 from oriel.sources.tables import read_tsv, write_tsv
@@ -43,7 +44,7 @@ def test_row_counts(spark):
 
 
 def test_text_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a\tb\\n\n\r", None), (2, "", 1.5), (3, "\\N", 2.5), (4, None, None)], "i int, s string, d double")
+    df = spark.createDataFrame([(1, "a\tb\\n\n\r", None), (2, "", 1.5), (3, "\\N", 2.5), (4, None, None), (5, "\x00\\\\t\\", 0.5)], "i int, s string, d double")
     write_tsv(df, str(tmp_path / "t"))
     assert sorted(map(tuple, read_tsv(spark, str(tmp_path / "t"), df.schema).collect())) == sorted(map(tuple, df.collect()))
 
@@ -105,3 +106,44 @@ def test_incremental(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
     incremental(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination(60)
     assert sum(seen) == 5
+
+
+def test_a_target_row_is_merged_once(spark):
+    e = Engine(spark)
+    e.catalog.add_table("t", spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"))
+    e.catalog.add_table("s", spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (3, "z")], "id int, v string"))
+    text = "MERGE INTO t USING s ON (t.id = s.id {}) WHEN MATCHED THEN UPDATE SET t.v = s.v WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, s.v)"
+    before = e.catalog.tables["MAIN", "T"]
+    with pytest.raises(Exception, match="two source rows match one target row"):
+        e.sql(text.format("")).collect()
+    e.catalog.tables["MAIN", "T"] = before
+    got = e.sql(text.format("AND s.v <> 'y'")).collect()
+    assert sorted(map(tuple, got)) == [(1, "x"), (1, "y"), (2, "b"), (3, "z"), (3, "z")]
+
+
+def test_definitions(spark):
+    e = Engine(spark)
+    e.create_table("hr.t", [("id", "NUMBER(9)"), ("v", "VARCHAR2(9)")], required=("id",), defaults={"v": "'d'"})
+    assert [tuple(r) for r in e.sql("INSERT INTO hr.t (id) VALUES (4)").collect()] == [(Decimal(4), "d")]
+    with pytest.raises(Exception, match="takes no null"):
+        e.sql("INSERT INTO hr.t (v) VALUES ('x')").collect()
+    with pytest.raises(LookupError):
+        e.create_table("hr.t", [("id", "NUMBER")])
+    e.create_empty_view("w", [("a", "NUMBER(3)")])
+    with pytest.raises(LookupError):
+        e.create_view("w", "SELECT 1 AS b FROM dual")
+
+
+def test_sequences_leave_no_gaps(spark):
+    s = Sequence(5, 2)
+    df = spark.range(100).repartition(7).select("id")
+    first = [r.n for r in s.numbered(df, "n", ["id"]).orderBy("id").collect()]
+    assert first == list(range(5, 205, 2)) and s.next == 205
+    assert s.numbered(spark.range(0).select("id"), "n").count() == 0 and s.next == 205
+    assert sorted(r.n for r in s.numbered(spark.range(3).select("id"), "n").collect()) == [205, 207, 209]
+
+
+def test_long_recipient_lists_are_whole(spark):
+    texts = F.array(*[F.lit(f"a{i}@x.org") for i in range(30)])
+    row = spark.range(1).select(queues.RECIPIENTS["count"](queues.recipients(texts)).alias("a"), queues.RECIPIENTS["count"](queues.recipients(texts, most=10)).alias("b")).first()
+    assert tuple(row) == (30, 10)
