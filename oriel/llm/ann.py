@@ -3,9 +3,12 @@
 Centroids come from a balanced bisection of a bounded sample.  They are held in
 memory as a graph; best-first search on it finds the lists of a vector.  A vector
 near a boundary is replicated to each list whose centroid is nearly as close as the
-closest one; a query reads the lists that distance-ratio pruning leaves.  Lists
-are dealt in blocks, so a list of any length is many small tasks, and each block
-returns the best few of each query only.
+closest one; a query reads the lists that distance-ratio pruning leaves.  The ratio is
+measured on the sample: the smallest with which so many of the true neighbours there
+lie in lists that are read, so data in clusters is pruned hard, and data without any
+structure reads as much as its recall needs.  Lists are dealt in blocks, so a list of any length
+is many small tasks, and each block returns the best few of each query only.  A query that finds
+fewer than it should is asked of all lists.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ class Spann:
     #: Vectors a list should hold, before replication; lists are at most a sixteenth of the sample in number.
     list_size: int = 128
     #: Replicas of a vector at most, and how much farther than the closest their centroids may be.
-    replicas: int = 6
-    replica_ratio: float = 1.15
-    #: Lists that a query reads at most, and how much farther their centroids may be.
-    probes: int = 64
-    probe_ratio: float = 1.6
+    replicas: int = 2
+    replica_ratio: float = 1.1
+    #: Share of a query's true neighbours in the sample that the lists it reads must hold, and queries that it is measured on.
+    recall: float = 0.97
+    measured_on: int = 400
     degree: int = 24
     beam: int = 48
     #: Vectors or queries in a block.
@@ -95,6 +98,10 @@ class Centroids:
         n, b = len(self.points), len(x)
         beam = min(beam, n)
         norms, xn = (self.points**2).sum(1), (x**2).sum(1)
+        if 4 * beam >= n:  # a graph saves nothing where most of it is asked for
+            d = np.maximum(norms[None, :] - 2 * x @ self.points.T + xn[:, None], 0)
+            ids = np.argsort(d, axis=1, kind="stable")[:, :beam]
+            return ids, np.take_along_axis(d, ids, 1)
         seen = np.zeros((b, n), bool)
         ids = np.full((b, beam), -1, np.int64)
         dist = np.full((b, beam), np.inf)
@@ -133,12 +140,35 @@ class Centroids:
         """The lists of each vector: the closest, and others up to ``ratio`` times as far."""
         for a in range(0, len(x), 256):
             ids, d = self.search(x[a : a + 256], beam)
-            good = (d <= (ratio**2) * d[:, :1] + 1e-12) & (ids >= 0)
+            good = ids >= 0
+            if np.isfinite(ratio):
+                good &= d <= (ratio**2) * d[:, :1] + 1e-12
             good[:, most:] = False
             for i, g in zip(ids, good):
                 yield i[g]
 
 
+def measured_ratio(index: Centroids, sample: np.ndarray, rule: Spann) -> tuple[float, int]:
+    """The distance ratio that reaches ``rule.recall`` on the sample, and the most lists that it then reads."""
+    n, lists = len(sample), len(index.points)
+    if lists < 2 or n < 2:
+        return 1.0, lists
+    asked = np.unique(np.linspace(0, n - 1, min(rule.measured_on, n)).astype(int))
+    norms, points = (sample**2).sum(1), (index.points**2).sum(1)
+    member = [set(m.tolist()) for m in index.lists(sample, rule.beam, rule.replica_ratio, rule.replicas)]
+    needed, spread = [], []
+    for q in asked.tolist():
+        d = norms - 2 * sample @ sample[q]
+        d[q] = np.inf
+        near = np.argpartition(d, min(rule.k, n - 1) - 1)[: rule.k]
+        c = np.sqrt(np.maximum(points - 2 * index.points @ sample[q] + norms[q], 0))
+        ratio = c / max(c.min(), 1e-300)
+        needed += [min(ratio[j] for j in member[i]) for i in near.tolist() if i != q]
+        spread.append(np.sort(ratio))
+    ratio = float(np.quantile(needed, rule.recall, method="higher"))
+    return ratio, max(int(np.searchsorted(r, ratio * (1 + 1e-9), "right")) for r in spread)
+
+
 def usable(vector: Column) -> Column:
     """No null, no non-finite component, and not all zero."""
     v = vector.cast("array<double>")
@@ -210,11 +240,28 @@ def search(vectors: DataFrame, queries: DataFrame, rule: Spann = Spann(), id_col
     asked = pick(queries).where(F.size("v") == dims)
     drawn = base.orderBy(F.xxhash64("id"), "id").limit(rule.sample).select("v").toArrow()
     lists = int(np.clip(-(-total // rule.list_size), 1, max(1, rule.sample // 16)))
-    index = Centroids.fit(np.unique(_matrix(drawn.column("v")), axis=0), lists, rule)
+    sample = np.unique(_matrix(drawn.column("v")), axis=0)
+    index = Centroids.fit(sample, lists, rule)
+    ratio, most = measured_ratio(index, sample, rule)
+    most = min(2 * most, len(index.points))
 
     schema = f"id long, v {kind}, list long"
     posted = ws.keep(base.mapInArrow(_place(index, rule.beam, rule.replica_ratio, rule.replicas), schema), "posted")
-    probing = ws.keep(asked.mapInArrow(_place(index, max(rule.beam, rule.probes), rule.probe_ratio, rule.probes), schema), "probing")
+    probing = ws.keep(asked.mapInArrow(_place(index, max(rule.beam, most), ratio, most), schema), "probing")
+    found = ws.keep(_compared(posted, probing, rule), "found")
+    # queries that their lists hold too few vectors for, if there are any
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(rule.k, total - 1)).select(F.col("query_id").alias("id"))
+    short = asked.join(enough, "id", "left_anti")
+    if total > 1 and short.limit(1).count():
+        every = ws.keep(short.mapInArrow(_place(index, len(index.points), np.inf, len(index.points)), schema), "short")
+        found = found.unionByName(_compared(posted, every, rule)).distinct()
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    out = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rule.k)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
+def _compared(posted: DataFrame, probing: DataFrame, rule: Spann) -> DataFrame:
+    """(query_id, vec_id, score): the nearest few of each query in each block of the lists that it reads."""
     count = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / rule.block).cast("int").alias(name))
     blocks = count(posted, "nx").join(count(probing, "ny"), "list")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -225,7 +272,4 @@ def search(vectors: DataFrame, queries: DataFrame, rule: Spann = Spann(), id_col
         .repartition("list", "x", "y")
         .sortWithinPartitions("list", "x", "y")
     )
-    found = dealt.mapInArrow(_nearest(rule.k), "query_id long, vec_id long, score double").distinct()
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    out = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rule.k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(_nearest(rule.k), "query_id long, vec_id long, score double").distinct()

@@ -216,3 +216,25 @@ def test_inline_adverts_go_and_marked_words_stay(model):
     story = "This is a long story, with commas and much sense in it, that goes on for quite a while."
     page = f'<body><article><h1>A story of some length</h1><p>{story} <span class="ad">BUY NOW</span> {story} <span class="term">Marked words</span> end it.</p><custom-ad><p>promo here</p></custom-ad><p>{story}</p></article><footer>nobody</footer></body>'
     assert htmlextract.texts([page], model) == [f"A story of some length\n{story} {story} Marked words end it.\n{story}"]
+
+
+def test_clusters_are_pruned_and_short_queries_answered(spark):
+    r = np.random.default_rng(3)
+    middles = r.normal(0, 10, (40, 16))
+    x = (middles[np.arange(4000) % 40] + r.normal(0, 1, (4000, 16))).astype(np.float32)
+    rule = ann.Spann(list_size=50)
+    index = ann.Centroids.fit(x.astype(np.float64), 80, rule)
+    ratio, most = ann.measured_ratio(index, x.astype(np.float64), rule)
+    assert most <= 16  # of 80 lists
+    table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = ann.search(table, table.where("vec_id % 100 = 0"), rule).collect()
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = ((x.astype(np.float64) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({g.vec_id for g in got if g.query_id == q} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 400
+    # a list of fewer vectors than a query wants
+    far = vectors(spark, [(i, [float(i % 2) * 1000, (i + 1) / 100]) for i in range(9)])
+    few = ann.search(far, far, ann.Spann(list_size=2, k=7)).collect()
+    assert {q: sum(g.query_id == q for g in few) for q in range(9)} == dict.fromkeys(range(9), 7)
