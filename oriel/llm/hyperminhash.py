@@ -7,22 +7,34 @@ candidates, a collision-corrected estimate of the Jaccard similarity discards
 hopeless ones, and the rest are confirmed on full shingle sets.
 
 Equal sets form one class before anything is compared, so copies never become
-pairs.  A bucket of any size costs a number of pairs linear in its members: each
-member is compared with the bucket's smallest one.  Members which that leaves
-in other components are then compared with the bucket block by block, and only
-links that join components leave a block, so no link that could change a
-component is lost and no group is expanded into pairs.
+pairs.  A bucket of any size first costs a number of pairs linear in its members:
+each member is compared with the bucket's smallest one.  What that leaves in
+other components is compared with the rest of its bucket, by sketches of a bit a
+register: at once where the bucket, or what is apart in it, is at most ``CROWD``.
+A larger bucket is compared with a few of its members drawn at random, which joins
+what is alike; if it then still holds components apart, it is banded again, with wider bands of other registers, until its
+parts are that small, so documents that share a template and little else part
+ways.  Where wider bands would not thin a bucket out, its documents being alike
+but below the threshold, it is compared block by block, and only links that join
+components leave a block.  No cap drops a candidate.
+
+What can be missed: a pair at exactly 80 % agrees in no band of the first round
+with probability 5e-8, in none of a later round with 4e-9, and falls below the
+sketch's or the estimate's margin (five and six standard deviations) with less
+than 1e-6; more similar pairs are safer.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Workspace, in_groups, mix64, text_slices, trim, word_hashes
@@ -34,7 +46,17 @@ REST_BITS = 64 - BUCKET_BITS
 #: Registers are 16 bits wide, so a band of four is one 64-bit word: 32 bands.
 ROWS_PER_BAND = 4
 BANDS = BUCKETS // ROWS_PER_BAND
-#: Bytes of shingle sets that either side of a block of the second round holds.
+#: Members of a bucket, or members apart from the rest, that are compared as they are.
+CROWD = 128
+#: Registers in a band of later rounds, bands, and rounds before what is left is compared in blocks.
+WIDE_ROWS, WIDE_BANDS, WIDE_ROUNDS = 6, 64, 4
+#: A bucket is banded again only if that leaves a quarter of its pairs or less.
+THINNING = 4
+#: Members of a larger bucket that all of it is compared with before it is banded again.
+PIVOTS = 8
+#: Rows of a bucket in a block that a few of its members are compared with.
+BLOCK_ROWS = 4096
+#: Bytes of shingle sets that either side of a block holds.
 BLOCK_BYTES = 6 << 20
 
 
@@ -138,15 +160,65 @@ def _sign(rule: NearDup):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
-                        pa.array([x.view(np.int64).tolist() if len(s) >= rule.least else [] for x, s in zip(sig, sets)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "key", "sig", "bands"],
+                    names=["doc_id", "n", "key", "sig"],
                 )
         trim()
 
     return run
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
+def _bucket_keys(values: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    """A 64-bit key of each cell of a table of band values: its column and its value."""
+    place = mix64(np.arange(1, values.shape[1] + 1, dtype=np.uint64) + np.uint64(salt))
+    with np.errstate(over="ignore"):
+        return mix64(values * np.uint64(0x9E3779B97F4A7C15) ^ place[None, :]).view(np.int64)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of a document that holds a register."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 4096):
+            part = batch.slice(a, 4096)
+            values = np.ascontiguousarray(_signatures(part.column("sig"))).view(np.uint64)
+            keys, held = _bucket_keys(values, 0), values != 0
+            rep = np.repeat(part.column("rep").to_numpy(), held.sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[held]), pa.array(rep)], names=["bucket", "rep"])
+
+
+def _wide_bands(salt: int):
+    """Rows (parent, bucket, rep, comp): the bands that a bucket's members are dealt to again."""
+    draw = np.random.default_rng(1000 + salt)
+    chosen = np.array([draw.choice(BUCKETS, WIDE_ROWS, replace=False) for _ in range(WIDE_BANDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = mix64(np.arange(77, 77 + WIDE_ROWS, dtype=np.uint64)) | np.uint64(1)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                sig = _signatures(part.column("sig"))[:, chosen]
+                parent, rep, comp = (np.repeat(part.column(c).to_numpy(), WIDE_BANDS) for c in ("bucket", "rep", "comp"))
+                with np.errstate(over="ignore"):
+                    value = mix64((sig.astype(np.uint64) * weight).sum(2, dtype=np.uint64))
+                    keys = mix64(_bucket_keys(value, salt + 1).view(np.uint64).reshape(-1) ^ mix64(parent.view(np.uint64)))
+                held = (sig != 0).any(2).reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (parent, keys.view(np.int64), rep, comp)], names=["parent", "bucket", "rep", "comp"])
+
+    return run
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, n and the lowest bit of every register, as two words."""
+    for batch in batches:
+        if batch.num_rows:
+            bits = np.packbits(_signatures(batch.column("sig")) & 1, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=["rep", "n", "s0", "s1"])
+
+
 def _sets(rule: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,12 +237,75 @@ def _sets(rule: NearDup):
     return run
 
 
+def differing(percent: int) -> int:
+    """Bits in which the sketches of a pair at the threshold can differ, five standard deviations included."""
+    apart = (1 - percent / 100) / 2
+    return int(BUCKETS * apart + 5 * np.sqrt(BUCKETS * apart * (1 - apart))) + 1
+
+
+def _near(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, rule: NearDup) -> np.ndarray:
+    """Which of the rows i and j are of other components, of fitting sizes and of like sketches."""
+    n, m = a["n"][i], a["n"][j]
+    good = (a["comp"][i] != a["comp"][j]) & (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m))
+    i, j = i[good], j[good]
+    # counted as unsigned words: of signed ones numpy counts the absolute value
+    bits = sum(np.bitwise_count((a[c][i] ^ a[c][j]).view(np.uint64)).astype(int) for c in ("s0", "s1"))
+    good[good] = bits <= differing(rule.percent)
+    return good
+
+
+COLUMNS = ("bucket", "rep", "comp", "n", "s0", "s1")
+
+
+def _pairs(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    u, v = a["rep"][i], a["rep"][j]
+    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["u", "v"])
+
+
+def _crowds(rule: NearDup):
+    """Candidates within buckets of at most CROWD rows, from rows sorted by bucket: row i with row i + 1, i + 2, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = {c: np.zeros(0, np.int64) for c in COLUMNS}
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rest = {c: np.concatenate([rest[c], batch.column(c).to_numpy()]) for c in COLUMNS}
+            b = rest["bucket"]
+            cut = len(b) if batch is None else int(np.searchsorted(b, b[-1])) if len(b) else 0  # the last bucket may go on
+            a, rest = {c: x[:cut] for c, x in rest.items()}, {c: x[cut:] for c, x in rest.items()}
+            b, left = a["bucket"], np.arange(cut)
+            for shift in range(1, cut):
+                left = left[left + shift < cut]
+                left = left[b[left] == b[left + shift]]
+                if not len(left):
+                    break
+                if (good := _near(a, left, left + shift, rule)).any():
+                    yield _pairs(a, left[good], left[good] + shift)
+
+    return run
+
+
+def _few_apart(rule: NearDup):
+    """Candidates between the few members apart (``other``) and a block of their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in in_groups(batches, ["bucket", "x"]):
+            a = {c: t.column(c).to_numpy() for c in COLUMNS}
+            rows = np.flatnonzero(~t.column("other").to_numpy())
+            for r in np.flatnonzero(t.column("other").to_numpy()):
+                if (good := _near(a, rows, np.full(len(rows), r), rule)).any():
+                    yield _pairs(a, rows[good], np.full(int(good.sum()), r))
+
+    return run
+
+
 def _promising(rule: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sig_u", "sig_v"))
+            a, b = (_signatures(batch.column(c)) for c in ("sig_u", "sig_v"))
             n, m = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
             good = hopeful(*estimate(a, b, n, m), rule.percent) & (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m))
             yield batch.select(["u", "v"]).filter(pa.array(good))
@@ -207,7 +342,7 @@ def _blocks(rule: NearDup):
     def links(t: pa.Table) -> Iterator[tuple[int, int]]:
         side = t.column("side").to_numpy()
         rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        sig = _signatures(t.column("sig"))
         members = t.column("members").to_pylist()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         up: dict[int, int] = {}
@@ -219,12 +354,21 @@ def _blocks(rule: NearDup):
             return x
 
         found: list[tuple[float, int, int]] = []
-        for r in right.tolist():
-            fits = left[(comp[left] != comp[r]) & (100 * np.minimum(n[left], n[r]) >= rule.percent * np.maximum(n[left], n[r]))]
-            if len(fits):
-                est, used = estimate(sig[fits], sig[r][None, :], n[fits], np.full(len(fits), n[r]))
-                good = hopeful(est, used, rule.percent)
-                found += [(-e, f, r) for e, f in zip(est[good].tolist(), fits[good].tolist())]
+        # a pair that meets in an earlier band of the first round is that bucket's
+        bands = sig.view(np.uint64)
+        own = np.flatnonzero(_bucket_keys(bands[:1], 0)[0] == t.column("bucket")[0].as_py())
+        earlier = bands[:, : own[0]] if len(own) else bands[:, :0]
+        signs = 2 * (sig & 1).astype(np.float32) - 1  # the product of two rows is their agreeing bits less the others
+        for a in range(0, len(right), 512):
+            i, j = np.nonzero(signs[right[a : a + 512]] @ signs[left].T >= BUCKETS - 2 * differing(rule.percent))
+            i, j = right[a + i], left[j]
+            good = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= rule.percent * np.maximum(n[i], n[j]))
+            i, j = i[good], j[good]
+            for z in range(0, len(i), 1 << 14):
+                x, y = i[z : z + (1 << 14)], j[z : z + (1 << 14)]
+                est, used = estimate(sig[x], sig[y], n[x], n[y])
+                good = hopeful(est, used, rule.percent) & ~((earlier[x] == earlier[y]) & (earlier[x] != 0)).any(1)
+                found += zip((-est[good]).tolist(), x[good].tolist(), y[good].tolist())
         for _, x, y in sorted(found):
             a, b = root(int(comp[x])), root(int(comp[y]))
             if a != b and similar(np.frombuffer(members[x], np.uint64), np.frombuffer(members[y], np.uint64), rule.percent):
@@ -241,6 +385,134 @@ def _blocks(rule: NearDup):
     return run
 
 
+class _Search:
+    """Candidates to links, and the rounds that find candidates which the first has left apart."""
+
+    def __init__(self, ws: Workspace, rule: NearDup, src: DataFrame, classes: DataFrame):
+        self.ws, self.rule, self.src, self.classes = ws, rule, src, classes
+
+    def sets(self, wanted: DataFrame, label: str) -> DataFrame:
+        """(rep, members): the full shingle sets of the classes ``wanted`` (rep)."""
+        keys = wanted.join(self.classes.select("rep", "key"), "rep").select(F.col("rep").alias("doc_id"), "key")
+        found = self.src.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(self.rule), "doc_id long, key binary, members binary")
+        found = found.join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+        return self.ws.keep(found.select(F.col("doc_id").alias("rep"), "members"), f"sets-{label}")
+
+    def confirmed(self, pairs: list[DataFrame], label: str) -> DataFrame:
+        """The pairs (u, v) that reach the threshold: by the estimate from signatures, then by full sets."""
+        pairs = functools.reduce(DataFrame.unionByName, pairs).distinct()
+        of = lambda end: self.classes.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
+        signed = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", "sig_u", "sig_v")
+        likely = self.ws.keep(signed.mapInArrow(_promising(self.rule), "u long, v long"), f"likely-{label}")
+        wanted = likely.select(F.col("u").alias("rep")).unionByName(likely.select(F.col("v").alias("rep"))).distinct()
+        sets = self.sets(wanted, label)
+        full = lambda end: sets.select(F.col("rep").alias(end), F.col("members").alias(f"set_{end}"))
+        links = likely.join(full("u"), "u").join(full("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(self.rule), "u long, v long")
+        links = self.ws.keep(links, f"links-{label}")
+        self.ws.drop(f"sets-{label}", f"likely-{label}")
+        return links
+
+    def conflicts(self, rows: DataFrame, label: str) -> DataFrame:
+        """Rows (bucket, rep, comp, n, s0, s1) of buckets that hold several components, with the bucket's size m,
+        the component ``main`` of one of its members, and how many members ``o`` are of others."""
+        some = F.min(F.struct(F.xxhash64("rep", "bucket"), "comp")).getField("comp")
+        main = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), some.alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        rows = rows.join(main.where("low <> high").select("bucket", "main", "m"), "bucket").withColumn("other", F.col("comp") != F.col("main"))
+        others = rows.where("other").groupBy("bucket").agg(F.count(F.lit(1)).alias("o"))
+        return self.ws.keep(rows.join(others, "bucket"), f"rows-{label}")
+
+    def dealt(self, rows: DataFrame, chosen: Column, label: str) -> DataFrame:
+        """Candidates between the ``chosen`` rows of a bucket, which are few, and all of its rows, block by block."""
+        rows = rows.withColumn("nx", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
+        all_x = F.explode(F.sequence(F.lit(0), F.col("nx") - 1))
+        mine = rows.select(*COLUMNS, F.lit(False).alias("other"), F.pmod(F.xxhash64("rep"), F.col("nx")).cast("int").alias("x"))
+        out = mine.unionByName(rows.where(chosen).select(*COLUMNS, F.lit(True).alias("other"), all_x.alias("x")))
+        out = out.repartition("bucket", "x").sortWithinPartitions("bucket", "x")
+        return self.ws.keep(out.mapInArrow(_few_apart(self.rule), "u long, v long").distinct(), label)
+
+    def near_pairs(self, rows: DataFrame, label: str) -> list[DataFrame]:
+        """Candidates of the buckets that are small, or in which few members are apart."""
+        small = rows.where(F.col("m") <= CROWD).select(*COLUMNS).repartition("bucket").sortWithinPartitions("bucket")
+        crowds = self.ws.keep(small.mapInArrow(_crowds(self.rule), "u long, v long").distinct(), f"crowds-{label}")
+        return [crowds, self.dealt(rows.where((F.col("m") > CROWD) & (F.col("o") <= CROWD)), F.col("other"), f"few-{label}")]
+
+    def settled(self, roots: DataFrame, links: DataFrame, label: str) -> DataFrame:
+        """(node, root) after further links."""
+        tree = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
+        return self.ws.keep(components(self.ws, tree.unionByName(links), label), f"roots-{label}")
+
+    def apart(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """(node, root) after the links between components within buckets, from rows (bucket, rep, n, s0, s1)."""
+        ws, rule = self.ws, self.rule
+        bare = ["bucket", "rep", "n", "s0", "s1"]
+
+        def placed(r: DataFrame) -> DataFrame:
+            return r.select(*bare).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*bare, F.coalesce("root", "rep").alias("comp"))
+
+        many = (F.col("m") > CROWD) & (F.col("o") > CROWD)
+        rows = self.conflicts(placed(rows), "first")
+        pairs = self.near_pairs(rows, "first")
+        crowded = bool(rows.where(many).limit(1).count())
+        if crowded:  # a few members of each bucket, drawn at random, with all of it
+            rows = ws.keep(rows.where(many), "many")
+            drawn = rows.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("rep", "bucket"), "rep")).getField("rep").alias("rep"))
+            pivots = drawn.select("bucket", "rep", F.lit(True).alias("pivot"))
+            pairs.append(self.dealt(rows.join(pivots, ["bucket", "rep"], "left"), F.coalesce("pivot", F.lit(False)), "pivots"))
+        roots = self.settled(roots, self.confirmed(pairs, "second"), "second")
+        if not crowded:
+            return roots
+        pairs, links = [], []
+        rows = self.conflicts(placed(rows), "crowded")
+        facts = self.classes.select("rep", "n", "sig").mapInArrow(_sketch, "rep long, n long, s0 long, s1 long")
+        for depth in range(WIDE_ROUNDS + 1):
+            pairs += self.near_pairs(rows, str(depth))
+            rest = rows.where(many)
+            if not rest.limit(1).count():
+                break
+            if depth == WIDE_ROUNDS:
+                links.append(self.in_blocks(rest, str(depth)))
+                break
+            signed = rest.select("bucket", "rep", "comp").join(self.classes.select("rep", "sig"), "rep")
+            wide = ws.keep(signed.mapInArrow(_wide_bands(depth), "parent long, bucket long, rep long, comp long"), f"wide-{depth}")
+            parts = wide.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            parts = ws.keep(parts.where("low <> high").drop("low", "high"), f"parts-{depth}")
+            left = parts.groupBy("parent").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("left"))
+            dense = rest.groupBy(F.col("bucket").alias("parent")).agg(F.first("m").cast("double").alias("m")).join(left, "parent")
+            dense = ws.keep(dense.where(F.col("left") * THINNING > F.col("m") * F.col("m")).select("parent"), f"dense-{depth}")
+            links.append(self.in_blocks(rest.join(dense.withColumnRenamed("parent", "bucket"), "bucket", "left_semi"), str(depth)))
+            sparse = parts.join(dense, "parent", "left_anti").select("bucket")
+            rows = self.conflicts(wide.select("bucket", "rep", "comp").join(sparse, "bucket", "left_semi").join(facts, "rep"), str(depth))
+            ws.drop(f"wide-{depth}", f"parts-{depth}")
+        out = self.confirmed(pairs, "third")
+        for x in links:
+            out = out.unionByName(x)
+        return self.settled(roots, out, "third")
+
+    def in_blocks(self, rows: DataFrame, depth: str) -> DataFrame:
+        """Links of crowded buckets that stay alike, from rows (bucket, main, rep, comp, n)."""
+        ws = self.ws
+        rows = rows.select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("other"), (8 * F.col("n") + 2 * BUCKETS).alias("bytes"))
+        if not rows.limit(1).count():
+            return self.src.sparkSession.createDataFrame([], "u long, v long")
+        blocks = lambda b: F.ceil(F.greatest(F.sum(b), F.lit(1)) / BLOCK_BYTES).cast("int")
+        sizes = rows.groupBy("bucket").agg(blocks(F.col("bytes")).alias("nx"), blocks(F.when(F.col("other"), F.col("bytes"))).alias("ny"))
+        rows = ws.keep(rows.drop("bytes").join(sizes, "bucket"), f"crowded-{depth}")
+        sets = self.sets(rows.select("rep").distinct(), f"crowded-{depth}")
+        facts = sets.join(self.classes.select("rep", "n", "sig"), "rep")
+        place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = (
+            rows.select("bucket", "rep", "comp", F.lit(0).alias("side"), place("nx").alias("x"), every("ny").alias("y"))
+            .unionByName(rows.where("other").select("bucket", "rep", "comp", F.lit(1).alias("side"), place("ny").alias("y"), every("nx").alias("x")))
+            .join(facts, "rep")
+            .repartition(F.col("bucket"), F.col("x"), F.col("y"))
+            .sortWithinPartitions("bucket", "x", "y")
+        )
+        out = ws.keep(dealt.mapInArrow(_blocks(self.rule), "u long, v long"), f"blocks-{depth}")
+        ws.drop(f"sets-crowded-{depth}", f"crowded-{depth}")
+        return out
+
+
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, class_id.
 
@@ -255,66 +527,32 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     """
     ws = Workspace(docs.sparkSession, "neardup")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = ws.keep(src.mapInArrow(_sign(rule), "doc_id long, n long, key binary, sig binary, bands array<long>"), "signed")
+    signed = ws.keep(src.mapInArrow(_sign(rule), "doc_id long, n long, key binary, sig binary"), "signed")
     classes = ws.keep(
-        signed.where("key is not null and doc_id is not null")
-        .groupBy("key")
-        .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands")),
-        "classes",
-    )
-    banded = ws.keep(
-        classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
-        .where("value <> 0")
-        .select("rep", "n", F.xxhash64("band", "value").alias("bucket")),
-        "banded",
+        signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes"
     )
+    banded = ws.keep(classes.where(F.col("n") >= rule.least).select("rep", "sig").mapInArrow(_bands, "bucket long, rep long"), "banded")
+    sketch = classes.select("rep", "n", "sig").mapInArrow(_sketch, "rep long, n long, s0 long, s1 long")
     heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = ws.keep(banded.join(heads, "bucket"), "shared")
+    shared = ws.keep(banded.join(heads, "bucket").join(sketch, "rep"), "shared")
+    ws.drop("banded")
+    search = _Search(ws, rule, src, classes)
 
     # round 1: every member with the smallest of its bucket
-    lean = classes.select("rep", "n", "sig")
-    of = lambda end: lean.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
-    pairs = shared.where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
-    likely = ws.keep(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", "sig_u", "sig_v").mapInArrow(_promising(rule), "u long, v long"), "likely")
-
-    # full sets, only of documents that share a bucket
-    wanted = likely.select(F.col("u").alias("rep")).unionByName(likely.select(F.col("v").alias("rep"))).unionByName(shared.where("size > 2").select("rep")).distinct()
-    wanted = wanted.join(classes.select("rep", "key"), "rep")
-    sets = src.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(rule), "doc_id long, key binary, members binary")
-    sets = ws.keep(sets.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]), "sets")
-    by_rep = sets.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias("rep"), "members")
-    full = lambda end: by_rep.select(F.col("rep").alias(end), F.col("members").alias(f"set_{end}"))
-    links = ws.keep(likely.join(full("u"), "u").join(full("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(rule), "u long, v long"), "links")
+    first = shared.where("rep = head").select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("n", "s0", "s1")])
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in ("s0", "s1")), F.lit(0))
+    fits = (100 * F.least("n", "h_n") >= rule.percent * F.greatest("n", "h_n")) & (bits <= differing(rule.percent))
+    pairs = shared.where("rep <> head").join(first, "bucket").where(fits).select(F.col("head").alias("u"), F.col("rep").alias("v"))
+    links = search.confirmed([pairs], "first")
     roots = ws.keep(components(ws, links, "first"), "roots")
 
-    # round 2: what its bucket still holds apart, against the whole bucket in blocks of bounded bytes
-    rows = shared.where("size > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "head", F.coalesce("root", "rep").alias("comp"))
-    apart = rows.groupBy("bucket").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("rep") == F.col("head"), F.col("comp"))).alias("main")
-    )
-    rows = rows.join(apart.where("low <> high"), "bucket")
-    rows = rows.select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("other"), (8 * F.col("n") + 2 * BUCKETS).alias("bytes"))
-    blocks = lambda b: F.ceil(F.greatest(F.sum(b), F.lit(1)) / BLOCK_BYTES).cast("int")
-    sizes = rows.groupBy("bucket").agg(blocks(F.col("bytes")).alias("nx"), blocks(F.when(F.col("other"), F.col("bytes"))).alias("ny"))
-    rows = ws.keep(rows.drop("bytes").join(sizes, "bucket"), "rows")
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    facts = ws.keep(by_rep.join(lean, "rep"), "facts")
-    dealt = (
-        rows.select("bucket", "rep", "comp", F.lit(0).alias("side"), place("nx").alias("x"), every("ny").alias("y"))
-        .unionByName(rows.where("other").select("bucket", "rep", "comp", F.lit(1).alias("side"), place("ny").alias("y"), every("nx").alias("x")))
-        .join(facts, "rep")
-        .repartition(F.col("bucket"), F.col("x"), F.col("y"))
-        .sortWithinPartitions("bucket", "x", "y")
-    )
-    more = ws.keep(dealt.mapInArrow(_blocks(rule), "u long, v long"), "more")
-    tree = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
-    roots = ws.keep(components(ws, tree.unionByName(more), "second"), "final")
+    # round 2: what its bucket still holds apart
+    roots = search.apart(shared.where("size > 2"), roots)
+    ws.drop("shared")
 
     found = classes.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n", "key").join(found, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    ws.drop("banded", "shared", "likely", "links", "rows", "sets")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
