@@ -45,8 +45,8 @@ STAGES = [
     ("mix_sources", mix_sources),
     ("best_fit_packing", pack),
 ]
-#: Token ids and the subset-sum program have no SQL form.  The tests compare stages with their operators, line_dedup's
-#: rows on a small fixture with plain Python; no test compares the rows of mix_sources or of run() with such a version.
+#: Token ids and the subset-sum program have no SQL form: tests/llm/test_pipeline_rows.py compares the rows of every
+#: stage and of run() with plain Python on a small fixture.
 ORACLE_SQL = None
 
 
