@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,8 +164,12 @@ def rowcount_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @made("sink_tsv_roundtrip", "SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS s, 'a' || chr(9) || 'b\\' || o_orderkey AS t FROM orders")
 def sink_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = engine(spark, sf_dir).sql("SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS s, 'a' || CHR(9) || 'b\\' || o_orderkey AS t FROM orders")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="oriel-tsv-")
-    path = f"{folder.rstrip('/')}/oriel-tsv-{abs(hash(sf_dir))}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="oriel-tsv-")
+    path = f"{folder.rstrip('/')}/oriel-tsv-{uuid.uuid4().hex}"
     write_tsv(df, path)
     return read_tsv(spark, path, df.schema)
 
