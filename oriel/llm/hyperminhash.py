@@ -10,9 +10,10 @@ Equal sets form one class before anything is compared, so copies never become
 pairs.  A bucket of any size first costs a number of pairs linear in its members:
 each member is compared with the bucket's smallest one.  What that leaves in
 other components is compared with the rest of its bucket, by sketches of a bit a
-register: at once where the bucket, or what is apart in it, is at most ``CROWD``.
+register and then by the estimate, each pair in the first band that it shares: at once where the bucket, or what is apart in it, is at most ``CROWD``.
 A larger bucket is compared with a few of its members drawn at random, which joins
-what is alike; if it then still holds components apart, it is banded again, with wider bands of other registers, until its
+what is alike; if it then still holds components apart, it is compared in blocks, or
+from ``WIDE_FROM`` members on banded again, with wider bands of other registers, until its
 parts are that small, so documents that share a template and little else part
 ways.  Where wider bands would not thin a bucket out, its documents being alike
 but below the threshold, it is compared block by block, and only links that join
@@ -52,8 +53,12 @@ CROWD = 128
 WIDE_ROWS, WIDE_BANDS, WIDE_ROUNDS = 6, 64, 4
 #: A bucket is banded again only if that leaves a quarter of its pairs or less.
 THINNING = 4
+#: Members of a bucket from which it is banded again; smaller ones are compared in blocks, so a member has at most so many partners.
+WIDE_FROM = 2048
+#: Ids (of 8 bytes) that are broadcast to fetch their documents; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 #: Members of a larger bucket that all of it is compared with before it is banded again.
-PIVOTS = 8
+PIVOTS = 4
 #: Rows of a bucket in a block that a few of its members are compared with.
 BLOCK_ROWS = 4096
 #: Bytes of shingle sets that either side of a block holds.
@@ -244,17 +249,34 @@ def differing(percent: int) -> int:
 
 
 def _near(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, rule: NearDup) -> np.ndarray:
-    """Which of the rows i and j are of other components, of fitting sizes and of like sketches."""
+    """Which of the rows i and j may be a link that this bucket has to report.
+
+    They are of other components, of fitting sizes, of like sketches, and can reach the threshold by the
+    estimate.  A pair that meets in an earlier band of the first round is that band's bucket's to report.
+    """
     n, m = a["n"][i], a["n"][j]
-    good = (a["comp"][i] != a["comp"][j]) & (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m))
-    i, j = i[good], j[good]
-    # counted as unsigned words: of signed ones numpy counts the absolute value
-    bits = sum(np.bitwise_count((a[c][i] ^ a[c][j]).view(np.uint64)).astype(int) for c in ("s0", "s1"))
-    good[good] = bits <= differing(rule.percent)
+    at = np.flatnonzero((a["comp"][i] != a["comp"][j]) & (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)))
+    bits = np.bitwise_count(a["sketch"][i[at]] ^ a["sketch"][j[at]]).sum(1, dtype=int)
+    at = at[bits <= differing(rule.percent)]
+    good = np.zeros(len(i), bool)
+    for z in range(0, len(at), 1 << 14):
+        some = at[z : z + (1 << 14)]
+        x, y = a["sig"][i[some]], a["sig"][j[some]]
+        bands, other = x.view(np.uint64), y.view(np.uint64)
+        before = np.arange(BANDS)[None, :] < a["band"][i[some], None]
+        met = ((bands == other) & (bands != 0) & before).any(1)
+        est, used = estimate(x, y, n[some], m[some])
+        good[some] = hopeful(est, used, rule.percent) & ~met
     return good
 
 
-COLUMNS = ("bucket", "rep", "comp", "n", "s0", "s1")
+COLUMNS = ("bucket", "rep", "comp", "n")
+
+
+def _facts(bucket: np.ndarray, sig: np.ndarray) -> dict[str, np.ndarray]:
+    """Signatures, their sketches, and the band of the first round that a row's bucket is, 0 for later rounds'."""
+    keys = _bucket_keys(np.ascontiguousarray(sig).view(np.uint64), 0) == bucket[:, None]
+    return {"sig": sig, "sketch": np.packbits(sig & 1, axis=1).view(np.uint64), "band": np.argmax(keys, axis=1)}
 
 
 def _pairs(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
@@ -267,13 +289,15 @@ def _crowds(rule: NearDup):
     """Candidates within buckets of at most CROWD rows, from rows sorted by bucket: row i with row i + 1, i + 2, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = {c: np.zeros(0, np.int64) for c in COLUMNS}
+        rest = {c: np.zeros(0, np.int64) for c in COLUMNS} | {"sig": np.zeros((0, BUCKETS), np.uint16)}
         for batch in chain(batches, [None]):
-            if batch is not None:
-                rest = {c: np.concatenate([rest[c], batch.column(c).to_numpy()]) for c in COLUMNS}
+            if batch is not None and batch.num_rows:
+                own = {c: batch.column(c).to_numpy() for c in COLUMNS} | {"sig": _signatures(batch.column("sig"))}
+                rest = {c: np.concatenate([rest[c], x]) for c, x in own.items()}
             b = rest["bucket"]
             cut = len(b) if batch is None else int(np.searchsorted(b, b[-1])) if len(b) else 0  # the last bucket may go on
             a, rest = {c: x[:cut] for c, x in rest.items()}, {c: x[cut:] for c, x in rest.items()}
+            a |= _facts(a["bucket"], a["sig"])
             b, left = a["bucket"], np.arange(cut)
             for shift in range(1, cut):
                 left = left[left + shift < cut]
@@ -286,12 +310,14 @@ def _crowds(rule: NearDup):
     return run
 
 
-def _few_apart(rule: NearDup):
-    """Candidates between the few members apart (``other``) and a block of their bucket."""
+def _few_apart(rule: NearDup, once: bool):
+    """Candidates between few members (``other``) and a block of their bucket; ``once``: in their first band only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_groups(batches, ["bucket", "x"]):
             a = {c: t.column(c).to_numpy() for c in COLUMNS}
+            a |= _facts(a["bucket"], _signatures(t.column("sig")))
+            a["band"] = a["band"] * once
             rows = np.flatnonzero(~t.column("other").to_numpy())
             for r in np.flatnonzero(t.column("other").to_numpy()):
                 if (good := _near(a, rows, np.full(len(rows), r), rule)).any():
@@ -354,10 +380,9 @@ def _blocks(rule: NearDup):
             return x
 
         found: list[tuple[float, int, int]] = []
-        # a pair that meets in an earlier band of the first round is that bucket's
+        # a pair that meets in an earlier band of the first round is that band's bucket's to report
         bands = sig.view(np.uint64)
-        own = np.flatnonzero(_bucket_keys(bands[:1], 0)[0] == t.column("bucket")[0].as_py())
-        earlier = bands[:, : own[0]] if len(own) else bands[:, :0]
+        earlier = bands[:, : _facts(t.column("bucket").to_numpy()[:1], sig[:1])["band"][0]]
         signs = 2 * (sig & 1).astype(np.float32) - 1  # the product of two rows is their agreeing bits less the others
         for a in range(0, len(right), 512):
             i, j = np.nonzero(signs[right[a : a + 512]] @ signs[left].T >= BUCKETS - 2 * differing(rule.percent))
@@ -391,29 +416,38 @@ class _Search:
     def __init__(self, ws: Workspace, rule: NearDup, src: DataFrame, classes: DataFrame):
         self.ws, self.rule, self.src, self.classes = ws, rule, src, classes
 
+    def promising(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that can reach the threshold by the estimate from signatures."""
+        of = lambda end: self.classes.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
+        signed = pairs.distinct().join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", "sig_u", "sig_v")
+        return signed.mapInArrow(_promising(self.rule), "u long, v long")
+
+    def signed(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.classes.select("rep", "sig"), "rep")
+
     def sets(self, wanted: DataFrame, label: str) -> DataFrame:
         """(rep, members): the full shingle sets of the classes ``wanted`` (rep)."""
         keys = wanted.join(self.classes.select("rep", "key"), "rep").select(F.col("rep").alias("doc_id"), "key")
-        found = self.src.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(self.rule), "doc_id long, key binary, members binary")
+        ids = wanted.select(F.col("rep").alias("doc_id"))
+        if wanted.count() <= BROADCAST_IDS:  # the texts are not shuffled
+            ids = F.broadcast(ids)
+        found = self.src.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.rule), "doc_id long, key binary, members binary")
         found = found.join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
         return self.ws.keep(found.select(F.col("doc_id").alias("rep"), "members"), f"sets-{label}")
 
     def confirmed(self, pairs: list[DataFrame], label: str) -> DataFrame:
-        """The pairs (u, v) that reach the threshold: by the estimate from signatures, then by full sets."""
-        pairs = functools.reduce(DataFrame.unionByName, pairs).distinct()
-        of = lambda end: self.classes.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
-        signed = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", "sig_u", "sig_v")
-        likely = self.ws.keep(signed.mapInArrow(_promising(self.rule), "u long, v long"), f"likely-{label}")
-        wanted = likely.select(F.col("u").alias("rep")).unionByName(likely.select(F.col("v").alias("rep"))).distinct()
+        """The candidates (u, v) that reach the threshold by their full sets."""
+        likely = self.ws.keep(functools.reduce(DataFrame.unionByName, pairs).distinct(), f"likely-{label}")
+        wanted = self.ws.keep(likely.select(F.col("u").alias("rep")).unionByName(likely.select(F.col("v").alias("rep"))).distinct(), f"wanted-{label}")
         sets = self.sets(wanted, label)
         full = lambda end: sets.select(F.col("rep").alias(end), F.col("members").alias(f"set_{end}"))
         links = likely.join(full("u"), "u").join(full("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(self.rule), "u long, v long")
         links = self.ws.keep(links, f"links-{label}")
-        self.ws.drop(f"sets-{label}", f"likely-{label}")
+        self.ws.drop(f"sets-{label}", f"likely-{label}", f"wanted-{label}")
         return links
 
     def conflicts(self, rows: DataFrame, label: str) -> DataFrame:
-        """Rows (bucket, rep, comp, n, s0, s1) of buckets that hold several components, with the bucket's size m,
+        """Rows (bucket, rep, comp, n) of buckets that hold several components, with the bucket's size m,
         the component ``main`` of one of its members, and how many members ``o`` are of others."""
         some = F.min(F.struct(F.xxhash64("rep", "bucket"), "comp")).getField("comp")
         main = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), some.alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
@@ -421,20 +455,20 @@ class _Search:
         others = rows.where("other").groupBy("bucket").agg(F.count(F.lit(1)).alias("o"))
         return self.ws.keep(rows.join(others, "bucket"), f"rows-{label}")
 
-    def dealt(self, rows: DataFrame, chosen: Column, label: str) -> DataFrame:
+    def dealt(self, rows: DataFrame, chosen: Column, once: bool, label: str) -> DataFrame:
         """Candidates between the ``chosen`` rows of a bucket, which are few, and all of its rows, block by block."""
         rows = rows.withColumn("nx", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
         all_x = F.explode(F.sequence(F.lit(0), F.col("nx") - 1))
         mine = rows.select(*COLUMNS, F.lit(False).alias("other"), F.pmod(F.xxhash64("rep"), F.col("nx")).cast("int").alias("x"))
         out = mine.unionByName(rows.where(chosen).select(*COLUMNS, F.lit(True).alias("other"), all_x.alias("x")))
-        out = out.repartition("bucket", "x").sortWithinPartitions("bucket", "x")
-        return self.ws.keep(out.mapInArrow(_few_apart(self.rule), "u long, v long").distinct(), label)
+        out = self.signed(out).repartition("bucket", "x").sortWithinPartitions("bucket", "x")
+        return self.ws.keep(out.mapInArrow(_few_apart(self.rule, once), "u long, v long"), label)
 
     def near_pairs(self, rows: DataFrame, label: str) -> list[DataFrame]:
         """Candidates of the buckets that are small, or in which few members are apart."""
-        small = rows.where(F.col("m") <= CROWD).select(*COLUMNS).repartition("bucket").sortWithinPartitions("bucket")
-        crowds = self.ws.keep(small.mapInArrow(_crowds(self.rule), "u long, v long").distinct(), f"crowds-{label}")
-        return [crowds, self.dealt(rows.where((F.col("m") > CROWD) & (F.col("o") <= CROWD)), F.col("other"), f"few-{label}")]
+        small = self.signed(rows.where(F.col("m") <= CROWD).select(*COLUMNS)).repartition("bucket").sortWithinPartitions("bucket")
+        crowds = self.ws.keep(small.mapInArrow(_crowds(self.rule), "u long, v long"), f"crowds-{label}")
+        return [crowds, self.dealt(rows.where((F.col("m") > CROWD) & (F.col("o") <= CROWD)), F.col("other"), True, f"few-{label}")]
 
     def settled(self, roots: DataFrame, links: DataFrame, label: str) -> DataFrame:
         """(node, root) after further links."""
@@ -442,9 +476,9 @@ class _Search:
         return self.ws.keep(components(self.ws, tree.unionByName(links), label), f"roots-{label}")
 
     def apart(self, rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """(node, root) after the links between components within buckets, from rows (bucket, rep, n, s0, s1)."""
+        """(node, root) after the links between components within buckets, from rows (bucket, rep, n)."""
         ws, rule = self.ws, self.rule
-        bare = ["bucket", "rep", "n", "s0", "s1"]
+        bare = ["bucket", "rep", "n"]
 
         def placed(r: DataFrame) -> DataFrame:
             return r.select(*bare).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*bare, F.coalesce("root", "rep").alias("comp"))
@@ -457,16 +491,16 @@ class _Search:
             rows = ws.keep(rows.where(many), "many")
             drawn = rows.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("rep", "bucket"), "rep")).getField("rep").alias("rep"))
             pivots = drawn.select("bucket", "rep", F.lit(True).alias("pivot"))
-            pairs.append(self.dealt(rows.join(pivots, ["bucket", "rep"], "left"), F.coalesce("pivot", F.lit(False)), "pivots"))
+            pairs.append(self.dealt(rows.join(pivots, ["bucket", "rep"], "left"), F.coalesce("pivot", F.lit(False)), False, "pivots"))
         roots = self.settled(roots, self.confirmed(pairs, "second"), "second")
         if not crowded:
             return roots
         pairs, links = [], []
         rows = self.conflicts(placed(rows), "crowded")
-        facts = self.classes.select("rep", "n", "sig").mapInArrow(_sketch, "rep long, n long, s0 long, s1 long")
         for depth in range(WIDE_ROUNDS + 1):
             pairs += self.near_pairs(rows, str(depth))
-            rest = rows.where(many)
+            links.append(self.in_blocks(rows.where(many & (F.col("m") <= WIDE_FROM)), f"{depth}-small"))
+            rest = rows.where(many & (F.col("m") > WIDE_FROM))
             if not rest.limit(1).count():
                 break
             if depth == WIDE_ROUNDS:
@@ -481,7 +515,7 @@ class _Search:
             dense = ws.keep(dense.where(F.col("left") * THINNING > F.col("m") * F.col("m")).select("parent"), f"dense-{depth}")
             links.append(self.in_blocks(rest.join(dense.withColumnRenamed("parent", "bucket"), "bucket", "left_semi"), str(depth)))
             sparse = parts.join(dense, "parent", "left_anti").select("bucket")
-            rows = self.conflicts(wide.select("bucket", "rep", "comp").join(sparse, "bucket", "left_semi").join(facts, "rep"), str(depth))
+            rows = self.conflicts(wide.select("bucket", "rep", "comp").join(sparse, "bucket", "left_semi").join(self.classes.select("rep", "n"), "rep"), str(depth))
             ws.drop(f"wide-{depth}", f"parts-{depth}")
         out = self.confirmed(pairs, "third")
         for x in links:
@@ -497,7 +531,7 @@ class _Search:
         blocks = lambda b: F.ceil(F.greatest(F.sum(b), F.lit(1)) / BLOCK_BYTES).cast("int")
         sizes = rows.groupBy("bucket").agg(blocks(F.col("bytes")).alias("nx"), blocks(F.when(F.col("other"), F.col("bytes"))).alias("ny"))
         rows = ws.keep(rows.drop("bytes").join(sizes, "bucket"), f"crowded-{depth}")
-        sets = self.sets(rows.select("rep").distinct(), f"crowded-{depth}")
+        sets = self.sets(ws.keep(rows.select("rep").distinct(), f"members-{depth}"), f"crowded-{depth}")
         facts = sets.join(self.classes.select("rep", "n", "sig"), "rep")
         place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -509,7 +543,7 @@ class _Search:
             .sortWithinPartitions("bucket", "x", "y")
         )
         out = ws.keep(dealt.mapInArrow(_blocks(self.rule), "u long, v long"), f"blocks-{depth}")
-        ws.drop(f"sets-crowded-{depth}", f"crowded-{depth}")
+        ws.drop(f"sets-crowded-{depth}", f"crowded-{depth}", f"members-{depth}")
         return out
 
 
@@ -543,7 +577,7 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in ("s0", "s1")), F.lit(0))
     fits = (100 * F.least("n", "h_n") >= rule.percent * F.greatest("n", "h_n")) & (bits <= differing(rule.percent))
     pairs = shared.where("rep <> head").join(first, "bucket").where(fits).select(F.col("head").alias("u"), F.col("rep").alias("v"))
-    links = search.confirmed([pairs], "first")
+    links = search.confirmed([search.promising(pairs)], "first")
     roots = ws.keep(components(ws, links, "first"), "roots")
 
     # round 2: what its bucket still holds apart

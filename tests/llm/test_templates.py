@@ -39,6 +39,7 @@ def test_candidates_grow_in_proportion(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(Workspace, "keep", counted)
+    monkeypatch.setattr(hyperminhash, "WIDE_FROM", hyperminhash.CROWD)
     seen = []
     for n in (600, 1200):
         made.clear()
