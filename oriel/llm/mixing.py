@@ -16,12 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, word_count
 
+#: Bytes of a plan that is broadcast; a larger one, of very many sources, is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Places that the documents of one source and length are dealt to.
 BUCKETS = 1024
 
@@ -137,21 +139,22 @@ def _shares(sources: DataFrame, rule: Mix) -> DataFrame:
     return ranked.select("key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, rule: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken, copies.
+def _sized(docs: DataFrame, rule: Mix, id_col: str, text_col: str, source_col: str, *more: str | Column) -> DataFrame:
+    """doc_id, key, size, turn, bucket of every row; sources as keys that are never null: "=" and the name, or nothing."""
+    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    src = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), word_count(F.col(text_col).cast("string")).alias("size"), *more)
+    src = src.withColumn("turn", F.xxhash64(F.lit(rule.seed), _name()))
+    return src.withColumn("bucket", F.pmod("turn", F.lit(BUCKETS)).cast("int"))
 
-    ``copies`` says how often the mix holds the document, ``taken`` how many words
-    that makes; it is at most ``rule.most`` rounds.  A null source is a source of its
-    own, the last in order; a null text has no words and is never taken.  Null and
-    repeated ids are allowed: rows alike in id, size and source get their turns
-    in an order that only they share.  The same rows give the same mix on every run.
-    """
+
+def _name() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
+def _planned(docs: DataFrame, rule: Mix, id_col: str, text_col: str, source_col: str) -> tuple[Workspace, DataFrame, DataFrame, DataFrame]:
+    """The sized rows, the sources' shares, and by source and length the whole rounds and how many documents go once more."""
     ws = Workspace(docs.sparkSession, "mix")
-    # sources as keys that are never null: "=" and the name, or nothing
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    src = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), word_count(F.col(text_col).cast("string")).alias("size"))
-    src = src.withColumn("turn", F.xxhash64(F.lit(rule.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = ws.keep(src.withColumn("bucket", F.pmod("turn", F.lit(BUCKETS)).cast("int")), "sized")
+    sized = ws.keep(_sized(docs, rule, id_col, text_col, source_col), "sized")
     by_length = ws.keep(sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     sources = by_length.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     shares = ws.keep(_shares(ws.keep(sources, "sources"), rule), "shares")
@@ -169,19 +172,57 @@ def mix(docs: DataFrame, rule: Mix = Mix(), id_col: str = "doc_id", text_col: st
         return group.assign(extra=chosen)[["key", "size", "rounds", "extra"]]
 
     plan = ws.keep(plan.groupBy("key").applyInPandas(extra, "key string, size long, rounds int, extra long"), "plan")
+    return ws, sized, plan, shares
+
 
-    # the first `extra` documents of a length by turn: whole buckets, then a few of the bucket where the count is met
+def _by_bucket(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """By source, length and bucket: n documents, of which m go once more; the first by turn, bucket after bucket."""
     per = sized.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(plan, ["key", "size"])
-    per = per.select("key", "size", "bucket", "rounds", "n", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("m"))
-    rows = sized.join(per, ["key", "size", "bucket"])
-    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("turn", "doc_id"))
+    return per.select("key", "size", "bucket", "rounds", "n", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("m"))
+
+
+def _turns(ws: Workspace, sized: DataFrame, plan: DataFrame, shares: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row with the copies that the mix holds of it."""
+    rows = sized.join(_by_bucket(sized, plan), ["key", "size", "bucket"])
+    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("turn", _name()))
     parts = [
         rows.where("m = 0 or m = n").withColumn("more", F.col("m") > 0),
         rows.where("m > 0 and m < n").withColumn("more", rank <= F.col("m")),
     ]
     rows = parts[0].unionByName(parts[1]).withColumn("copies", F.col("rounds") + F.col("more").cast("int"))
+    return rows, shares
+
+
+def _cuts(ws: Workspace, sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """By source and length: rounds, and the place (bucket, turn, name) up to which documents go once more.
+
+    Of the ``same`` rows at that place itself ``among`` go; the place of a whole bucket has no turn.
+    """
+    per = ws.keep(_by_bucket(sized, plan).where("m > 0"), "per")
+    last = per.groupBy("key", "size").agg(F.max(F.struct("bucket", "m", "n")).alias("l")).select("key", "size", "l.*")
+    part = last.where("m < n").select("key", "size", "bucket", "m")
+    rows = sized.join(part, ["key", "size", "bucket"]).select("key", "size", "bucket", "m", "turn", _name().alias("name"))
+    # rows alike are one entry with a count, so the place is found on distinct ids
+    alike = rows.groupBy("key", "size", "bucket", "m", "turn", "name").agg(F.count(F.lit(1)).alias("same"))
+    running = F.sum("same").over(Window.partitionBy("key", "size", "bucket").orderBy("turn", "name"))
+    alike = alike.withColumn("upto", running).where((F.col("upto") >= F.col("m")) & (F.col("upto") - F.col("same") < F.col("m")))
+    at = alike.select("key", "size", "turn", "name", "same", (F.col("m") - F.col("upto") + F.col("same")).alias("among"))
+    cuts = plan.select("key", "size", "rounds").join(last.select("key", "size", F.col("bucket").alias("cut_bucket")), ["key", "size"], "left")
+    return ws.keep(cuts.join(at.withColumnsRenamed({"turn": "cut_turn", "name": "cut_name"}), ["key", "size"], "left"), "cuts")
+
+
+def mix(docs: DataFrame, rule: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken, copies.
+
+    ``copies`` says how often the mix holds the document, ``taken`` how many words
+    that makes; it is at most ``rule.most`` rounds.  A null source is a source of its
+    own, the last in order; a null text has no words and is never taken.  Null and
+    repeated ids are allowed: rows alike in id, size and source get their turns
+    in an order that only they share.  The same rows give the same mix on every run.
+    """
+    rows, shares = _turns(*_planned(docs, rule, id_col, text_col, source_col))
     out = rows.join(shares, "key")
     return out.select(
         "doc_id", F.when(F.col("key") != "", F.expr("substring(key, 2)")).alias("source"), "size", "source_size", "target",
@@ -191,18 +232,26 @@ def mix(docs: DataFrame, rule: Mix = Mix(), id_col: str = "doc_id", text_col: st
 
 def mixed(docs: DataFrame, rule: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the documents' rows and columns, each row as often as the mix holds it."""
-    turns = mix(docs, rule, id_col, text_col, source_col)
-    alike = turns.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    alike = Workspace(docs.sparkSession, "mixed").keep(alike.agg(F.sort_array(F.collect_list("copies")).alias("__copies")), "turns")
-    rows = docs.select(F.struct("*").alias("__row"))
-    rows = rows.withColumn("__size", word_count(F.col("__row").getField(text_col).cast("string")))
-    same = F.col("__row").getField(id_col).eqNullSafe(F.col("__id")) & F.col("__row").getField(source_col).cast("string").eqNullSafe(F.col("__source"))
-    rows = rows.join(alike.withColumnRenamed("__size", "__n"), same & (F.col("__size") == F.col("__n")))
-    if alike.where(F.size("__copies") > 1).limit(1).count():  # rows alike take their turns by their texts
+    ws, sized, plan, _ = _planned(docs, rule, id_col, text_col, source_col)
+    cuts = _cuts(ws, sized, plan)
+    # a row tells by itself whether it goes once more: the documents are not shuffled
+    small = (cuts.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("cut_name"), F.lit(0)) + F.lit(64))).first()[0] or 0) <= BROADCAST_BYTES
+    wrapped = docs.select(F.struct("*").alias("__row"))
+    part = lambda c: F.col("__row").getField(c)
+    rows = wrapped.select("__row", part(id_col).alias("__id"), part(text_col).alias("__text"), part(source_col).alias("__source"))
+    rows = _sized(rows, rule, "__id", "__text", "__source", "__row").join(F.broadcast(cuts) if small else cuts, ["key", "size"])
+    at, cut = F.struct("turn", _name()), F.struct("cut_turn", "cut_name")
+    more = (
+        F.when(F.col("cut_bucket").isNull() | (F.col("bucket") > F.col("cut_bucket")), 0)
+        .when((F.col("bucket") < F.col("cut_bucket")) | F.col("cut_turn").isNull() | (at < cut), 1)
+        .when(at == cut, F.when(F.col("same") == F.col("among"), 1))  # else some of these rows: null
+        .otherwise(0)
+    )
+    rows = rows.withColumn("more", more)
+    out = rows.where("more is not null").select("__row", (F.col("rounds") + F.col("more")).alias("copies"))
+    if cuts.where("same > among").limit(1).count():  # rows alike take their turns by their texts
         text = F.col("__row").getField(text_col).cast("string")
-        rank = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy(F.xxhash64(text), text))
-        rows = rows.withColumn("__k", rank)
-    else:
-        rows = rows.withColumn("__k", F.lit(1))
-    copies = F.expr("__copies[__k - 1]")
-    return rows.where(copies > 0).select("__row", F.explode(F.expr("sequence(1, __copies[__k - 1])")).alias("__turn")).select("__row.*")
+        rank = F.row_number().over(Window.partitionBy("key", "size").orderBy(F.xxhash64(text), text))
+        some = rows.where("more is null").withColumn("more", (rank <= F.col("among")).cast("int"))
+        out = out.unionByName(some.select("__row", (F.col("rounds") + F.col("more")).alias("copies")))
+    return out.where("copies > 0").select("__row", F.explode(F.expr("sequence(1, copies)")).alias("__turn")).select("__row.*")

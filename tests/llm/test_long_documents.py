@@ -79,3 +79,13 @@ def test_four_million_distinct_words_repeat_nothing(spark):
     text = " ".join(map(str, range(4_000_000)))
     row = quality.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row.n_words, row.n_repeat_words) == (4_000_000, 0)
+
+
+def test_the_mix_itself_holds_the_copies_that_are_planned(spark):
+    r = random.Random(12)
+    rows = [(i, "w " * r.choice([0, 1, 2, 3, 5, 8, 900]), r.choice(["a", "b", None]), "key") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key string")
+    want = {x.doc_id: x.copies for x in mixing.mix(docs).collect() if x.copies}
+    out = mixing.mixed(docs)
+    got = {x.doc_id: x["count"] for x in out.groupBy("doc_id").count().collect()}
+    assert got == want and out.columns == docs.columns and len({*want.values()}) == 2
