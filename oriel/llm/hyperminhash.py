@@ -598,5 +598,9 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
 
 def keep_first(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are their component's first, with all their columns; null ids stay."""
+    ws = Workspace(docs.sparkSession, "kept")
     others = near_duplicates(docs, rule, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    others = ws.keep(others, "gone")
+    if others.count() <= BROADCAST_IDS:  # the texts are not shuffled
+        others = F.broadcast(others)
     return docs.join(others, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
