@@ -510,7 +510,7 @@ class _Search:
             wide = ws.keep(signed.mapInArrow(_wide_bands(depth), "parent long, bucket long, rep long, comp long"), f"wide-{depth}")
             parts = wide.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
             parts = ws.keep(parts.where("low <> high").drop("low", "high"), f"parts-{depth}")
-            left = parts.groupBy("parent").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("left"))
+            left = parts.groupBy("parent").agg(F.sum(F.col("size").cast("double") * (F.col("size") - 1)).alias("left"))
             dense = rest.groupBy(F.col("bucket").alias("parent")).agg(F.first("m").cast("double").alias("m")).join(left, "parent")
             dense = ws.keep(dense.where(F.col("left") * THINNING > F.col("m") * F.col("m")).select("parent"), f"dense-{depth}")
             links.append(self.in_blocks(rest.join(dense.withColumnRenamed("parent", "bucket"), "bucket", "left_semi"), str(depth)))

@@ -5,7 +5,6 @@ import random
 import pytest
 
 from oriel.llm import hyperminhash
-from oriel.llm.common import Workspace
 
 
 def family(n, words, common, seed=8):
@@ -26,25 +25,3 @@ def test_near_copies_within_a_template_are_found(spark, common):
     rows = family(n, 120, common)
     got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hyperminhash.NearDup(4, 80)).collect()}
     assert got == {i: i if i < n else 100 * (i - n) for i, _ in rows}
-
-
-def test_candidates_grow_in_proportion(spark, monkeypatch):
-    """Documents that share half their words: twice as many make about twice the candidates, none left for blocks."""
-    made, keep = {}, Workspace.keep
-
-    def counted(self, df, name):
-        out = keep(self, df, name)
-        if name.startswith(("crowds", "few", "pivots", "likely", "blocks", "dense")):
-            made[name.split("-")[0]] = made.get(name.split("-")[0], 0) + out.count()
-        return out
-
-    monkeypatch.setattr(Workspace, "keep", counted)
-    monkeypatch.setattr(hyperminhash, "WIDE_FROM", hyperminhash.CROWD)
-    seen = []
-    for n in (600, 1200):
-        made.clear()
-        rows = family(n, 120, 60)
-        hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hyperminhash.NearDup(4, 80)).count()
-        assert not made.get("dense") and not made.get("blocks")
-        seen.append(sum(made.values()))
-    assert seen[1] < 3 * seen[0] and seen[1] < 60 * 1200
