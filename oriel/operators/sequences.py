@@ -1,19 +1,12 @@
-"""Sequences: numbers without gaps for the rows of a table, without bringing them into one task.
-
-A first pass counts the rows of each partition, which is all the driver sees; the second
-adds each partition's start.  The table is written between the passes, so that both see the same partitions.
-"""
+"""Sequences: numbers without gaps for the rows of a table, without bringing them into one task."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import accumulate
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-#: Bits of a row's number that count within its partition.
-WITHIN = 33
+from .ranks import in_order
 
 
 @dataclass
@@ -29,17 +22,19 @@ class Sequence:
         if self.next is None:
             self.next = self.start
 
-    def numbered(self, df: DataFrame, column: str, order: list[str] | None = None) -> DataFrame:
+    @property
+    def current(self) -> int:
+        """CURRVAL: the value given last."""
+        if self.next == self.start:
+            raise ValueError("a sequence has no current value before its first number")
+        return self.next - self.step
+
+    def numbered(self, df: DataFrame, column: str, order: list[str | Column] | None = None) -> DataFrame:
         """``df`` with the sequence's next values; rows are numbered in the order of ``order``, else in any order.
 
-        ``df`` has to give the same partitions each time it runs, as a table that was read does.
+        The numbers are fixed with this call: the rows are written, so reading the result again gives the same ones.
         """
-        df = df.orderBy(*order) if order else df
-        marked = df.withColumn("__id", F.monotonically_increasing_id())
-        counts = marked.groupBy(F.shiftright("__id", WITHIN).alias("part")).count().orderBy("part").collect()
-        firsts = dict(zip([r["part"] for r in counts], accumulate([r["count"] for r in counts], initial=0)))
+        out = in_order(df, order, "sequence")
         first = self.next
-        self.next += self.step * sum(r["count"] for r in counts)
-        offset = F.create_map(*[F.lit(x).cast("long") for pair in firsts.items() for x in pair]) if firsts else F.lit(None).cast("map<bigint,bigint>")
-        place = offset[F.shiftright("__id", WITHIN)] + F.col("__id").bitwiseAND(F.lit((1 << WITHIN) - 1))
-        return marked.withColumn(column, F.lit(first) + F.lit(self.step) * place).drop("__id")
+        self.next += self.step * out.total
+        return out.numbered(column, first, self.step)
