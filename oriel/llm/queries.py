@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmlextract, linededup, mixing, packing, quality, substring, urlfilter, warc
+from . import ann, htmlextract, linededup, mixing, packing, quality, sharding, substring, urlfilter, warc
 from .common import table
 from .hyperminhash import NearDup, near_duplicates
 
@@ -59,9 +59,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_removed").alias("n_removed"), "text")
 
 
+def op11_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = sharding.assign(table(spark, sf_dir, "documents"), sharding.Sharding(shards=8))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op6_html_extraction, op7_url_filters, op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op6_html_extraction, op7_url_filters,
+        op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup, op11_minimax_sharding,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
