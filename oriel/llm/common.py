@@ -215,12 +215,12 @@ IS_WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
-def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, 64-bit hash) of each word, in order; words end at document bounds."""
+def word_bounds(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word, in order; words end at document bounds."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
+        return none, none
     solid = ~IS_WHITE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -228,7 +228,15 @@ def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     first[1:] &= ~solid[:-1] | edge[1:n]
     last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, 64-bit hash) of each word, in order; words end at document bounds."""
+    n = len(data)
+    starts, ends = word_bounds(offsets, data)
+    if not n:
+        return starts, ends, starts.astype(np.uint64)
     up, down = POWERS.get(n)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)

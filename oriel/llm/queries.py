@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmlextract, linededup, mixing, packing, quality, sharding, substring, urlfilter, warc
+from . import ann, htmlextract, linededup, mixing, packing, periodic, quality, sharding, substring, urlfilter, warc
 from .common import table
 from .hyperminhash import NearDup, near_duplicates
 
@@ -64,11 +64,23 @@ def op11_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.Periodic(), periodic.planted_tail)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = periodic.longest(F.col("runs"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.call_function("div", F.lit(1000) * best["length"], best["period"]).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op6_html_extraction, op7_url_filters,
-        op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup, op11_minimax_sharding,
+        op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup, op11_minimax_sharding, op12_periodic_runs,
     )
 }
 
