@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmlextract, linededup, mixing, packing, periodic, quality, sharding, substring, urlfilter, warc
+from . import ann, htmlextract, linededup, mixing, packing, periodic, quality, sharding, substring, urlfilter, vectorcode, warc
 from .common import table
 from .hyperminhash import NearDup, near_duplicates
 
@@ -76,11 +76,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vectorcode.encode(table(spark, sf_dir, "embeddings"), vectorcode.Coding())
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_rules, op4_mix_to_weights, op5_warc_round_trip, op6_html_extraction, op7_url_filters,
-        op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup, op11_minimax_sharding, op12_periodic_runs,
+        op8_nearest_neighbours, op9_suffix_array_dedup, op10_line_dedup, op11_minimax_sharding, op12_periodic_runs, op13_vector_codes,
     )
 }
 
@@ -192,3 +197,28 @@ c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_removed, CASE WHEN c.n IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
+
+# vector codes: four rounds one after the other, every part against every entry
+_ROUND = """,
+a{k} AS MATERIALIZED (SELECT r, part, x, min(d * 256 + entry) AS best FROM (
+  SELECT p.r, p.part, p.x, c.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::BIGINT AS d
+  FROM p JOIN c{k} c ON c.part = p.part) GROUP BY r, part, x)"""
+_MEANS = """,
+m{k} AS MATERIALIZED (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+  SELECT part, entry, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT part, best % 256 AS entry, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM a{k}) GROUP BY part, entry, i) GROUP BY part, entry),
+c{n} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry)"""
+ORACLE_SQL["op13_vector_codes"] = (
+    """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS x, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 4) + 1:(part + 1) * (len(x) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS MATERIALIZED (SELECT part, r AS entry, x FROM p WHERE r < 256)"""
+    + "".join(_ROUND.format(k=k) + _MEANS.format(k=k, n=k + 1) for k in range(4))
+    + _ROUND.format(k=4)
+    + """,
+e AS (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY r)
+SELECT v.vec_id, e.code, e.error, sum(e.error) OVER (PARTITION BY v.label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256
+FROM v JOIN e ON e.r = v.r
+"""
+)
