@@ -6,7 +6,9 @@ near a boundary is replicated to each list whose centroid is nearly as close as
 closest one; a query reads the lists that distance-ratio pruning leaves.  The ratio is
 measured on the sample: the smallest with which so many of the true neighbours there
 lie in lists that are read, so data in clusters is pruned hard, and data without any
-structure reads as much as its recall needs.  Lists are dealt in blocks, so a list of any length
+structure reads as much as its recall needs.  A query on or very near a centroid counts as being a small
+radius away, which the sample gives, so ratios are finite whatever the data.  A query that wants more
+lists than the graph search returned is compared with all centroids.  Lists are dealt in blocks, so a list of any length
 is many small tasks, and each block returns the best few of each query only.  A query that finds
 fewer than it should is asked of all lists.
 """
@@ -72,6 +74,8 @@ class Centroids:
     points: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
+    #: Distances to the closest centroid count as this much at least when ratios are taken.
+    radius: float
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, rule: Spann) -> Centroids:
@@ -91,7 +95,19 @@ class Centroids:
         width = max((len(s) for s in links), default=1)
         graph = np.array([sorted(s) + [i] * (width - len(s)) for i, s in enumerate(links)], np.int64).reshape(n, width)
         step = max(1, int(np.sqrt(n)))
-        return cls(points, graph, np.arange(0, n, step))
+        out = cls(points, graph, np.arange(0, n, step), 1.0)
+        # the median distance of sampled vectors from their centroid; where they lie on centroids, that between centroids
+        own = [float(x) for a in range(0, len(sample), 256) for x in np.sqrt(out.all(sample[a : a + 256])[1][:, 0])] if n else []
+        apart = np.sqrt(np.sort(out.all(points[:256])[1], axis=1)[:, 1]) if n > 1 else np.zeros(0)
+        usual = float(np.median(own)) if own else 0.0
+        out.radius = usual or (float(np.median(apart)) if len(apart) else 0.0) or 1.0
+        return out
+
+    def all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(centroid numbers, squared distances) of all centroids, nearest first."""
+        d = np.maximum((self.points**2).sum(1)[None, :] - 2 * x @ self.points.T + (x**2).sum(1)[:, None], 0)
+        ids = np.argsort(d, axis=1, kind="stable")
+        return ids, np.take_along_axis(d, ids, 1)
 
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroid numbers, squared distances) of the beam's best, nearest first; -1 and infinity fill up."""
@@ -99,9 +115,8 @@ class Centroids:
         beam = min(beam, n)
         norms, xn = (self.points**2).sum(1), (x**2).sum(1)
         if 4 * beam >= n:  # a graph saves nothing where most of it is asked for
-            d = np.maximum(norms[None, :] - 2 * x @ self.points.T + xn[:, None], 0)
-            ids = np.argsort(d, axis=1, kind="stable")[:, :beam]
-            return ids, np.take_along_axis(d, ids, 1)
+            ids, d = self.all(x)
+            return ids[:, :beam], d[:, :beam]
         seen = np.zeros((b, n), bool)
         ids = np.full((b, beam), -1, np.int64)
         dist = np.full((b, beam), np.inf)
@@ -136,23 +151,29 @@ class Centroids:
             offer(rows, self.graph[ids[rows, at]])
         return np.where(np.isfinite(dist), ids, -1), dist
 
-    def lists(self, x: np.ndarray, beam: int, ratio: float, most: int) -> Iterator[np.ndarray]:
-        """The lists of each vector: the closest, and others up to ``ratio`` times as far."""
+    def lists(self, x: np.ndarray, beam: int, ratio: float, most: int | None = None) -> Iterator[np.ndarray]:
+        """The lists of each vector: the closest, and others up to ``ratio`` times as far; ``most`` bounds replicas."""
         for a in range(0, len(x), 256):
-            ids, d = self.search(x[a : a + 256], beam)
-            good = ids >= 0
-            if np.isfinite(ratio):
-                good &= d <= (ratio**2) * d[:, :1] + 1e-12
-            good[:, most:] = False
-            for i, g in zip(ids, good):
-                yield i[g]
+            y = x[a : a + 256]
+            ids, d = self.search(y, beam)
+            good = self.within(ids, d, ratio)
+            wide = good[:, -1] & (ids.shape[1] < len(self.points)) if most is None else np.zeros(len(y), bool)
+            more, far = self.all(y[wide]) if wide.any() else (ids[:0], d[:0])
+            rest = iter(zip(more, self.within(more, far, ratio)))
+            for i, g, w in zip(ids, good, wide):
+                i, g = next(rest) if w else (i, g)
+                yield i[g][:most]
+
+    def within(self, ids: np.ndarray, d: np.ndarray, ratio: float) -> np.ndarray:
+        """Which of the centroids found are at most ``ratio`` times as far as the closest."""
+        return (ids >= 0) & (np.sqrt(d) <= ratio * np.maximum(np.sqrt(d[:, :1]), self.radius) * (1 + 1e-9))
 
 
 def measured_ratio(index: Centroids, sample: np.ndarray, rule: Spann) -> tuple[float, int]:
-    """The distance ratio that reaches ``rule.recall`` on the sample, and the most lists that it then reads."""
+    """The distance ratio that reaches ``rule.recall`` on the sample, and the most lists that a query there then reads."""
     n, lists = len(sample), len(index.points)
     if lists < 2 or n < 2:
-        return 1.0, lists
+        return np.inf, lists
     asked = np.unique(np.linspace(0, n - 1, min(rule.measured_on, n)).astype(int))
     norms, points = (sample**2).sum(1), (index.points**2).sum(1)
     member = [set(m.tolist()) for m in index.lists(sample, rule.beam, rule.replica_ratio, rule.replicas)]
@@ -162,10 +183,10 @@ def measured_ratio(index: Centroids, sample: np.ndarray, rule: Spann) -> tuple[f
         d[q] = np.inf
         near = np.argpartition(d, min(rule.k, n - 1) - 1)[: rule.k]
         c = np.sqrt(np.maximum(points - 2 * index.points @ sample[q] + norms[q], 0))
-        ratio = c / max(c.min(), 1e-300)
+        ratio = c / max(c.min(), index.radius)
         needed += [min(ratio[j] for j in member[i]) for i in near.tolist() if i != q]
         spread.append(np.sort(ratio))
-    ratio = float(np.quantile(needed, rule.recall, method="higher"))
+    ratio = max(1.0, float(np.quantile(needed, rule.recall, method="higher")))
     return ratio, max(int(np.searchsorted(r, ratio * (1 + 1e-9), "right")) for r in spread)
 
 
@@ -183,7 +204,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _place(index: Centroids, beam: int, ratio: float, most: int):
+def _place(index: Centroids, beam: int, ratio: float, most: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -243,17 +264,16 @@ def search(vectors: DataFrame, queries: DataFrame, rule: Spann = Spann(), id_col
     sample = np.unique(_matrix(drawn.column("v")), axis=0)
     index = Centroids.fit(sample, lists, rule)
     ratio, most = measured_ratio(index, sample, rule)
-    most = min(2 * most, len(index.points))
 
     schema = f"id long, v {kind}, list long"
     posted = ws.keep(base.mapInArrow(_place(index, rule.beam, rule.replica_ratio, rule.replicas), schema), "posted")
-    probing = ws.keep(asked.mapInArrow(_place(index, max(rule.beam, most), ratio, most), schema), "probing")
+    probing = ws.keep(asked.mapInArrow(_place(index, max(rule.beam, most), ratio), schema), "probing")
     found = ws.keep(_compared(posted, probing, rule), "found")
     # queries that their lists hold too few vectors for, if there are any
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(rule.k, total - 1)).select(F.col("query_id").alias("id"))
     short = asked.join(enough, "id", "left_anti")
     if total > 1 and short.limit(1).count():
-        every = ws.keep(short.mapInArrow(_place(index, len(index.points), np.inf, len(index.points)), schema), "short")
+        every = ws.keep(short.mapInArrow(_place(index, len(index.points), np.inf), schema), "short")
         found = found.unionByName(_compared(posted, every, rule)).distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     out = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rule.k)

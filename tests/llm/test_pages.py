@@ -238,3 +238,28 @@ def test_clusters_are_pruned_and_short_queries_answered(spark):
     far = vectors(spark, [(i, [float(i % 2) * 1000, (i + 1) / 100]) for i in range(9)])
     few = ann.search(far, far, ann.Spann(list_size=2, k=7)).collect()
     assert {q: sum(g.query_id == q for g in few) for q in range(9)} == dict.fromkeys(range(9), 7)
+
+
+@pytest.mark.parametrize("distinct", [1, 20, 50])
+def test_few_distinct_vectors_among_thousands(spark, distinct):
+    r = np.random.default_rng(distinct)
+    kinds = r.normal(0, 1, (distinct, 8)).astype(np.float32)
+    x = kinds[r.integers(0, distinct, 2500)]
+    table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = ann.search(table, table.where("vec_id % 100 = 0")).collect()
+    for q in range(0, 2500, 100):
+        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+        d[q] = np.inf
+        want = sorted((float(d[i]), i) for i in range(2500))[:10]
+        assert [(g.score, g.vec_id) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == want
+
+
+def test_queries_that_want_more_lists_than_the_beam_get_them():
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (3000, 24))
+    rule = ann.Spann(list_size=8, beam=16)
+    index = ann.Centroids.fit(x, 300, rule)
+    far = np.sqrt(((x[:40, None] - index.points[None]) ** 2).sum(2))
+    for ratio in (1.3, np.inf):
+        for v, found in zip(far, index.lists(x[:40], rule.beam, ratio)):
+            assert set(found.tolist()) == set(np.flatnonzero(v <= ratio * max(v.min(), index.radius)).tolist())
