@@ -11,11 +11,14 @@ import re
 import uuid
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import Catalog, ResolutionError, normal, quoted, split_name
+from .operators.ranks import in_order
+from .operators.ranks import key as sort_key
 from .sql import tree as t
 from .sql.parser import Parser, parse_statement
 from .sql.writer import Raw, Writer, all_of
@@ -68,6 +71,7 @@ class Engine:
 
     def run(self, statement: Any, binds: dict[str, Any] | None = None, names: dict[str, Any] | None = None) -> DataFrame:
         w = self.writer(binds, names)
+        w.host = self
         if isinstance(statement, t.Query):
             text = w.query(statement)
             for s in w.setup:
@@ -76,6 +80,34 @@ class Engine:
         made = {t.Insert: self.insert, t.InsertAll: self.insert_all, t.Update: self.update, t.Delete: self.delete, t.Merge: self.merge}[type(statement)]
         return made(statement, w, binds)
 
+    # rows that get numbers: they are written, as a plan that is run twice need not give them in the same order
+
+    def _rows(self, w: Writer, text: str) -> DataFrame | None:
+        """What a part of a query gives by itself; None if it hangs on the rest."""
+        for s in w.setup:
+            self.spark.sql(s)
+        try:
+            return self.spark.sql(text, args=w.binds) if w.binds else self.spark.sql(text)
+        except AnalysisException:
+            return None
+
+    def number(self, w: Writer, text: str) -> tuple[str, int] | None:
+        """A view of the rows of ``text`` with ``__rownum`` from 1, and how many they are."""
+        if (df := self._rows(w, text)) is None:
+            return None
+        rows = in_order(df, None, "rownum")
+        view = f"ora_{self.tag}_numbered_{uuid.uuid4().hex[:8]}"
+        rows.numbered("__rownum").createOrReplaceTempView(view)
+        return view, rows.total
+
+    def share(self, w: Writer, text: str, keys: list[tuple[str, bool, bool]], percent: float, ties: bool, offset: int) -> str | None:
+        """A view of the first ``percent`` of the rows of ``text`` in the order of its columns ``keys`` (name, descending, nulls first)."""
+        if (df := self._rows(w, text)) is None:
+            return None
+        view = f"ora_{self.tag}_share_{uuid.uuid4().hex[:8]}"
+        in_order(df, [sort_key(F.col(k), desc, first) for k, desc, first in keys], "share").percent(percent, ties, offset).createOrReplaceTempView(view)
+        return view
+
     def script(self, text: str) -> list[DataFrame]:
         """Statements separated by lines that hold a semicolon alone, or by trailing semicolons; the first failure ends it."""
         parts = [p.strip().rstrip(";").strip() for p in re.split(r"(?m)^;\s*$|;\s*$", text)]
@@ -153,7 +185,12 @@ class Engine:
             raise LookupError(f"no column {', '.join(sorted(unknown))}")
         cols = ", ".join(f"`__c{i}`" for i in range(len(given)))
         if s.rows is not None:
-            source = " UNION ALL ".join(f"SELECT {', '.join(w.expr(v) for v in row)}" for row in s.rows)
+            lines = []
+            for row in s.rows:
+                w.drawn = {}
+                lines.append(f"SELECT {', '.join(w.expr(v) for v in row)}")
+            w.drawn = None
+            source = " UNION ALL ".join(lines)
         else:
             source = w.query(s.query)
         place = {c: f"`__c{i}`" for i, c in enumerate(given)}

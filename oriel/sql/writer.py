@@ -13,7 +13,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
-from ..catalog import Catalog, CollectionType, ResolutionError, quoted
+from ..catalog import Catalog, CollectionType, ResolutionError, quoted, split_name
 from ..functions import scalar as fn
 from ..types import spark_type
 from . import tree as t
@@ -71,9 +71,12 @@ class Writer:
         self.catalog, self.view_of, self.binds, self.names = catalog, view_of, binds or {}, names or {}
         self.scopes: list[dict[str, dict[str, T.DataType] | None]] = []
         self.ctes: list[set[str]] = [set()]
+        self.heads: list[tuple[list[str], bool]] = []  # the common table expressions around what is being written
         self.swaps: list[dict[str, str]] = []
         self.hierarchy: list[dict[str, str]] = []
         self.setup: list[str] = []  # statements to run first
+        self.host: Any = None  # who can number rows and take shares of them: an engine, or nobody where only text is wanted
+        self.drawn: dict[tuple[str, str], int] | None = None  # sequence values of the row of VALUES that is being written
         self.n = 0
 
     def fresh(self, stem: str) -> str:
@@ -97,6 +100,7 @@ class Writer:
             text, again = self.cte(c)
             parts += text
             recursive |= again
+        self.heads.append((parts, recursive))
         if isinstance(q.body, t.Block):
             body = self.block(q.body, q)
         else:
@@ -104,9 +108,15 @@ class Writer:
             if q.ties or q.percent:
                 body = self.limited_set(q)
         self.ctes.pop()
+        self.heads.pop()
         head = f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} " if parts else ""
         return head + body
 
+    def headed(self, text: str) -> str:
+        """A part of a query that is run by itself, with the common table expressions it may name."""
+        parts = [p for own, _ in self.heads for p in own]
+        return (f"WITH {'RECURSIVE ' if any(r for _, r in self.heads) else ''}{', '.join(parts)} " if parts else "") + text
+
     def with_function(self, name: str, params: list[tuple[str, str]], kind: str, value: Any) -> str:
         own = self.fresh(f"fn_{name.lower()}_")
         self.names = self.names | {p.lower(): Raw(quoted(p.lower())) for p, _ in params}
@@ -186,6 +196,8 @@ class Writer:
         return self.query(s) if isinstance(s, t.Query) else self.block(s)
 
     def limited_set(self, q: t.Query) -> str:
+        if q.percent and (text := self.share(f"SELECT *{{keys}} FROM ({self.set_op(q.body)})", q, {})):
+            return text
         rank = self.rank_of(q, q.order)
         return f"SELECT * EXCEPT (`__rk`) FROM (SELECT *, {rank} AS `__rk` FROM ({self.set_op(q.body)})) WHERE {self.rank_limit(q)} ORDER BY `__rk`"
 
@@ -203,6 +215,18 @@ class Writer:
         n = self.expr(q.fetch)
         return f"`__rk`.r <= ceil(`__rk`.n * {n} / 100.0)" if q.percent else f"`__rk` <= {n}"
 
+    def share(self, text: str, q: t.Query, swap: dict[str, Any]) -> str | None:
+        """FETCH n PERCENT from rows written in order, none where that cannot be; ``text`` has room for sort keys."""
+        if self.host is None or not (isinstance(q.fetch, t.Lit) and q.fetch.kind == "number") or not (q.offset is None or isinstance(q.offset, t.Lit)):
+            return None
+        keys = [(f"`__o{i}`", bool(o.desc), (o.nulls or ("FIRST" if o.desc else "LAST")) == "FIRST") for i, o in enumerate(q.order)]
+        more = "".join(f", {self.sort_key(o, swap)} AS {k}" for o, (k, _, _) in zip(q.order, keys))
+        view = self.host.share(self, self.headed(text.replace("{keys}", more, 1)), keys, float(q.fetch.value), q.ties, int(q.offset.value) if q.offset is not None else 0)
+        if view is None:
+            return None
+        order = ", ".join(f"{k} {'DESC' if desc else 'ASC'} NULLS {'FIRST' if first else 'LAST'}" for k, desc, first in keys)
+        return f"SELECT * EXCEPT ({', '.join(k for k, _, _ in keys)}) FROM {view} ORDER BY {order}" if keys else f"SELECT * FROM {view}"
+
     def tail(self, q: t.Query | None, swap: dict[str, Any] | None = None) -> str:
         if q is None:
             return ""
@@ -217,15 +241,18 @@ class Writer:
         """Sort keys with their nulls placed as Oracle does: last when ascending, first when descending."""
         out = []
         for o in order:
-            e = o.expr
-            if swap and isinstance(e, t.Name) and len(e.parts) == 1 and e.parts[0].lower() in swap:
-                e = swap[e.parts[0].lower()]
-            elif swap and isinstance(e, t.Lit) and e.kind == "number":
-                e = list(swap.values())[int(e.value) - 1]
             nulls = o.nulls or ("FIRST" if o.desc else "LAST")
-            out.append(f"{self.expr(e)} {'DESC' if o.desc else 'ASC'} NULLS {nulls}")
+            out.append(f"{self.sort_key(o, swap)} {'DESC' if o.desc else 'ASC'} NULLS {nulls}")
         return ", ".join(out)
 
+    def sort_key(self, o: t.Order, swap: dict[str, Any] | None = None) -> str:
+        e = o.expr
+        if swap and isinstance(e, t.Name) and len(e.parts) == 1 and e.parts[0].lower() in swap:
+            e = swap[e.parts[0].lower()]
+        elif swap and isinstance(e, t.Lit) and e.kind == "number":
+            e = list(swap.values())[int(e.value) - 1]
+        return self.expr(e)
+
     # blocks
 
     def block(self, b: t.Block, q: t.Query | None = None) -> str:
@@ -243,6 +270,8 @@ class Writer:
         where, limit = self.rownum(conjuncts(b.where))
         tables, where = self.marked_joins(b.tables, where)
         source = self.tables(tables)
+        if any(self.is_rownum(n) or self.sequence(n) for n in find([b.items, q.order if q else []], t.Name)) and (view := self.numbered(b, q, tables, source, where, limit)):
+            source, where, limit = view, [], None
         items = ", ".join(self.item(i) for i in b.items)
         text = f"SELECT {'DISTINCT ' if b.distinct else ''}{{items}}" + (f" FROM {source}" if source else "")
         if where:
@@ -252,6 +281,8 @@ class Writer:
         if b.having is not None:
             text += f" HAVING {self.expr(b.having)}"
         swap = {(i.alias or (i.expr.parts[-1] if isinstance(i.expr, t.Name) else f"#{k}")).lower(): i.expr for k, i in enumerate(b.items)}
+        if q is not None and q.percent and not b.distinct and (shared := self.share(text.replace("{items}", f"{items}{{keys}}", 1), q, swap)):
+            return shared
         if q is not None and (q.ties or q.percent):
             inner = text.replace("{items}", f"{items}, {self.rank_of(q, q.order, swap)} AS `__rk`", 1)
             return f"SELECT * EXCEPT (`__rk`) FROM ({inner}) WHERE {self.rank_limit(q)} ORDER BY `__rk`"
@@ -297,6 +328,63 @@ class Writer:
             raise UnsupportedSyntax("ROWNUM within a larger condition")
         return out, limit
 
+    def numbered(self, b: t.Block, q: t.Query | None, tables: list[Any], source: str, where: list[Any], limit: int | None) -> str | None:
+        """The rows that the conditions leave, written with their numbers; from there on names mean the columns written.
+
+        None where nobody can write them, or where they hang on an enclosing query.
+        """
+        parts = [b.items, b.group, b.having, q.order if q else []]
+        stars = [i for i in b.items if isinstance(i.expr, t.Star)]
+        if self.host is None or not source or any(True for _ in find(parts, t.Query)) or stars and (len(tables) > 1 or isinstance(tables[0], t.Join)):
+            return None
+        aliases = {i.alias.lower() for i in b.items if i.alias}
+        drawn = {k: n for n in find(b.items, t.Name) if (k := self.sequence(n)) and n.parts[-1].upper() == "NEXTVAL"}
+        if drawn and (b.group or b.distinct):
+            raise UnsupportedSyntax("NEXTVAL with GROUP BY or DISTINCT")
+        columns: dict[str, str] = {}
+        for n in find(parts, t.Name):
+            low = ".".join(n.parts).lower()
+            lone = len(n.parts) == 1 and (n.parts[0].upper() in SHORT_CALLS or low in self.names or low in aliases and self.column(n.parts) is None)
+            if not (lone or self.is_rownum(n) or self.sequence(n)):
+                columns.setdefault(low, self._name(n))
+        items = [*(["*"] if stars else []), *(f"{x} AS `__c{i}`" for i, x in enumerate(columns.values()))] or ["1 AS `__c0`"]
+        text = f"SELECT {', '.join(items)} FROM {source}" + (f" WHERE {self.expr(all_of(where))}" if where else "") + (f" LIMIT {limit}" if limit is not None else "")
+        got = self.host.number(self, self.headed(text))
+        if got is None:
+            return None
+        view, total = got
+        self.swaps[-1] |= {low: f"`__c{i}`" for i, low in enumerate(columns)} | {"rownum": "`__rownum`"}
+        for key in drawn:
+            seq = self.catalog.sequences[key]
+            value = f"({seq.next} + {seq.step} * (`__rownum` - 1))"
+            seq.next += seq.step * total
+            for n in find(b.items, t.Name):
+                if self.sequence(n) == key:  # CURRVAL beside NEXTVAL is the same number
+                    self.swaps[-1][".".join(n.parts).lower()] = value
+        for i in stars:
+            i.expr = Raw(f"* EXCEPT ({', '.join(['`__rownum`', *(f'`__c{k}`' for k in range(len(columns)))])})")
+        return view
+
+    def sequence(self, e: Any) -> tuple[str, str] | None:
+        """The sequence that a name takes a value of."""
+        if not isinstance(e, t.Name) or len(e.parts) < 2 or e.parts[-1].upper() not in ("NEXTVAL", "CURRVAL"):
+            return None
+        schema, short = split_name(".".join(e.parts[:-1]))
+        key = (schema or self.catalog.schema, short)
+        return key if key in self.catalog.sequences else None
+
+    def sequence_value(self, e: t.Name, key: tuple[str, str]) -> str:
+        """A value outside a query's rows: the current one, or in VALUES the next, once for each row."""
+        seq = self.catalog.sequences[key]
+        if e.parts[-1].upper() == "CURRVAL":
+            return str(seq.current)
+        if self.drawn is None:
+            raise UnsupportedSyntax("NEXTVAL numbers the rows of a select list, or of VALUES")
+        if key not in self.drawn:
+            self.drawn[key] = seq.next
+            seq.next += seq.step
+        return str(self.drawn[key])
+
     def is_rownum(self, e: Any) -> bool:
         return isinstance(e, t.Name) and [p.upper() for p in e.parts] == ["ROWNUM"]
 
@@ -591,6 +679,8 @@ class Writer:
         low = ".".join(parts).lower()
         if self.swaps and low in self.swaps[-1]:
             return self.swaps[-1][low]
+        if key := self.sequence(e):
+            return self.sequence_value(e, key)
         if len(parts) == 1 and self.column(parts) is None:
             up = parts[0].upper()
             if low in self.names:
