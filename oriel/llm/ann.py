@@ -40,7 +40,9 @@ class Spann:
     recall: float = 0.97
     measured_on: int = 400
     degree: int = 24
+    #: Centroids that the graph search keeps open: of a query, and of a vector that gets its few lists.
     beam: int = 48
+    place_beam: int = 12
     #: Vectors or queries in a block.
     block: int = 2048
     k: int = 10
@@ -176,18 +178,18 @@ def measured_ratio(index: Centroids, sample: np.ndarray, rule: Spann) -> tuple[f
         return np.inf, lists
     asked = np.unique(np.linspace(0, n - 1, min(rule.measured_on, n)).astype(int))
     norms, points = (sample**2).sum(1), (index.points**2).sum(1)
-    member = [set(m.tolist()) for m in index.lists(sample, rule.beam, rule.replica_ratio, rule.replicas)]
-    needed, spread = [], []
+    near, ratios = [], []
     for q in asked.tolist():
         d = norms - 2 * sample @ sample[q]
         d[q] = np.inf
-        near = np.argpartition(d, min(rule.k, n - 1) - 1)[: rule.k]
+        near.append(np.argpartition(d, min(rule.k, n - 1) - 1)[: min(rule.k, n - 1)])
         c = np.sqrt(np.maximum(points - 2 * index.points @ sample[q] + norms[q], 0))
-        ratio = c / max(c.min(), index.radius)
-        needed += [min(ratio[j] for j in member[i]) for i in near.tolist() if i != q]
-        spread.append(np.sort(ratio))
+        ratios.append(c / max(c.min(), index.radius))
+    wanted = np.unique(np.concatenate(near))
+    member = dict(zip(wanted.tolist(), index.lists(sample[wanted], rule.place_beam, rule.replica_ratio, rule.replicas)))
+    needed = [float(r[member[i]].min()) for r, rows in zip(ratios, near) for i in rows.tolist()]
     ratio = max(1.0, float(np.quantile(needed, rule.recall, method="higher")))
-    return ratio, max(int(np.searchsorted(r, ratio * (1 + 1e-9), "right")) for r in spread)
+    return ratio, max(int((r <= ratio * (1 + 1e-9)).sum()) for r in ratios)
 
 
 def usable(vector: Column) -> Column:
@@ -266,7 +268,7 @@ def search(vectors: DataFrame, queries: DataFrame, rule: Spann = Spann(), id_col
     ratio, most = measured_ratio(index, sample, rule)
 
     schema = f"id long, v {kind}, list long"
-    posted = ws.keep(base.mapInArrow(_place(index, rule.beam, rule.replica_ratio, rule.replicas), schema), "posted")
+    posted = ws.keep(base.mapInArrow(_place(index, rule.place_beam, rule.replica_ratio, rule.replicas), schema), "posted")
     probing = ws.keep(asked.mapInArrow(_place(index, max(rule.beam, most), ratio), schema), "probing")
     found = ws.keep(_compared(posted, probing, rule), "found")
     # queries that their lists hold too few vectors for, if there are any
