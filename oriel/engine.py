@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import Catalog, ResolutionError, normal, quoted, split_name
+from .operators.changes import NEW, OLD, ROW, ChangeSet
 from .operators.ranks import in_order
 from .operators.ranks import key as sort_key
+from .operators.versions import VersionedTable
 from .sql import tree as t
 from .sql.parser import Parser, parse_statement
 from .sql.writer import Raw, Writer, all_of
@@ -33,6 +35,7 @@ class Engine:
         self.tag = uuid.uuid4().hex[:8]
         self.seen: dict[str, int] = {}
         self.triggers: list[Any] = []
+        self.versions: dict[tuple[str, str], VersionedTable] = {}
         # hierarchies may be deep and wide; neither has a limit in Oracle
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "100000")
         spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
@@ -77,6 +80,13 @@ class Engine:
             for s in w.setup:
                 self.spark.sql(s)
             return self.spark.sql(text, args=binds) if binds else self.spark.sql(text)
+        if not isinstance(statement, t.InsertAll) and (statement.returning or self.catalog.resolve(".".join(statement.table)) in self.versions):
+            done = self.change(statement, binds, names)
+            if not statement.returning:
+                return self.catalog.relation(*self.catalog.resolve(".".join(statement.table)))
+            alias = getattr(statement, "alias", "") or statement.table[-1]
+            w.scopes.append({alias.lower(): {f.name.lower(): f.dataType for f in done.rows.schema[NEW].dataType}})
+            return done.image().alias(alias).selectExpr(*[w.item(i) for i in statement.returning])
         made = {t.Insert: self.insert, t.InsertAll: self.insert_all, t.Update: self.update, t.Delete: self.delete, t.Merge: self.merge}[type(statement)]
         return made(statement, w, binds)
 
@@ -179,6 +189,10 @@ class Engine:
 
     def insert(self, s: t.Insert, w: Writer, binds: dict[str, Any] | None) -> DataFrame:
         key, df = self._target(s.table)
+        return self._replace(key, f"SELECT * FROM {self.view_of(*key)} UNION ALL {self._new_rows(s, w, key, df)}", binds)
+
+    def _new_rows(self, s: t.Insert, w: Writer, key: tuple[str, str], df: DataFrame) -> str:
+        """The rows that an INSERT adds."""
         given = [c.lower() for c in s.columns] or [f.name.lower() for f in df.schema][: len(s.rows[0]) if s.rows else None]
         unknown = set(given) - {f.name.lower() for f in df.schema}
         if unknown:
@@ -203,8 +217,7 @@ class Engine:
 
         items = ", ".join(f"{value(f)} AS {quoted(f.name)}" for f in df.schema)
         new = f"SELECT {items} FROM ({source}) AS __new({cols})"
-        new = self._fire("INSERT", key, df, new)
-        return self._replace(key, f"SELECT * FROM {self.view_of(*key)} UNION ALL {new}", binds)
+        return self._fire("INSERT", key, df, new)
 
     def insert_all(self, s: t.InsertAll, w: Writer, binds: dict[str, Any] | None) -> DataFrame:
         rows = self.run(s.query, binds)
@@ -302,6 +315,104 @@ class Engine:
             gone = f" AND NOT (`__changed` AND coalesce({d.expr(s.delete_where)}, false))"
         return self._replace(key, f"SELECT * EXCEPT (`__changed`, `__twice`) FROM ({text}) AS {quoted(a)} WHERE {checked}{gone}", binds)
 
+    # change sets and versions
+
+    def versioned(self, name: str) -> VersionedTable:
+        """The log of a table; the first call writes the table as version 0."""
+        key = self.catalog.resolve(name)
+        if key not in self.versions:
+            self.versions[key] = VersionedTable.create(self.catalog.relation(*key))
+            self.versions[key].required = tuple(self.catalog.required.get(key, ()))
+            self.catalog.tables[key] = self.versions[key].as_of()
+        return self.versions[key]
+
+    def view_of_versions(self, w: Writer, key: tuple[str, str], how: str, low: str | None, high: str | None) -> str:
+        """A view of a table AS OF a version or a moment, or of all images between two."""
+        if key not in self.versions:
+            raise ResolutionError(f"{key[0]}.{key[1]} keeps no versions")
+        log = self.versions[key]
+
+        def version(text: str | None) -> int | None:
+            if text is None:
+                return None
+            kind = f"unix_micros(cast({text} AS timestamp))" if how.startswith("TIMESTAMP") else f"cast({text} AS bigint)"
+            value = self.spark.sql(f"SELECT {kind}", args=w.binds).first()[0]
+            return log.version_at(value) if how.startswith("TIMESTAMP") else value
+
+        df = log.between(version(low), version(high)) if how.endswith("RANGE") else log.as_of(version(low))
+        view = f"ora_{self.tag}_versions_{uuid.uuid4().hex[:8]}"
+        df.createOrReplaceTempView(view)
+        return view
+
+    def change(self, statement: Any, binds: dict[str, Any] | None = None, names: dict[str, Any] | None = None) -> ChangeSet:
+        """INSERT, UPDATE, DELETE or MERGE as a change set, committed to the table's log; a table without a log gets one."""
+        s = parse_statement(statement) if isinstance(statement, str) else statement
+        w = self.writer(binds, names)
+        w.host = self
+        log = self.versioned(".".join(s.table))
+        key, df = self._target(s.table)
+        if isinstance(s, t.Insert):
+            text = self._new_rows(s, w, key, df)
+            done = log.insert(self._run(w, text))
+        else:
+            kind = log.schema().simpleString()
+            alias = getattr(s, "alias", "") or s.table[-1]
+            a = quoted(alias)
+            base = f"ora_{self.tag}_rows_{uuid.uuid4().hex[:8]}"
+            log.as_of(rows=True).createOrReplaceTempView(base)
+            columns = {f.name.lower(): f.dataType for f in df.schema}
+            image = lambda of: f"named_struct({', '.join(f'{w.string(f.name)}, {of(f)}' for f in df.schema)})"
+            old = image(lambda f: f"{a}.{quoted(f.name)}")
+            touched: set[str] | None = None
+            if isinstance(s, t.Merge):
+                text = self._merged(s, w, df, base, image, old, kind, binds)
+            else:
+                w.scopes.append({alias.lower(): columns})
+                hit = f"coalesce({w.expr(s.where)}, false)" if s.where is not None else "true"
+                new = f"cast(null AS {kind})"
+                if isinstance(s, t.Update):
+                    sets = self._sets(s.sets, w)
+                    if unknown := set(sets) - set(columns):
+                        raise LookupError(f"no column {', '.join(sorted(unknown))}")
+                    touched = set(sets)
+                    sets |= self._row_hooks("UPDATE", key, df, sets, alias)
+                    new = image(lambda f: f"cast({sets.get(f.name.lower(), f'{a}.{quoted(f.name)}')} AS {f.dataType.simpleString()})")
+                text = f"SELECT {a}.`{ROW}`, {old} AS {OLD}, {new} AS {NEW} FROM {base} AS {a} WHERE {hit}"
+            event = {t.Update: "UPDATE", t.Delete: "DELETE", t.Merge: "MERGE"}[type(s)]
+            done = log.apply(self._run(w, text), event, touched)
+        self.catalog.tables[key] = log.as_of()
+        return done
+
+    def _run(self, w: Writer, text: str) -> DataFrame:
+        for x in w.setup:
+            self.spark.sql(x)
+        return self.spark.sql(text, args=w.binds) if w.binds else self.spark.sql(text)
+
+    def _merged(self, s: t.Merge, w: Writer, df: DataFrame, base: str, image: Any, old: str, kind: str, binds: dict[str, Any] | None) -> str:
+        """One left join from the source: rows that meet are updated or deleted, others inserted."""
+        a = s.alias or s.table[-1]
+        b = getattr(s.source, "alias", "") or (s.source.name[-1] if isinstance(s.source, t.Table) else "__s")
+        source = self.view_of(*self.catalog.resolve(".".join(s.source.name))) if isinstance(s.source, t.Table) else f"({w.query(s.source.query)})"
+        w.scopes.append({a.lower(): {f.name.lower(): f.dataType for f in df.schema}, b.lower(): None})
+        sets = self._sets(s.sets, w)
+        met = f"{quoted(a)}.`{ROW}` IS NOT NULL"
+        given = [c.lower() for c in s.columns] or [f.name.lower() for f in df.schema][: len(s.values)]
+        values = {c: w.expr(v) for c, v in zip(given, s.values)}
+        changed = f"{met} AND {f'coalesce({w.expr(s.update_where)}, false)' if s.update_where is not None else ('true' if s.sets else 'false')}"
+        fresh = f"NOT ({met}) AND {f'coalesce({w.expr(s.insert_where)}, false)' if s.insert_where is not None else ('true' if s.values else 'false')}"
+        updated = image(lambda f: f"cast({sets.get(f.name.lower(), f'{quoted(a)}.{quoted(f.name)}')} AS {f.dataType.simpleString()})")
+        inserted = image(lambda f: f"cast({values.get(f.name.lower(), 'NULL')} AS {f.dataType.simpleString()})")
+        text = (
+            f"SELECT {quoted(a)}.`{ROW}`, CASE WHEN {met} THEN {old} END AS {OLD}, CASE WHEN {met} THEN {updated} ELSE {inserted} END AS {NEW}"
+            f" FROM {source} AS {quoted(b)} LEFT JOIN {base} AS {quoted(a)} ON {w.expr(s.on)} WHERE ({changed}) OR ({fresh})"
+        )
+        if s.delete_where is None:
+            return text
+        d = self.writer(binds)  # judged on the updated row
+        d.scopes.append({a.lower(): {f.name.lower(): f.dataType for f in df.schema}})
+        gone = f"{OLD} IS NOT NULL AND coalesce({d.expr(s.delete_where)}, false)"
+        return f"SELECT `{ROW}`, {OLD}, CASE WHEN {gone} THEN cast(null AS {kind}) ELSE {NEW} END AS {NEW} FROM (SELECT `{ROW}`, {OLD}, {NEW}, {NEW}.* FROM ({text})) AS {quoted(a)}"
+
     # triggers
 
     def _row_hooks(self, event: str, key: tuple[str, str], df: DataFrame, sets: dict[str, str], alias: str) -> dict[str, str]:

@@ -6,6 +6,6 @@ from .base import Registry
 
 
 def registries() -> list[Registry]:
-    from . import more, procedural, ranked, relational, scalars
+    from . import changes, more, procedural, ranked, relational, scalars
 
-    return [relational.R, scalars.R, procedural.R, more.R, ranked.R]
+    return [relational.R, scalars.R, procedural.R, more.R, ranked.R, changes.R]

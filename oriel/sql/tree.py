@@ -163,6 +163,8 @@ class Table:
     alias: str = ""
     sample: float | None = None
     seed: int | None = None
+    #: AS OF or VERSIONS BETWEEN: SCN or TIMESTAMP, alone or with RANGE, and its bounds.
+    versions: tuple[str, Any, Any] | None = None
 
 
 @dataclass
@@ -286,6 +288,7 @@ class Insert:
     rows: list[list[Any]] | None
     query: Query | None
     when: Any = None
+    returning: list[Item] = field(default_factory=list)
 
 
 @dataclass
@@ -301,6 +304,7 @@ class Update:
     alias: str
     sets: list[tuple[list[str], Any]]
     where: Any
+    returning: list[Item] = field(default_factory=list)
 
 
 @dataclass
@@ -308,6 +312,7 @@ class Delete:
     table: list[str]
     alias: str
     where: Any
+    returning: list[Item] = field(default_factory=list)
 
 
 @dataclass
@@ -322,3 +327,4 @@ class Merge:
     columns: list[str]
     values: list[Any]
     insert_where: Any
+    returning: list[Item] = field(default_factory=list)

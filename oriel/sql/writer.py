@@ -458,7 +458,13 @@ class Writer:
                 return f"(SELECT 'X' AS dummy) AS {quoted(x.alias or 'dual')}"
             if len(x.name) == 1 and x.name[0].lower() in self.ctes[-1]:
                 return quoted(x.name[0]) + alias
-            name = self.view_of(*self.catalog.resolve(".".join(x.name)))
+            key = self.catalog.resolve(".".join(x.name))
+            if x.versions is not None:
+                if self.host is None:
+                    raise UnsupportedSyntax("versions of a table are read by an engine")
+                name = self.host.view_of_versions(self, key, x.versions[0], *(self.expr(b) if b is not None else None for b in x.versions[1:]))
+            else:
+                name = self.view_of(*key)
             if x.sample is not None:
                 name += f" TABLESAMPLE ({x.sample} PERCENT)" + (f" REPEATABLE ({x.seed})" if x.seed is not None else "")
             return f"{name} AS {quoted(x.alias or x.name[-1])}"
