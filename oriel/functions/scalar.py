@@ -13,6 +13,7 @@ from typing import Any
 from ..sql import tree as t
 from ..sql.formats import TRUNC_UNITS, date_pattern, is_number_format
 from ..sql.lexer import UnsupportedSyntax
+from . import xml
 
 SAME = frozenset(
     """ABS ACOS ASIN ATAN ATAN2 AVG CEIL COALESCE CORR COS COSH COUNT COVAR_POP COVAR_SAMP CUME_DIST CURRENT_DATE DENSE_RANK EXP FLOOR
@@ -37,7 +38,7 @@ TEMPLATES = {
     "LNNVL": "coalesce(NOT ({0}), true)", "NANVL": "nanvl({0}, {1})", "BITAND": "({0} & {1})", "CHR": "char({0})", "TO_LOB": "{0}",
     "CONCAT": "concat(coalesce(cast({0} AS STRING), ''), coalesce(cast({1} AS STRING), ''))", "SYS_EXTRACT_UTC": "to_utc_timestamp({0}, current_timezone())",
     "JSON_SERIALIZE": "cast({0} AS STRING)", "JSON_EXISTS": "(get_json_object({0}, {1}) IS NOT NULL)",
-    "WM_CONCAT": "listagg({0}, ',')", "COLLECT": "sort_array(collect_list({0}))", "XMLAGG": "array_join(collect_list({0}), '')",
+    "WM_CONCAT": "listagg({0}, ',')", "COLLECT": "sort_array(collect_list({0}))",
 }
 AGGREGATES = frozenset(
     "COUNT SUM AVG MIN MAX MEDIAN STDDEV STDDEV_POP STDDEV_SAMP VARIANCE VAR_POP VAR_SAMP CORR COVAR_POP COVAR_SAMP LISTAGG COLLECT WM_CONCAT JSON_ARRAYAGG JSON_OBJECTAGG XMLAGG PERCENTILE_CONT PERCENTILE_DISC ANY_VALUE REGR_AVGX REGR_AVGY REGR_COUNT REGR_INTERCEPT REGR_R2 REGR_SLOPE REGR_SXX REGR_SXY REGR_SYY APPROX_COUNT_DISTINCT".split()
@@ -265,19 +266,55 @@ def _sys_context(w, call: t.Call) -> str:
     return CONTEXT[name].format(schema=w.catalog.schema)
 
 
+def _xml_name(text: str | None) -> str:
+    if not text or not re.fullmatch(xml.NAME, text):
+        raise UnsupportedSyntax("an XML element or attribute needs a name")
+    return text
+
+
+def _xml_text(w, e: Any, attribute: bool = False) -> str:
+    """Markup as it is, anything else escaped; null stays null."""
+    text = f"cast({w.expr(e)} AS STRING)"
+    if isinstance(e, t.Call) and e.parts[-1].upper().startswith("XML"):
+        return text
+    text = f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    return f"replace({text}, '\"', '&quot;')" if attribute else text
+
+
 def _xmlelement(w, call: t.Call) -> str:
-    """An element named by the first argument; the others are its content, markup or text that is escaped."""
-    name = call.args[0].parts[-1] if isinstance(call.args[0], t.Name) else text_of(call.args[0])
-    if not name or not re.fullmatch(r"[A-Za-z_][\w.-]*", name):
-        raise UnsupportedSyntax("XMLELEMENT needs a name")
+    """An element named by the first argument; the others are attributes and content, markup or text that is escaped."""
+    name = _xml_name(call.args[0].parts[-1] if isinstance(call.args[0], t.Name) else text_of(call.args[0]))
+    marks, content = [], []
+    for a in call.args[1:]:
+        if isinstance(a, t.Call) and a.parts[-1].upper() == "XMLATTRIBUTES":
+            marks += [f"coalesce(concat({w.string(f' {_xml_name(n)}=' + chr(34))}, {_xml_text(w, v, True)}, '\"'), '')" for n, v in zip(a.named["names"], a.args)]
+        else:
+            content.append(f"coalesce({_xml_text(w, a)}, '')")
+    return f"concat({', '.join([w.string(f'<{name}'), *marks, w.string('>'), *content, w.string(f'</{name}>')])})"
+
+
+def _xmlforest(w, call: t.Call) -> str:
+    """An element for each value that is not null."""
+    parts = [f"coalesce(concat({w.string(f'<{_xml_name(n)}>')}, {_xml_text(w, v)}, {w.string(f'</{n}>')}), '')" for n, v in zip(call.named["names"], call.args)]
+    return f"concat({', '.join(parts)})"
+
+
+def _xmlagg(w, call: t.Call) -> str:
+    """Markup of a group's rows in the order asked for, else in that of the markup itself; nulls are left out, and of nothing else comes null."""
+    x = f"cast({w.expr(call.args[0])} AS STRING)"
+    return f"listagg({x}, '') WITHIN GROUP (ORDER BY {w.orders(call.order) if call.order else x})"
+
+
+def _xmlexists(w, call: t.Call) -> str:
+    return f"xpath_boolean({w.expr(call.args[1])}, {w.string(f'boolean({text_of(call.args[0])})')})"
 
-    def content(a: Any) -> str:
-        text = f"coalesce(cast({w.expr(a)} AS STRING), '')"
-        if isinstance(a, t.Call) and a.parts[-1].upper().startswith("XML"):
-            return text
-        return f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
-    return f"concat({', '.join([w.string(f'<{name}>'), *map(content, call.args[1:]), w.string(f'</{name}>')])})"
+def _xmlquery(w, call: t.Call) -> str:
+    """Text and attributes at a path, in document order."""
+    path = text_of(call.args[0]) or ""
+    if not re.search(r"(/text\(\)|@[\w.:-]+)$", path):
+        raise UnsupportedSyntax("XMLQUERY gives text() and attributes, not nodes")
+    return f"array_join(xpath({w.expr(call.args[1])}, {w.string(path)}), ' ')"
 
 
 WRITERS: dict[str, Callable[[Any, t.Call], str]] = {
@@ -287,7 +324,7 @@ WRITERS: dict[str, Callable[[Any, t.Call], str]] = {
     "EXTRACT": _extract, "VALIDATE_CONVERSION": _validate, "JSON_VALUE": _json_value, "JSON_QUERY": _json_query, "JSON_OBJECT": _json_object,
     "JSON_ARRAY": _json_array, "JSON_ARRAYAGG": _json_arrayagg, "JSON_OBJECTAGG": _json_objectagg, "LISTAGG": _listagg,
     "RATIO_TO_REPORT": _ratio, "REGEXP_SUBSTR": _regexp_substr, "REGEXP_REPLACE": _regexp_replace, "REGEXP_INSTR": _regexp_instr,
-    "UNISTR": _unistr, "SYS_CONTEXT": _sys_context, "XMLELEMENT": _xmlelement, "LAG_DIFF": _lag_diff, "LAG_DIFF_PERCENT": _lag_diff,
+    "UNISTR": _unistr, "SYS_CONTEXT": _sys_context, "XMLELEMENT": _xmlelement, "XMLFOREST": _xmlforest, "XMLAGG": _xmlagg, "XMLEXISTS": _xmlexists, "XMLQUERY": _xmlquery, "LAG_DIFF": _lag_diff, "LAG_DIFF_PERCENT": _lag_diff,
 }
 
 #: Every name that is a function and not an indexed collection.

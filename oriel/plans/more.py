@@ -34,12 +34,12 @@ q("win_lag_diff", "SELECT o_orderkey, LAG_DIFF(o_totalprice) OVER (PARTITION BY
 q("win_lag_diff_percent", "SELECT o_orderkey, LAG_DIFF_PERCENT(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS d FROM orders", "SELECT o_orderkey, (o_totalprice - lag(o_totalprice) OVER w) / lag(o_totalprice) OVER w AS d FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 q("order_for_update", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2 FOR UPDATE OF n_name NOWAIT", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
 q("fn_concat", "SELECT CONCAT(n_name, NULLIF(n_nationkey, 3)) AS a, CONCAT(CONCAT('<', n_name), '>') AS b FROM nation", "SELECT n_name || coalesce(CAST(NULLIF(n_nationkey, 3) AS VARCHAR), '') AS a, '<' || n_name || '>' AS b FROM nation")
-q("fn_sys_context", "SELECT SYS_CONTEXT('USERENV', 'CURRENT_SCHEMA') AS s, CASE WHEN SYS_CONTEXT('USERENV', 'SESSION_USER') = SESSION_USER THEN 1 ELSE 0 END AS u FROM dual", "SELECT 'MAIN' AS s, 1 AS u")
-q("fn_unistr", "SELECT UNISTR('caf\\00e9 \\\\') AS a FROM dual", "SELECT 'café \\' AS a")
-q("fn_now_in_bounds", "SELECT CASE WHEN CAST(SYSDATE AS DATE) >= CURRENT_DATE - 1 THEN 1 ELSE 0 END AS a, CASE WHEN SYSTIMESTAMP <= CURRENT_TIMESTAMP THEN 1 ELSE 0 END AS b FROM dual", "SELECT 1 AS a, 1 AS b")
-q("fn_user_is_one", "SELECT CASE WHEN USER = CURRENT_USER AND LENGTH(USER) > 0 THEN 1 ELSE 0 END AS a FROM dual", "SELECT 1 AS a")
+q("fn_sys_context", "SELECT n_nationkey, n_name || SYS_CONTEXT('USERENV', 'CURRENT_SCHEMA') AS s, CASE WHEN SYS_CONTEXT('USERENV', 'SESSION_USER') = SESSION_USER THEN 1 ELSE 0 END AS u FROM nation", "SELECT n_nationkey, n_name || 'MAIN' AS s, 1 AS u FROM nation")
+q("fn_unistr", "SELECT n_name || UNISTR('caf\\00e9 \\\\') AS a FROM nation", "SELECT n_name || 'café \\' AS a FROM nation")
+q("fn_now_in_bounds", "SELECT o_orderkey, CASE WHEN CAST(SYSDATE AS DATE) - 1 > o_orderdate AND CAST(SYSDATE AS DATE) >= CURRENT_DATE - 1 THEN 1 ELSE 0 END AS a, CASE WHEN SYSTIMESTAMP <= CURRENT_TIMESTAMP THEN 1 ELSE 0 END AS b FROM orders", "SELECT o_orderkey, 1 AS a, 1 AS b FROM orders")
+q("fn_user_is_one", "SELECT n_nationkey, CASE WHEN USER = CURRENT_USER AND LENGTH(USER) > 0 THEN n_name END AS a FROM nation", "SELECT n_nationkey, n_name AS a FROM nation")
 q("fn_xml_element", "SELECT n_nationkey, XMLELEMENT(\"nation\", XMLELEMENT(\"name\", n_name), XMLELEMENT(\"note\", 'a < b & c')) AS x FROM nation", "SELECT n_nationkey, '<nation><name>' || n_name || '</name><note>a &lt; b &amp; c</note></nation>' AS x FROM nation")
-q("agg_xml", "SELECT n_nationkey, XMLAGG(XMLELEMENT(\"n\", n_name)) AS x FROM nation GROUP BY n_nationkey", "SELECT n_nationkey, '<n>' || n_name || '</n>' AS x FROM nation")
+q("agg_xml", "SELECT n_regionkey, XMLAGG(XMLELEMENT(\"n\", n_name) ORDER BY n_name DESC) AS x FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg('<n>' || n_name || '</n>', '' ORDER BY n_name DESC) AS x FROM nation GROUP BY n_regionkey")
 
 
 @made("expr_bind_params", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 AND n_name LIKE 'NATION%' AND n_nationkey < 20")

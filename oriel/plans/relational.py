@@ -17,7 +17,7 @@ q("scan_lateral", "SELECT n.n_name, x.c FROM nation n, LATERAL (SELECT COUNT(*)
 q("scan_unnest", "SELECT e.vec_id, t.column_value AS v FROM embeddings e, TABLE(e.embedding) t", "SELECT vec_id, unnest(embedding) AS v FROM embeddings")
 q("scan_json_table", "SELECT e.event_id, j.k FROM events e, JSON_TABLE(e.props, '$' COLUMNS (k INTEGER PATH '$.k')) j", "SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events")
 q("scan_sample", "SELECT o_orderkey FROM orders SAMPLE (10) SEED (42)", rows_only=True)
-q("scan_dual", "SELECT 1 AS one, 'x' AS x FROM dual", "SELECT 1 AS one, 'x' AS x")
+q("scan_dual", "SELECT n.n_nationkey, d.one, d.x FROM nation n, (SELECT 1 AS one, 'x' AS x FROM dual) d", "SELECT n_nationkey, 1 AS one, 'x' AS x FROM nation")
 # projections and predicates
 q("proj_columns", "SELECT c_name AS name, c_acctbal * 2 AS twice FROM customer")
 q("proj_star", "SELECT * FROM region")
@@ -51,7 +51,7 @@ q("expr_collate", "SELECT c_custkey FROM customer WHERE LOWER(c_mktsegment) COLL
 q("expr_interval", "SELECT o_orderkey FROM orders WHERE o_orderdate < DATE '1995-01-31' + INTERVAL '3' DAY")
 q("expr_case_searched", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS size_class FROM orders")
 q("expr_case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code FROM orders")
-q("expr_literals", "SELECT 1 AS i, 'it''s' AS s, TRUE AS b, NULLIF(1, 1) AS n, q'[a'b]' AS qs FROM dual", "SELECT 1 AS i, 'it''s' AS s, TRUE AS b, NULLIF(1, 1) AS n, 'a''b' AS qs")
+q("expr_literals", "SELECT r_regionkey, 1 AS i, 'it''s ' || r_name AS s, TRUE AS b, NULLIF(1, 1) AS n, q'[a'b]' || r_name AS qs FROM region", "SELECT r_regionkey, 1 AS i, 'it''s ' || r_name AS s, TRUE AS b, NULLIF(1, 1) AS n, 'a''b' || r_name AS qs FROM region")
 q("expr_dates", "SELECT o_orderkey, o_orderdate + 30 AS later, o_orderdate - DATE '1990-01-01' AS days FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS later, (epoch(o_orderdate) - epoch(TIMESTAMP '1990-01-01'))::DOUBLE / 86400 AS days FROM orders")
 # joins
 q("join_inner", "SELECT c.c_name, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey")
@@ -124,7 +124,7 @@ q("set_in_from", "SELECT COUNT(*) AS n FROM (SELECT c_nationkey AS k FROM custom
 q("cte_basic", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000) SELECT o_custkey, COUNT(*) AS n FROM big GROUP BY o_custkey")
 q("cte_multi", "WITH a AS (SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey), b AS (SELECT r_name, a.n FROM region r JOIN a ON a.n_regionkey = r.r_regionkey) SELECT r_name, n FROM b")
 q("cte_columns", "WITH t(k, total) AS (SELECT o_orderstatus, COUNT(*) FROM orders GROUP BY o_orderstatus) SELECT k, total FROM t")
-q("cte_recursive", "WITH t(n, f) AS (SELECT 1, 1 FROM dual UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t")
+q("cte_recursive", "WITH t(n, f) AS (SELECT n_nationkey, 1 FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n + 3, f * 2 FROM t WHERE n < 40) SELECT n, f FROM t", "WITH RECURSIVE t(n, f) AS (SELECT n_nationkey, 1 FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n + 3, f * 2 FROM t WHERE n < 40) SELECT n, f FROM t")
 TREE = "SELECT n_nationkey AS id, n_name AS nm, CASE WHEN n_nationkey > 4 THEN n_nationkey - 5 END AS boss FROM nation"
 q("cte_search_depth", f"WITH e AS ({TREE}), t(id, nm, lvl) AS (SELECT id, nm, 1 FROM e WHERE boss IS NULL UNION ALL SELECT e.id, e.nm, t.lvl + 1 FROM t JOIN e ON e.boss = t.id) SEARCH DEPTH FIRST BY id SET ord SELECT id, lvl, ord FROM t", f"WITH RECURSIVE e AS ({TREE}), t AS (SELECT id, nm, 1 AS lvl, [id] AS path FROM e WHERE boss IS NULL UNION ALL SELECT e.id, e.nm, t.lvl + 1, list_append(t.path, e.id) FROM t JOIN e ON e.boss = t.id) SELECT id, lvl, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS ord FROM t")
 q("cte_with_function", "WITH FUNCTION twice(x NUMBER) RETURN BINARY_DOUBLE IS BEGIN RETURN x * 2; END; SELECT n_nationkey, twice(n_nationkey) AS d FROM nation", "SELECT n_nationkey, CAST(n_nationkey * 2 AS DOUBLE) AS d FROM nation")

@@ -189,6 +189,14 @@ class JsonTable:
     alias: str = ""
 
 
+@dataclass
+class XmlTable:
+    expr: Any
+    path: str
+    columns: list[tuple[str, str, str, Any]]  # name, type ("ordinality" for a counter), path, default
+    alias: str = ""
+
+
 @dataclass
 class Join:
     left: Any

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..catalog import Catalog, CollectionType, ResolutionError, quoted, split_name
 from ..functions import scalar as fn
+from ..functions import xml
 from ..types import spark_type
 from . import tree as t
 from .lexer import UnsupportedSyntax
@@ -474,6 +475,8 @@ class Writer:
             return f"LATERAL explode({self.expr(x.expr)}) AS {quoted(x.alias or self.fresh('u'))}(column_value)"
         if isinstance(x, t.JsonTable):
             return self.json_table(x)
+        if isinstance(x, t.XmlTable):
+            return self.xml_table(x)
         if isinstance(x, t.Pivot):
             return self.pivot(x) + alias
         if isinstance(x, t.Unpivot):
@@ -530,6 +533,15 @@ class Writer:
                 cols.append(f"cast({value} AS {self.type_text(kind)}) AS {quoted(name)}")
         return f"LATERAL (SELECT {', '.join(cols)} FROM {rows} AS t(i, {row})) AS {quoted(x.alias or self.fresh('jt'))}"
 
+    def xml_table(self, x: t.XmlTable) -> str:
+        columns = [xml.XmlColumn(n, None if k == "ordinality" else k, p, None if d is None else self.expr(d)) for n, k, p, d in x.columns]
+        try:
+            made = xml.compiled(self.expr(x.expr), x.path, columns, cast=self.type_text)
+        except xml.BadPath as bad:
+            raise UnsupportedSyntax(f"XMLTABLE: {bad}") from None
+        cols = ", ".join(f"{e} AS {quoted(c.name)}" for c, e in zip(columns, made.columns))
+        return f"LATERAL (SELECT {cols} FROM posexplode({made.rows}) AS t(i, r)) AS {quoted(x.alias or self.fresh('xt'))}"
+
     def pivot(self, x: t.Pivot) -> str:
         self.scopes.append(self.scope([x.source]))
         aggs = ", ".join(self.expr(e) + (f" AS {quoted(a)}" if a else "") for e, a in x.aggregates)

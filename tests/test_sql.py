@@ -32,7 +32,7 @@ def test_tokens():
     "text",
     [
         "SELECT 1 FROM t MODEL DIMENSION BY (x) MEASURES (y) RULES ()",
-        "SELECT * FROM t AS OF TIMESTAMP x",
+        "SELECT * FROM t AS OF x",
         "SELECT * FROM XMLTABLE('x')",
         "SELECT a b c FROM t",
         "SELECT * FROM t PIVOT XML (COUNT(*) FOR x IN (ANY))",
