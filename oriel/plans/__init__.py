@@ -6,6 +6,6 @@ from .base import Registry
 
 
 def registries() -> list[Registry]:
-    from . import changes, markup, more, procedural, ranked, relational, scalars
+    from . import changes, markup, more, nested, procedural, ranked, relational, scalars
 
-    return [relational.R, scalars.R, procedural.R, more.R, ranked.R, changes.R, markup.R]
+    return [relational.R, scalars.R, procedural.R, more.R, ranked.R, changes.R, markup.R, nested.R]

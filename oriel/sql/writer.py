@@ -32,6 +32,13 @@ class Raw:
     text: str
 
 
+@dataclasses.dataclass
+class Row:
+    """The items of a select list as one struct."""
+
+    items: list[t.Item]
+
+
 def children(node: Any) -> Iterator[Any]:
     if isinstance(node, (list, tuple)):
         yield from node
@@ -77,6 +84,7 @@ class Writer:
         self.hierarchy: list[dict[str, str]] = []
         self.setup: list[str] = []  # statements to run first
         self.host: Any = None  # who can number rows and take shares of them: an engine, or nobody where only text is wanted
+        self.keeps: dict[int, str] = {}  # by KEEP call: the condition that a row is among the first or last of its group
         self.drawn: dict[tuple[str, str], int] | None = None  # sequence values of the row of VALUES that is being written
         self.n = 0
 
@@ -273,6 +281,8 @@ class Writer:
         source = self.tables(tables)
         if any(self.is_rownum(n) or self.sequence(n) for n in find([b.items, q.order if q else []], t.Name)) and (view := self.numbered(b, q, tables, source, where, limit)):
             source, where, limit = view, [], None
+        if kept := [c for c in find([b.items, b.having, q.order if q else []], t.Call) if c.keep is not None and c.over is None and not self.aligned(c)]:
+            source, where, limit = self.with_extremes(b, q, source, where, limit, kept), [], None
         items = ", ".join(self.item(i) for i in b.items)
         text = f"SELECT {'DISTINCT ' if b.distinct else ''}{{items}}" + (f" FROM {source}" if source else "")
         if where:
@@ -338,16 +348,10 @@ class Writer:
         stars = [i for i in b.items if isinstance(i.expr, t.Star)]
         if self.host is None or not source or any(True for _ in find(parts, t.Query)) or stars and (len(tables) > 1 or isinstance(tables[0], t.Join)):
             return None
-        aliases = {i.alias.lower() for i in b.items if i.alias}
         drawn = {k: n for n in find(b.items, t.Name) if (k := self.sequence(n)) and n.parts[-1].upper() == "NEXTVAL"}
         if drawn and (b.group or b.distinct):
             raise UnsupportedSyntax("NEXTVAL with GROUP BY or DISTINCT")
-        columns: dict[str, str] = {}
-        for n in find(parts, t.Name):
-            low = ".".join(n.parts).lower()
-            lone = len(n.parts) == 1 and (n.parts[0].upper() in SHORT_CALLS or low in self.names or low in aliases and self.column(n.parts) is None)
-            if not (lone or self.is_rownum(n) or self.sequence(n)):
-                columns.setdefault(low, self._name(n))
+        columns = self.columns_in(b, parts)
         items = [*(["*"] if stars else []), *(f"{x} AS `__c{i}`" for i, x in enumerate(columns.values()))] or ["1 AS `__c0`"]
         text = f"SELECT {', '.join(items)} FROM {source}" + (f" WHERE {self.expr(all_of(where))}" if where else "") + (f" LIMIT {limit}" if limit is not None else "")
         got = self.host.number(self, self.headed(text))
@@ -366,6 +370,57 @@ class Writer:
             i.expr = Raw(f"* EXCEPT ({', '.join(['`__rownum`', *(f'`__c{k}`' for k in range(len(columns)))])})")
         return view
 
+    def columns_in(self, b: t.Block, parts: Any) -> dict[str, str]:
+        """The columns that parts of a block name, as they are written there, by lower-case name."""
+        aliases = {i.alias.lower() for i in b.items if i.alias}
+        out: dict[str, str] = {}
+        for n in find(parts, t.Name):
+            low = ".".join(n.parts).lower()
+            lone = len(n.parts) == 1 and (n.parts[0].upper() in SHORT_CALLS or low in self.names or low in aliases and self.column(n.parts) is None)
+            if not (lone or self.is_rownum(n) or self.sequence(n)):
+                out.setdefault(low, self._name(n))
+        return out
+
+    def with_extremes(self, b: t.Block, q: t.Query | None, source: str, where: list[Any], limit: int | None, calls: list[t.Call]) -> str:
+        """The block's rows beside the first or last sort keys of their group, which are aggregated before and joined back.
+
+        Any aggregate can then be taken of the rows whose keys are those, and each part of it adds up before it is shuffled.
+        """
+        if any(isinstance(g, (t.GroupingSets, t.Tuple)) for g in b.group) or any(True for _ in find([b.items, b.having], t.Query)):
+            raise UnsupportedSyntax("KEEP beside grouping sets or subqueries")
+        columns = self.columns_in(b, [b.items, b.group, b.having, q.order if q else []])
+        items = [f"{x} AS `__c{i}`" for i, x in enumerate(columns.values())] or ["1 AS `__c0`"]
+        inner = f"(SELECT {', '.join(items)} FROM {source}" + (f" WHERE {self.expr(all_of(where))}" if where else "") + (f" LIMIT {limit}" if limit is not None else "") + ")"
+        self.swaps[-1] |= {low: f"`__c{i}`" for i, low in enumerate(columns)}
+        groups = [self.expr(g) for g in b.group]
+        picks = [f"{g} AS `__g{i}`" for i, g in enumerate(groups)]
+        for i, c in enumerate(calls):
+            keys = self.sort_struct(c.keep[1])
+            picks.append(f"{'max' if self.last_rows(c) else 'min'}({keys}) AS `__m{i}`")
+            self.keeps[id(c)] = f"{keys} <=> `__m{i}`"
+        extremes = f"(SELECT {', '.join(picks)} FROM {inner}" + (f" GROUP BY {', '.join(groups)}" if groups else "") + ")"
+        return f"{inner} JOIN {extremes} ON {' AND '.join(f'{g} <=> `__g{i}`' for i, g in enumerate(groups)) or 'true'}"
+
+    def last_rows(self, e: t.Call) -> bool:
+        """Whether KEEP takes the greatest sort keys."""
+        how, order = e.keep
+        if len({o.desc for o in order}) > 1:
+            raise UnsupportedSyntax("KEEP orders by one direction")
+        return (how == "LAST") != order[0].desc
+
+    def aligned(self, e: t.Call) -> bool:
+        """MIN of the least rows and MAX of the greatest: one aggregate of keys and value together."""
+        return e.parts[-1].upper() == ("MAX" if self.last_rows(e) else "MIN")
+
+    def sort_struct(self, order: list[t.Order]) -> str:
+        """Sort keys of one direction as one value: nulls are the greatest, unless the order puts them at the other end."""
+        parts = []
+        for o in order:
+            x = self.expr(o.expr)
+            greatest = not o.nulls or (o.nulls == "FIRST") == o.desc
+            parts += [f"{x} IS {'' if greatest else 'NOT '}NULL", x]
+        return f"struct({', '.join(parts)})"
+
     def sequence(self, e: Any) -> tuple[str, str] | None:
         """The sequence that a name takes a value of."""
         if not isinstance(e, t.Name) or len(e.parts) < 2 or e.parts[-1].upper() not in ("NEXTVAL", "CURRVAL"):
@@ -874,6 +929,33 @@ class Writer:
     def _sub(self, e: t.Sub) -> str:
         return f"({self.query(e.query)})"
 
+    def cursor(self, q: t.Query) -> str:
+        """CURSOR(...): the rows of a subquery as an array of structs, which Catalyst turns into one join on what it hangs on."""
+        if q.ctes or q.functions or not isinstance(q.body, t.Block) and q.order:
+            raise UnsupportedSyntax("CURSOR of a query with common table expressions, or of an ordered set")
+        rows, keys = q, []
+        if isinstance(q.body, t.Block) and not q.body.group and any(c.over is None and c.parts[-1].upper() in fn.AGGREGATES for c in find(q.body.items, t.Call)):
+            # an aggregate of all rows is one row, also of none
+            return f"array(({self.query(dataclasses.replace(q, body=dataclasses.replace(q.body, items=[t.Item(Row(q.body.items), 'r')]), order=[]))}))"
+        if q.order:
+            if len({o.desc for o in q.order}) > 1:
+                raise UnsupportedSyntax("CURSOR orders by one direction")
+            aliases = {(i.alias or (i.expr.parts[-1] if isinstance(i.expr, t.Name) else "")).lower(): i.expr for i in q.body.items}
+            exprs = [aliases.get(o.expr.parts[0].lower(), o.expr) if isinstance(o.expr, t.Name) and len(o.expr.parts) == 1 else o.expr for o in q.order]
+            keys = [f"__o{i}" for i in range(len(exprs))]
+            body = dataclasses.replace(q.body, items=[*q.body.items, *(t.Item(e, k) for e, k in zip(exprs, keys))])
+            rows = dataclasses.replace(q, body=body) if q.fetch is not None else dataclasses.replace(q, body=body, order=[])
+        inner = self.query(rows)
+        c = self.fresh("cur")
+        if not keys:
+            return f"coalesce((SELECT collect_list(struct({c}.*)) FROM ({inner}) AS {c}), array())"
+        sort = self.sort_struct([dataclasses.replace(o, expr=Raw(f"{c}.`{k}`")) for o, k in zip(q.order, keys)])
+        rows_in_order = f"sort_array(collect_list(struct({sort} AS k, struct({c}.* EXCEPT ({', '.join(keys)})) AS r)), {'false' if q.order[0].desc else 'true'})"
+        return f"coalesce((SELECT transform({rows_in_order}, s -> s.r) FROM ({inner}) AS {c}), array())"
+
+    def _row(self, e: Row) -> str:
+        return f"struct({', '.join(self.item(i) for i in e.items)})"
+
     def _query(self, e: t.Query) -> str:
         return f"({self.query(e)})"
 
@@ -916,6 +998,8 @@ class Writer:
             return f"{own}({', '.join(self.expr(a) for a in e.args)})"
         if e.keep is not None:
             return self.kept(up, e)
+        if up == "CURSOR" and isinstance(e.args[0], t.Sub):
+            return self.cursor(e.args[0].query)
         if up in fn.WRITERS:
             return fn.WRITERS[up](self, e)
         args = [self.expr(a) for a in e.args]
@@ -959,20 +1043,17 @@ class Writer:
         return " ".join(out)
 
     def kept(self, up: str, e: t.Call) -> str:
-        """MIN or MAX over the first or last rows of an order."""
-        how, order = e.keep
-        if up not in ("MIN", "MAX") or len({o.desc for o in order}) > 1:
-            raise UnsupportedSyntax("KEEP goes with MIN or MAX and one direction")
-        x = self.expr(e.args[0])
-        top = (how == "LAST") != order[0].desc
-        keys = f"struct({', '.join(self.expr(o.expr) for o in order)})"
-        pick = "max" if top else "min"
-        if (up == "MAX") == top:
-            return self.windowed(f"{pick}(struct({keys} AS k, {x} AS x))", e) + ".x"
-        if e.over is not None:
+        """An aggregate over the first or last rows of an order."""
+        if id(e) in self.keeps:
+            if up not in fn.AGGREGATES:
+                raise UnsupportedSyntax(f"KEEP goes with aggregates, not {up}")
+            return f"{self._call(dataclasses.replace(e, keep=None))} FILTER (WHERE {self.keeps[id(e)]})"
+        if up not in ("MIN", "MAX") or not self.aligned(e):
             raise UnsupportedSyntax("that KEEP over a window")
-        rows = f"collect_list(struct({keys} AS k, {x} AS x))"
-        return f"array_{up.lower()}(transform(filter({rows}, r -> r.k = array_{pick}(transform({rows}, s -> s.k))), r -> r.x))"
+        x, keys = self.expr(e.args[0]), self.sort_struct(e.keep[1])
+        # of the rows that tie, those without a value do not count
+        value = f"{x} IS NULL AS n, {x} AS x" if up == "MIN" else f"{x} AS x"
+        return self.windowed(f"{up.lower()}(struct({keys} AS k, {value}))", e) + ".x"
 
     def json_scalar(self, e: Any, absent: bool = True) -> str:
         """A value as JSON text; a null is left out unless NULL ON NULL is said."""
