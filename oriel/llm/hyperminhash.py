@@ -449,11 +449,11 @@ class _Search:
     def conflicts(self, rows: DataFrame, label: str) -> DataFrame:
         """Rows (bucket, rep, comp, n) of buckets that hold several components, with the bucket's size m,
         the component ``main`` of one of its members, and how many members ``o`` are of others."""
-        some = F.min(F.struct(F.xxhash64("rep", "bucket"), "comp")).getField("comp")
-        main = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), some.alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        rows = rows.join(main.where("low <> high").select("bucket", "main", "m"), "bucket").withColumn("other", F.col("comp") != F.col("main"))
-        others = rows.where("other").groupBy("bucket").agg(F.count(F.lit(1)).alias("o"))
-        return self.ws.keep(rows.join(others, "bucket"), f"rows-{label}")
+        held = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("rep", "bucket")).alias("h"))
+        main = held.groupBy("bucket").agg(F.sum("c").alias("m"), F.min(F.struct("h", "comp", "c")).alias("s"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        main = main.where("low <> high").select("bucket", F.col("s.comp").alias("main"), "m", (F.col("m") - F.col("s.c")).alias("o"))
+        rows = rows.join(main, "bucket").withColumn("other", F.col("comp") != F.col("main"))
+        return self.ws.keep(rows, f"rows-{label}")
 
     def dealt(self, rows: DataFrame, chosen: Column, once: bool, label: str) -> DataFrame:
         """Candidates between the ``chosen`` rows of a bucket, which are few, and all of its rows, block by block."""
@@ -573,10 +573,12 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     search = _Search(ws, rule, src, classes)
 
     # round 1: every member with the smallest of its bucket
-    first = shared.where("rep = head").select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("n", "s0", "s1")])
+    # a pair that shares many bands is looked at once
+    first = shared.where("rep = head").select("head", *[F.col(c).alias(f"h_{c}") for c in ("n", "s0", "s1")]).distinct()
     bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in ("s0", "s1")), F.lit(0))
     fits = (100 * F.least("n", "h_n") >= rule.percent * F.greatest("n", "h_n")) & (bits <= differing(rule.percent))
-    pairs = shared.where("rep <> head").join(first, "bucket").where(fits).select(F.col("head").alias("u"), F.col("rep").alias("v"))
+    met = shared.where("rep <> head").select("head", "rep", "n", "s0", "s1").distinct()
+    pairs = met.join(first, "head").where(fits).select(F.col("head").alias("u"), F.col("rep").alias("v"))
     links = search.confirmed([search.promising(pairs)], "first")
     roots = ws.keep(components(ws, links, "first"), "roots")
 
