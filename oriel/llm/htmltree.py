@@ -187,8 +187,7 @@ def parse(page: str) -> Node:
         if tag == "body":
             open_.close(1)  # a head that was not closed
         if tag in RAW:
-            end = raw_end(tag).search(page, at)
-            at = end.end() if end else n
+            at = raw_end(tag, page, at)
             continue
         add(tag, m[3], False)
     _sum(root)
@@ -196,8 +195,15 @@ def parse(page: str) -> Node:
 
 
 @functools.cache
-def raw_end(tag: str) -> re.Pattern:
-    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+def raw_close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
+
+
+def raw_end(tag: str, page: str, at: int) -> int:
+    """Where the content of a raw element that began at ``at`` is over; a closing tag without > runs to the end, found in one pass."""
+    close = raw_close(tag).search(page, at)
+    end = page.find(">", close.end()) if close else -1
+    return end + 1 if end >= 0 else len(page)
 
 
 def walk(root: Node) -> list[Node]:

@@ -29,6 +29,9 @@ from .common import Workspace, in_batches
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Revisits that are broadcast at most: 80 bytes each, 40 MB in all.
+BROADCAST_ROWS = 500_000
+
 
 class WarcError(ValueError):
     """An archive that is not framed as it should be, or whose digests do not agree."""
@@ -120,7 +123,10 @@ def parse(raw: bytes) -> Record:
         raise WarcError("no WARC header")
     fields = []
     for line in lines:
-        k, colon, v = line.decode().partition(":")
+        try:
+            k, colon, v = line.decode().partition(":")
+        except UnicodeDecodeError:
+            raise WarcError(f"not a header in UTF-8: {line[:80]!r}") from None
         if not colon:
             raise WarcError(f"not a header field: {line[:80]!r}")
         fields.append((k.strip(), v.strip()))
@@ -157,6 +163,19 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return Record(fields, block)
 
 
+def _revisits(src: DataFrame, least_bytes: int) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages whose payload one with a smaller id has as well.
+
+    Only ids and digests are shuffled for it.  What is found is brought to the pages by broadcast where it is small, else by id,
+    which no two payloads share but by accident, so a payload that a third of all pages have goes to no one task.
+    """
+    slim = src.where(F.col("page_id").isNotNull() & (F.col("bytes") >= least_bytes)).select("page_id", "digest", "bytes")
+    firsts = slim.groupBy("digest", "bytes").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = slim.join(firsts, ["digest", "bytes"]).where("refers_to <> page_id").select("page_id", "digest", "refers_to").distinct()
+    found = Workspace(src.sparkSession, "revisits").keep(found, "revisits")
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Archives of the pages under ``folder``; a lazy table (archive, n_records) that writes as it runs.
 
@@ -166,8 +185,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8").alias("payload"))
     src = src.withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload")})
-    firsts = src.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = src.join(firsts, ["digest", "bytes"], "left").select("page_id", "url", "payload", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    revisits = _revisits(src, least_bytes)
+    found = src.join(revisits, ["page_id", "digest"], "left")
+    rows = found.select("page_id", "url", "payload", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def files() -> Iterator[tuple[str, int]]:

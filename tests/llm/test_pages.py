@@ -199,7 +199,8 @@ def test_few_and_no_vectors(spark):
 
 @pytest.mark.parametrize(
     "make",
-    [lambda n: "<a " * n, lambda n: '<a "' * (2 * n + 1) + ">x", lambda n: "<div>" * n, lambda n: "<table><td><p><td>" + "<x><div>" * n, lambda n: "<b>a" * n, lambda n: "<span class=a>a" * n, lambda n: "a<b>b</b>" * n],
+    [lambda n: "<a " * n, lambda n: '<a "' * (2 * n + 1) + ">x", lambda n: "<div>" * n, lambda n: "<table><td><p><td>" + "<x><div>" * n, lambda n: "<b>a" * n, lambda n: "<span class=a>a" * n, lambda n: "a<b>b</b>" * n,
+     lambda n: "<script>" + "</script " * n, lambda n: "<style>" + "</style x=" * n + ">"],
 )
 def test_hostile_pages_take_time_in_proportion(make):
     def seconds(n):
@@ -263,3 +264,22 @@ def test_queries_that_want_more_lists_than_the_beam_get_them():
     for ratio in (1.3, np.inf):
         for v, found in zip(far, index.lists(x[:40], rule.beam, ratio)):
             assert set(found.tolist()) == set(np.flatnonzero(v <= ratio * max(v.min(), index.radius)).tolist())
+
+
+def test_archives_roll_over_and_bad_headers_are_told(spark, pages, tmp_path):
+    written = warc.write_archives(pages.repartition(1), str(tmp_path), archive_bytes=400).collect()
+    assert len(written) >= 3 and sum(r.n_records for r in written) == len(PAGES)
+    back = warc.read_archives(spark.createDataFrame([(r.archive,) for r in written], "archive string")).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes) for r in back) == sorted((p or 0, len((h or "").encode())) for p, _, h in PAGES)
+    with pytest.raises(warc.WarcError, match="UTF-8"):
+        warc.parse(b"WARC/1.1\r\nWARC-Target-URI: \xff\r\n\r\n")
+
+
+def test_one_payload_of_most_pages_is_not_shuffled(spark, monkeypatch):
+    rows = [(i, f"http://a/{i}", "same" if i % 3 else f"own {i}", "x", "y", "z") for i in range(300)] + [(5, "http://b", "other", "x", "y", "z"), (5, "http://b", "same", "x", "y", "z")]
+    src = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    want = {(i, len(h), None if h != "same" or i == 1 else 1) for i, _, h, *_ in rows}
+    for most in (500_000, 3):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        got = warc.round_trip(spark, src).collect()
+        assert len(got) == len(rows) and {(r.page_id, r.payload_bytes, r.refers_to) for r in got} == want
