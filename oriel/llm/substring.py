@@ -32,6 +32,8 @@ from .common import BYTE_CODE, POWERS, Workspace, in_groups, mix64, text_slices
 LOW6 = np.uint64(63)
 #: Bytes of input for each bucket of grams and each block of documents.
 BUCKET_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
+#: Partitions that the driver keeps track of at most; beyond, each has several buckets or blocks, one after the other.
+MOST_PARTITIONS = 16_384
 #: Bytes that one suffix array is built over, but for a single gram's segments.
 ARRAY_BYTES = 1 << 19
 
@@ -487,6 +489,11 @@ def _cut(keep_text: bool):
     return run
 
 
+def dealing(size: int) -> tuple[int, int]:
+    """(buckets, blocks) for so many bytes of text: what a task holds at once is one of them, however many its partition has."""
+    return max(48, size // BUCKET_BYTES), max(24, size // BLOCK_BYTES)
+
+
 def substring_dedup(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans [a, z), kept (bytes, if asked for).
 
@@ -501,9 +508,9 @@ def substring_dedup(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "d
     named = src.where("d is not null")
     # both follow the input, so what a task holds does not
     size = named.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    buckets, blocks = max(48, size // BUCKET_BYTES), max(24, size // BLOCK_BYTES)
+    buckets, blocks = dealing(size)
     grams = named.where(F.octet_length("text") >= rule.length).mapInArrow(_grams(rule, buckets), "bucket int, blob binary, tags binary")
-    grams = grams.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    grams = grams.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
     partners = ws.keep(grams.mapInArrow(_partners(blocks), "block int, bucket int, blob binary"), "partners")
 
     def with_texts(blobs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -511,12 +518,12 @@ def substring_dedup(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "d
         return (
             blobs.select("block", F.lit(0).alias("kind"), "bucket", "blob", F.lit(None).cast("long").alias("d"), F.lit(None).cast("string").alias("text"))
             .unionByName(texts.select(block.alias("block"), F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "d", "text"))
-            .repartition(blocks, "block")
+            .repartition(min(blocks, MOST_PARTITIONS), "block")
             .sortWithinPartitions("block", "kind")
         )
 
     contents = with_texts(partners, named.where(F.octet_length("text") >= rule.length)).mapInArrow(_contents(rule), "bucket int, blob binary, bytes binary")
-    removals = contents.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_removals(rule, blocks), "block int, bucket int, blob binary")
+    removals = contents.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_removals(rule, blocks), "block int, bucket int, blob binary")
     removals = ws.keep(removals, "removals")
     ws.drop("partners")
     schema = "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:bigint,z:bigint>>, kept binary"

@@ -313,3 +313,17 @@ def test_lines_match_brute_force(spark):
     assert sum(map(bool, gone.values())) >= 4
     assert linededup.line_dedup(empty(spark)).count() == 0
     assert linededup.line_dedup(frame(spark, ROWS)).count() == len(ROWS) + 1
+
+
+def test_substring_partitions_are_bounded(spark, monkeypatch):
+    """However many buckets there are, partitions stay few, and one that has several buckets and blocks gives the same rows."""
+    buckets, blocks = substring.dealing(100 << 40)
+    assert buckets > 10**7 and min(buckets, substring.MOST_PARTITIONS) == min(blocks, substring.MOST_PARTITIONS) == substring.MOST_PARTITIONS
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdef ") for _ in range(70))
+    rows = [(i, (passage if i % 3 else "") + "".join(r.choice("xyz") for _ in range(r.randrange(120)))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(substring.substring_dedup(docs).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect())
+    assert sum(w.n_removed > 0 for w in want) >= 59
+    monkeypatch.setattr(substring, "MOST_PARTITIONS", 3)
+    assert sorted(substring.substring_dedup(docs).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect()) == want
