@@ -1,7 +1,7 @@
 """URL filters, in DataFrame functions only.
 
 Pattern rules are indexed by their rarest literal token, the one that fewest
-URLs hold.  A URL's distinct tokens fetch candidate rules by an equi-join, and
+URLs hold.  The tokens are derived from the pattern: those that every match holds whole.  A URL's distinct tokens fetch candidate rules by an equi-join, and
 only candidates run their regular expression.  A verdict depends on nothing but
 the URL, so URLs are judged once each, however many rows hold them.  Host rules with a
 path prefix are indexed by host: every distinct host looks up itself and its parent
@@ -39,11 +39,82 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over the lower-cased URL; ``tokens`` are literals that each match holds as whole tokens."""
+    """A regular expression over the lower-cased URL; ``tokens`` are literals that each match holds as whole tokens, all that can be
+    derived unless some are named."""
 
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str, ...] = ()
+
+    @property
+    def literals(self) -> tuple[str, ...]:
+        derived = literal_tokens(self.pattern)
+        if unsure := set(self.tokens) - set(derived):
+            raise ValueError(f"not every match of {self.pattern} holds {', '.join(sorted(unsure))}")
+        if not derived:
+            raise ValueError(f"a pattern needs literal tokens: {self.pattern}")
+        return self.tokens or derived
+
+
+def _is_token(code: int) -> bool:
+    return 97 <= code <= 122 or 48 <= code <= 57
+
+
+def _clean(items: list, at_end: bool) -> bool | None:
+    """Whether what the items match never begins (or ends) with a token's character; None if they may match nothing."""
+    for op, arg in reversed(items) if at_end else items:
+        name = str(op)
+        if name == "LITERAL":
+            return not _is_token(arg)
+        if name == "IN":
+            if str(arg[0][0]) == "NEGATE":
+                held = {c for o, a in arg[1:] for c in (range(a[0], a[1] + 1) if str(o) == "RANGE" else [a] if str(o) == "LITERAL" else [])}
+                return all(c in held for c in range(128) if _is_token(c))
+            return not any(str(o) not in ("LITERAL", "RANGE") or any(_is_token(c) for c in (range(a[0], a[1] + 1) if str(o) == "RANGE" else [a])) for o, a in arg)
+        if name == "SUBPATTERN":
+            inner = _clean(list(arg[3]), at_end)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            inner = _clean(list(arg[2]), at_end)
+            if inner is not False and arg[0] == 0:
+                inner = None
+        elif name == "BRANCH":
+            sides = [_clean(list(x), at_end) for x in arg[1]]
+            inner = False if False in sides else None if None in sides else True
+        elif name == "AT":  # the ends of the text; elsewhere an anchor says nothing of its neighbour
+            return str(arg) in ("AT_BEGINNING", "AT_BEGINNING_STRING", "AT_END_STRING") or False
+        else:
+            return False
+        if inner is not None:
+            return inner
+    return None
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """The runs of letters and digits that each match of a pattern holds, with something else or the text's end on both sides.
+
+    Only what the pattern demands outside choices and repeats counts, so a pattern may have none.
+    """
+    flat: list = []
+
+    def open_groups(items: list) -> None:
+        for op, arg in items:
+            if str(op) == "SUBPATTERN":
+                open_groups(list(arg[3]))
+            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] == arg[1] == 1:
+                open_groups(list(arg[2]))
+            else:
+                flat.append((op, arg))
+
+    open_groups(list(re._parser.parse(pattern)))
+    out, i = [], 0
+    while i < len(flat):
+        j = i
+        while j < len(flat) and str(flat[j][0]) == "LITERAL" and _is_token(flat[j][1]):
+            j += 1
+        if j > i and _clean(flat[:i], True) and _clean(flat[j:], False):
+            out.append("".join(chr(c) for _, c in flat[i:j]))
+        i = max(j, i + 1)
+    return tuple(dict.fromkeys(out))
 
 
 HOST_RULES = (
@@ -53,17 +124,25 @@ HOST_RULES = (
     HostRule("allow", "org", "/fr/"),
 )
 #: Exceptions ("allow") override blocks.
-PATTERN_RULES = (
-    PatternRule("block", r"://([^/?#]*\.)?casino-[a-z0-9-]+\.", ("casino",)),
-    PatternRule("block", r"://([^/?#]*\.)?[a-z0-9]+-casino\.", ("casino",)),
-    PatternRule("block", r"://([^/?#]*\.)?free-bets?\.", ("free",)),
-    PatternRule("block", r"://([^/?#]*\.)?cheap-pills?\.", ("cheap",)),
-    PatternRule("block", r"://([^/?#]*\.)?spam-[a-z0-9-]+\.", ("spam",)),
-    PatternRule("block", r"://([^/?#]*\.)?adult-[a-z0-9-]+\.", ("adult",)),
-    PatternRule("block", r"://([^/?#]*\.)?xxx[.-]", ("xxx",)),
-    PatternRule("block", r"://([^/?#]*\.)?porn[.-]", ("porn",)),
-    PatternRule("block", r"[?&/]doubleclick[/.=]", ("doubleclick",)),
-    PatternRule("allow", r"://([^/?#]*\.)?spam-(policy|report)\.", ("spam",)),
+PATTERN_RULES = tuple(
+    PatternRule(verdict, pattern)
+    for verdict, pattern in (
+        ("block", r"://([^/?#]*\.)?casino-[a-z0-9-]+\."),
+        ("block", r"://([^/?#]*\.)?[a-z0-9]+-casino\."),
+        ("block", r"://([^/?#]*\.)?free-bets\."),
+        ("block", r"://([^/?#]*\.)?free-(spins|chips|coins)\."),
+        ("block", r"://([^/?#]*\.)?cheap-pills\."),
+        ("block", r"://([^/?#]*\.)?buy-[a-z0-9-]+-online\."),
+        ("block", r"://([^/?#]*\.)?spam-[a-z0-9-]+\."),
+        ("block", r"://([^/?#]*\.)?adult-[a-z0-9-]+\."),
+        ("block", r"://([^/?#]*\.)?xxx[.-]"),
+        ("block", r"://([^/?#]*\.)?porn[.-]"),
+        ("block", r"[?&/]doubleclick[/.=]"),
+        ("block", r"/affiliate/click\?id=[0-9]+"),
+        ("block", r"[?&]utm_campaign=(casino|bets)(&|#|$)"),
+        ("allow", r"://([^/?#]*\.)?spam-policy\."),
+        ("allow", r"://([^/?#]*\.)?spam-report\."),
+    )
 )
 
 
@@ -90,10 +169,7 @@ def pattern_table(spark: SparkSession, rules: tuple[PatternRule, ...] | DataFram
         bad = F.coalesce(F.size("tokens") < 1, F.lit(True)) | F.exists("tokens", lambda t: ~F.coalesce(t.rlike(f"^{TOKEN}$"), F.lit(False)))
         checked = F.when(bad, F.raise_error(F.concat(F.lit("a pattern needs literal tokens: "), "pattern"))).otherwise(F.col("tokens"))
         return rules.select("pattern", "verdict", F.explode(checked).alias("token"))
-    for r in rules:
-        if not r.tokens or not all(re.fullmatch(TOKEN, t) for t in r.tokens):
-            raise ValueError(f"a pattern needs literal tokens: {r.pattern}")
-    return _literal(spark, ("pattern", "verdict", "token"), [(r.pattern, r.verdict, t) for r in rules for t in r.tokens])
+    return _literal(spark, ("pattern", "verdict", "token"), [(r.pattern, r.verdict, t) for r in rules for t in r.literals])
 
 
 def _literal(spark: SparkSession, names: tuple[str, ...], rows: list[tuple[str, ...]]) -> DataFrame:
@@ -172,5 +248,6 @@ def judge(
     decided = ruled.join(found, "url", "left").select(
         "url", "host", "path", F.col("r.name").alias("rule"), F.coalesce("r.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict")
     )
-    out = src.join(decided, "url", "left")
+    # rows without a URL have one verdict, and join nothing
+    out = src.where("url is not null").join(decided, "url").unionByName(src.where("url is null"), allowMissingColumns=True)
     return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import io
+import json
 import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oriel.llm import ann, htmlextract, urlfilter, warc
@@ -283,3 +285,35 @@ def test_one_payload_of_most_pages_is_not_shuffled(spark, monkeypatch):
         monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
         got = warc.round_trip(spark, src).collect()
         assert len(got) == len(rows) and {(r.page_id, r.payload_bytes, r.refers_to) for r in got} == want
+
+
+@pytest.mark.parametrize(("pattern", "tokens"), [
+    (r"://([^/?#]*\.)?free-bets\.", ("free", "bets")), (r"://([^/?#]*\.)?free-bets?\.", ("free",)), (r"[?&/]doubleclick[/.=]", ("doubleclick",)), (r"casino", ()), (r"/a[b-d]c/", ()),
+    (r"/affiliate/click\?id=[0-9]+", ("affiliate", "click", "id")), (r"/(x|y)/end/", ("end",)), (r"/(up/)?down/", ("down",)), (r"/([a-z]*)down/", ()), (r"^http://(www\.)+go\.", ("http", "go")), (r"_one_(two)_", ("one", "two")), (r"/a.b/", ()), (r"/x{2}y/", ()),
+])
+def test_tokens_are_those_that_every_match_holds(pattern, tokens):
+    assert urlfilter.literal_tokens(pattern) == tokens
+
+
+def test_the_rarest_token_fetches(spark):
+    urls = [f"http://s{i}.test/news/item{i}?ref=x" for i in range(200)] + ["http://s.test/news/zebra?ref=x", "http://s.test/zebra/", "http://s.test/news/?ref=x", "http://s.test/zebra/news"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    tokens = pages.select("url", F.expr("regexp_extract_all(url, '[a-z0-9]+', 0)").alias("tokens"))
+    rule = urlfilter.PatternRule("block", r"/news/zebra\?ref=x$")
+    assert rule.literals == ("news", "zebra", "ref", "x") or rule.literals == ("news", "zebra", "ref")
+    assert [r.token for r in urlfilter.rule_index(tokens, urlfilter.pattern_table(spark, (rule,))).collect()] == ["zebra"]
+    common = urlfilter.rule_index(tokens.where("url like '%zebra%'"), urlfilter.pattern_table(spark, (rule,))).collect()
+    assert [r.token for r in common] == ["ref"]  # where zebra is frequent, another token fetches
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, (), (rule,)).collect()}
+    assert [i for i, v in got.items() if v == "block"] == [200]
+    with pytest.raises(ValueError, match="not every match"):
+        urlfilter.judge(pages, (), (urlfilter.PatternRule("block", r"/news/zebra", ("zebra",)),))
+
+
+def test_thousands_of_pattern_rules(spark, tmp_path):
+    rules = [urlfilter.PatternRule("block" if i % 5 else "allow", rf"/shop{i % 700}/item{i}[/?]") for i in range(4000)]
+    (tmp_path / "rules.json").write_text("\n".join(json.dumps({"verdict": r.verdict, "pattern": r.pattern, "tokens": r.literals}) for r in rules))
+    urls = [f"http://h/shop{i % 700}/item{i}/" for i in range(0, 5000, 7)] + [f"http://h/shop{i}/" for i in range(700)] + [None] * 50
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, (), urlfilter.read_pattern_rules(spark, str(tmp_path / "rules.json"))).collect()}
+    assert got == {p: "block" if u and p < 715 and p * 7 < 4000 and p * 7 % 5 else "allow" for p, u in enumerate(urls)}
