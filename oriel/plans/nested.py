@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json_patch import Op, json_transform
+from ..operators.model import ANY, CV, Model, Rule
 from ..operators.scoring import LinearModel, fit_linear, fit_logistic
 from ..semi.objects import TypeTree
 from .base import Registry, engine
@@ -127,3 +128,24 @@ def prediction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     agree = (F.col("p") == (F.col("q") >= 0.5).cast("int")) & (F.col("s")[0]["prediction"] == F.col("p")) & (F.size("d") == 2)
     right, ones = F.avg((F.col("p") == F.col("quality")).cast("int")), F.avg("quality")
     return scored.agg(F.count(F.lit(1)).alias("n"), (right > F.greatest(ones, F.lit(1.0) - ones)).alias("better"), F.min(agree).alias("consistent"))
+
+
+# MODEL
+
+
+@made("model_rules", """WITH t AS (SELECT c_nationkey AS n, o_orderstatus AS s, CAST(year(o_orderdate) AS INTEGER) AS y, SUM(o_totalprice) AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+r AS (SELECT n, coalesce(MAX(v) FILTER (WHERE s = 'F' AND y = 1997), 0) + coalesce(MAX(v) FILTER (WHERE s = 'F' AND y = 1998), 0) AS f FROM t GROUP BY n),
+u AS (SELECT n, s, y, v FROM t UNION ALL SELECT n, 'F', 2030, f FROM r UNION ALL SELECT n, 'O', 2030, 2 * f FROM r)
+SELECT u.n, u.s, u.y, ROUND(u.v, 2) AS v, ROUND(coalesce(u.v, 0) - coalesce(p.v, 0) + 2 * r.f, 2) AS w FROM u JOIN r ON r.n = u.n LEFT JOIN u p ON p.n = u.n AND p.s = u.s AND p.y = u.y - 1""")
+def model_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cells a nation that are made from others, and for every cell its growth over the year before plus one of those made."""
+    o, c = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    cells = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_nationkey").alias("n"), F.col("o_orderstatus").alias("s"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("v"))
+    cell = lambda s, y: ("v", {"s": s, "y": y})
+    model = Model(["n"], ["s", "y"], ["v", "w"], [
+        Rule("w", {"s": ANY, "y": ANY}, lambda a, b, m: a - b + m, (cell(CV(), CV()), cell(CV(), CV(-1)), cell("O", 2030))),
+        Rule("v", {"s": "O", "y": 2030}, lambda a: a * 2, (cell("F", CV()),)),
+        Rule("v", {"s": "F", "y": 2030}, lambda a, b: a + b, (cell("F", 1997), cell("F", 1998))),
+    ], ignore_nav=True)
+    out = model.apply(cells.withColumn("w", F.lit(None).cast("double")))
+    return out.select("n", "s", "y", F.round("v", 2).alias("v"), F.round("w", 2).alias("w"))
