@@ -28,14 +28,16 @@ RENAMED = {
 }
 TEMPLATES = {
     "SYSDATE": "localtimestamp()", "SYSTIMESTAMP": "current_timestamp()", "CURRENT_TIMESTAMP": "current_timestamp()", "LOCALTIMESTAMP": "localtimestamp()",
-    "USER": "current_user()", "SESSION_USER": "session_user()", "CURRENT_USER": "current_user()", "UID": "abs(hash(current_user()))",
+    "USER": "current_user()", "SESSION_USER": "session_user()", "CURRENT_USER": "current_user()",
+    # Spark has no user numbers: one made from the name, the same in every session
+    "UID": "abs(hash(current_user()))",
     "SESSIONTIMEZONE": "current_timezone()", "SYS_GUID": "upper(replace(uuid(), '-', ''))",
     "TO_BINARY_DOUBLE": "cast({0} AS DOUBLE)", "TO_BINARY_FLOAT": "cast({0} AS FLOAT)", "TO_CLOB": "cast({0} AS STRING)", "TO_NCHAR": "cast({0} AS STRING)",
     "ADD_MONTHS": "CASE WHEN to_date({0}) = last_day({0}) THEN last_day(add_months({0}, cast({1} AS INT))) ELSE add_months({0}, cast({1} AS INT)) END",
     "MONTHS_BETWEEN": "months_between({0}, {1})",
     "TO_DSINTERVAL": "cast({0} AS INTERVAL DAY TO SECOND)", "TO_YMINTERVAL": "cast({0} AS INTERVAL YEAR TO MONTH)",
     "REGEXP_LIKE": "({0} RLIKE {1})", "REGEXP_COUNT": "regexp_count({0}, {1})", "LOG": "log({0}, {1})", "REMAINDER": "({0} - {1} * rint({0} / {1}))",
-    "LNNVL": "coalesce(NOT ({0}), true)", "NANVL": "nanvl({0}, {1})", "BITAND": "({0} & {1})", "CHR": "char({0})", "TO_LOB": "{0}",
+    "LNNVL": "coalesce(NOT ({0}), true)", "NANVL": "nanvl({0}, {1})", "BITAND": "({0} & {1})", "CHR": "char({0})", "TO_LOB": "cast({0} AS STRING)",
     "CONCAT": "concat(coalesce(cast({0} AS STRING), ''), coalesce(cast({1} AS STRING), ''))", "SYS_EXTRACT_UTC": "to_utc_timestamp({0}, current_timezone())",
     "JSON_SERIALIZE": "cast({0} AS STRING)", "JSON_EXISTS": "(get_json_object({0}, {1}) IS NOT NULL)",
     "WM_CONCAT": "listagg({0}, ',')", "COLLECT": "sort_array(collect_list({0}))",

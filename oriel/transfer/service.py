@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
@@ -60,19 +62,25 @@ class Results:
         return f"{len(self.tables) - len(self.failed)} of {len(self.tables)} tables, {self.rows} rows"
 
 
-def transfer(tables: dict[str, DataFrame], sink: Callable[[str, DataFrame], None], expected: dict[str, int] | None = None) -> tuple[Results, Progress]:
-    """Write each table by ``sink(name, frame)``; rows are counted as they pass, without another scan."""
-    progress = Progress(len(tables), sum((expected or {}).values()))
-    out = Results()
-    for name, df in tables.items():
+def transfer(tables: dict[str, DataFrame], sink: Callable[[str, DataFrame], None], expected: dict[str, int] | None = None, at_once: int = 4) -> tuple[Results, Progress]:
+    """Write each table by ``sink(name, frame)``, up to ``at_once`` of them at a time, so that small tables do not wait for large ones.
+
+    Rows are counted as they pass, without another scan.  A table's failure is its result; results stand in the order of ``tables``.
+    """
+    progress, lock = Progress(len(tables), sum((expected or {}).values())), threading.Lock()
+
+    def one(name: str, df: DataFrame) -> Result:
         began = time.time()
         try:
             seen = Observation()
             sink(name, plan(df).observe(seen, F.count(F.lit(1)).alias("n")))
-            rows = seen.get["n"]
-            out.tables.append(Result(name, rows, time.time() - began, "", str(analyse(df.schema))))
-            progress.rows_done += rows
-        except Exception as e:  # noqa: BLE001  a table's failure is its result
-            out.tables.append(Result(name, 0, time.time() - began, f"{type(e).__name__}: {e}"[:500]))
-        progress.tables_done += 1
-    return out, progress
+            out = Result(name, seen.get["n"], time.time() - began, "", str(analyse(df.schema)))
+        except Exception as e:  # noqa: BLE001
+            out = Result(name, 0, time.time() - began, f"{type(e).__name__}: {e}"[:500])
+        with lock:
+            progress.rows_done += out.rows
+            progress.tables_done += 1
+        return out
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return Results(list(pool.map(one, tables.keys(), tables.values()))), progress

@@ -147,3 +147,18 @@ def test_long_recipient_lists_are_whole(spark):
     texts = F.array(*[F.lit(f"a{i}@x.org") for i in range(30)])
     row = spark.range(1).select(queues.RECIPIENTS["count"](queues.recipients(texts)).alias("a"), queues.RECIPIENTS["count"](queues.recipients(texts, most=10)).alias("b")).first()
     assert tuple(row) == (30, 10)
+
+
+def test_tables_are_transferred_side_by_side(spark):
+    import threading
+
+    both, seen = threading.Barrier(2, timeout=60), []
+
+    def sink(name, df):
+        if name in ("a", "b"):
+            both.wait()  # neither would go on if they came one after the other
+        seen.append((name, df.count()))
+
+    results, progress = service.transfer({n: spark.range(i + 1).toDF("x") for i, n in enumerate("abcd")}, sink, {"a": 10}, at_once=2)
+    assert [(r.table, r.error) for r in results.tables] == [(n, "") for n in "abcd"] and sorted(seen) == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+    assert progress.tables_done == 4
