@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..scratch import delete, shared_folder
+from ..scratch import delete, shared_folder, written
 from .changes import NEW, OLD, ROW, ChangeSet, kind
 from .ranks import in_order
 from .triggers import RowTrigger, StatementTrigger
@@ -195,6 +196,21 @@ class VersionedTable:
         image = F.struct(*[new.get(f.name.lower(), F.col(_q(f.name))).cast(f.dataType).alias(f.name) for f in schema])
         return self._commit(hit.select(ROW, F.struct(*[F.col(_q(f.name)) for f in schema]).alias(OLD), image.alias(NEW)), "UPDATE", set(new))
 
+    def update_from(self, df: DataFrame, on: list[str], sets: list[str]) -> ChangeSet:
+        """Rows that meet a row of ``df`` in the columns ``on`` take its values of ``sets``; one that meets two ends the commit.  A null key meets none."""
+        schema = self.schema()
+        names = {f.name.lower(): f.name for f in schema}
+        if unknown := {c.lower() for c in (*on, *sets)} - set(names):
+            raise LookupError(f"no column {', '.join(sorted(unknown))}")
+        source = df.select(*[F.col(_q(c)).alias(f"__k{i}") for i, c in enumerate(on)], *[F.col(_q(c)).alias(f"__s{i}") for i, c in enumerate(sets)])
+        place = {c.lower(): f"__s{i}" for i, c in enumerate(sets)}
+        same = F.lit(True)
+        for i, c in enumerate(on):
+            same &= F.col(_q(names[c.lower()])) == F.col(f"__k{i}")
+        image = F.struct(*[F.col(place.get(f.name.lower(), _q(f.name))).cast(f.dataType).alias(f.name) for f in schema])
+        hit = self.as_of(rows=True).join(source, same)
+        return self._commit(hit.select(ROW, F.struct(*[F.col(_q(f.name)) for f in schema]).alias(OLD), image.alias(NEW)), "UPDATE", set(place), once=True)
+
     def delete(self, where: str | Column = "true") -> ChangeSet:
         schema = self.schema()
         hit = self.as_of(rows=True).where(_condition(where))
@@ -204,7 +220,7 @@ class VersionedTable:
         """Commit (__row, old, new) rows that a statement made; a null row number asks for a new one."""
         return self._commit(rows, event, columns)
 
-    def _commit(self, rows: DataFrame, event: str, columns: set[str] | None = None) -> ChangeSet:
+    def _commit(self, rows: DataFrame, event: str, columns: set[str] | None = None, once: bool = False) -> ChangeSet:
         """Statement triggers before, row triggers on all rows at once, the change set, the log, statement triggers after.
 
         New rows are numbered where they are written; a row that would be changed twice, or a null where none may be, ends the commit.
@@ -227,12 +243,12 @@ class VersionedTable:
             rows = ordered.numbered("__n", next_row).withColumn(ROW, F.coalesce(ROW, "__n")).drop("__n")
             next_row += ordered.total
         rows.write.option("compression", "zstd").parquet(f"{self.folder}/{path}")
-        written = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}")
-        if event == "MERGE" and written.groupBy(ROW).count().where("count > 1").limit(1).count():
+        kept = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{path}")
+        if (once or event == "MERGE") and kept.groupBy(ROW).count().where("count > 1").limit(1).count():
             delete(self.spark, f"{self.folder}/{path}")
-            raise ValueError("MERGE: two source rows match one target row")
+            raise ValueError(f"{event}: two source rows match one target row")
         self._record(Commit(version, time.time_ns() // 1000, "changes", path, next_row))
-        out = ChangeSet.of(written, version)
+        out = ChangeSet.of(kept, version)
         for t in each("AFTER"):
             t.action(out)
         return out
@@ -244,3 +260,38 @@ def _condition(where: str | Column) -> Column:
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`" if not re.fullmatch(r"\w+", name) else name
+
+
+@dataclass
+class TriggeredView:
+    """A view that statements change by INSTEAD OF triggers.
+
+    ``rows`` gives the view's rows; the trigger of each event gets the pending change set, whose images are rows of the view, all at
+    once, and changes the tables behind it.  The change set is written before, so the trigger may read it while those tables change.
+    """
+
+    rows: Callable[[], DataFrame]
+    instead_of: dict[str, Callable[[ChangeSet], None]]
+
+    def _fire(self, event: str, old: Column | None, new: Column | None, rows: DataFrame, kind_of: T.StructType) -> ChangeSet:
+        if event not in self.instead_of:
+            raise ValueError(f"the view takes no {event}")
+        none = F.lit(None).cast(kind_of)
+        out = ChangeSet.of(written(rows.select(F.lit(None).cast("long").alias(ROW), (none if old is None else old).alias(OLD), (none if new is None else new).alias(NEW)), "instead"))
+        self.instead_of[event](out)
+        return out
+
+    def insert(self, df: DataFrame) -> ChangeSet:
+        schema = self.rows().schema
+        return self._fire("INSERT", None, F.struct(*[(F.col(_q(f.name)) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]), df, schema)
+
+    def update(self, sets: dict[str, str], where: str | Column = "true") -> ChangeSet:
+        rows = self.rows()
+        if unknown := set(sets) - set(rows.columns):
+            raise LookupError(f"no column {', '.join(sorted(unknown))}")
+        new = F.struct(*[(F.expr(sets[f.name]) if f.name in sets else F.col(_q(f.name))).cast(f.dataType).alias(f.name) for f in rows.schema])
+        return self._fire("UPDATE", F.struct(*[F.col(_q(c)) for c in rows.columns]), new, rows.where(_condition(where)), rows.schema)
+
+    def delete(self, where: str | Column = "true") -> ChangeSet:
+        rows = self.rows()
+        return self._fire("DELETE", F.struct(*[F.col(_q(c)) for c in rows.columns]), None, rows.where(_condition(where)), rows.schema)

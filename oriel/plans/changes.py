@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.changes import ChangeSet
 from ..operators.triggers import Lookup, RowTrigger, StatementTrigger
-from ..operators.versions import VersionedTable
+from ..operators.versions import TriggeredView, VersionedTable
 from .base import Registry, engine
 
 R = Registry()
@@ -144,3 +145,23 @@ def trigger_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.update({"o_totalprice": "o_totalprice * 2"}, "o_orderstatus = 'F'")
     log.delete("o_orderstatus = 'P'")
     return audit.as_of()
+
+
+@made("trigger_instead_of", """WITH gone AS (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0 AND o_orderstatus = 'P')
+SELECT c_custkey, CASE WHEN c_nationkey = 3 AND c_custkey IN (SELECT o_custkey FROM orders) THEN upper(c_name) || '!' ELSE c_name END AS c_name, COUNT(o.o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone)) o ON o.o_custkey = c_custkey GROUP BY ALL""")
+def trigger_instead_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view over customers and orders: its updates rename customers, its deletes take orders away."""
+    customers, orders = VersionedTable.create(read(spark, sf_dir, "customer")), VersionedTable.create(read(spark, sf_dir, "orders"))
+
+    def rows() -> DataFrame:
+        return customers.as_of().join(orders.as_of().withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "o_orderkey", "o_orderstatus")
+
+    view = TriggeredView(rows, {
+        "UPDATE": lambda c: customers.update_from(c.rows.select("new.c_custkey", "new.c_name").distinct(), ["c_custkey"], ["c_name"]),
+        "DELETE": lambda c: orders.apply(orders.as_of(rows=True).alias("o").join(c.rows.selectExpr("old.o_orderkey AS k").distinct(), F.col("o.o_orderkey") == F.col("k")).selectExpr("__row", f"struct({', '.join('o.' + n for n in orders.schema().names)}) AS old", f"cast(null AS {orders.schema().simpleString()}) AS new"), "DELETE"),
+    })
+    view.update({"c_name": "concat(upper(c_name), '!')"}, "c_nationkey = 3")
+    view.delete("c_acctbal < 0 AND o_orderstatus = 'P'")
+    kept, named = orders.as_of(), customers.as_of()
+    # a customer without orders is not in the view, so the view's update leaves its name
+    return named.join(kept, kept["o_custkey"] == named["c_custkey"], "left").groupBy("c_custkey", "c_name").agg(F.count("o_orderkey").alias("n"))

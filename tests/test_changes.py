@@ -10,7 +10,7 @@ from oriel.catalog import ResolutionError
 from oriel.engine import Engine
 from oriel.operators.changes import ChangeSet
 from oriel.operators.triggers import Lookup, RowTrigger, StatementTrigger
-from oriel.operators.versions import Commit, SnapshotTooOld, VersionedTable
+from oriel.operators.versions import Commit, SnapshotTooOld, TriggeredView, VersionedTable
 from oriel.sql.lexer import UnsupportedSyntax
 
 
@@ -144,6 +144,29 @@ def test_checks_columns_and_statement_triggers(spark, t):
         RowTrigger(sets={"zz": "1"}).apply(t.changes(1).rows)
 
 
+def test_views_change_by_their_triggers(spark, t):
+    seen = []
+
+    def renamed(c):
+        seen.append(c.counts())
+        t.update_from(c.rows.select("new.a", "new.c"), ["a"], ["c"])
+
+    view = TriggeredView(lambda: t.as_of().where("b = 1").select("a", "c"), {"UPDATE": renamed, "INSERT": lambda c: t.insert(c.returning("a", "c").withColumn("b", F.lit(1)))})
+    assert view.update({"c": "concat(c, '?')"}, "a < 10").count() == 3
+    assert seen[0]["UPDATE"] == 3 and rows(t.as_of().where("c LIKE '%?'").select("a")) == [(1,), (5,), (9,)]
+    view.insert(spark.createDataFrame([(100,)], "a long"))
+    assert rows(view.rows().where("a >= 37")) == [(100, None), (37, "n37")]
+    with pytest.raises(ValueError, match="takes no DELETE"):
+        view.delete()
+    with pytest.raises(LookupError):
+        view.update({"b": "1"})
+    with pytest.raises(ValueError, match="two source rows"):
+        t.update_from(spark.createDataFrame([(1, "x"), (1, "y")], "a long, c string"), ["a"], ["c"])
+    assert t.version == 2 and t.update_from(spark.createDataFrame([(None, "x")], "a long, c string"), ["a"], ["c"]).count() == 0
+    with pytest.raises(LookupError):
+        t.update_from(spark.range(1).toDF("a"), ["a"], ["zz"])
+
+
 # statements
 
 
