@@ -138,19 +138,33 @@ def with_dictionary(spark: SparkSession, sf_dir: str):
     return e
 
 
-@made("dict_tables", f"SELECT * FROM (VALUES {', '.join(f"('{t.upper()}')" for t in TABLES)}, ('V_BIG_ORDERS')) v(table_name)")
+COUNTED = ("region", "nation", "customer", "orders", "documents", "labels")
+
+
+@made("dict_tables", " UNION ALL ".join(f"SELECT '{t.upper()}' AS table_name, COUNT(*) AS n FROM {t}" for t in COUNTED))
 def dict_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_dictionary(spark, sf_dir).sql("SELECT table_name FROM all_tables WHERE owner = 'MAIN'")
+    """The dictionary's tables beside the rows that each has."""
+    counts = " UNION ALL ".join(f"SELECT '{t.upper()}' AS k, COUNT(*) AS n FROM {t}" for t in COUNTED)
+    return with_dictionary(spark, sf_dir).sql(f"SELECT t.table_name, c.n FROM all_tables t, ({counts}) c WHERE t.owner = 'MAIN' AND c.k = t.table_name")
+
+
+PROFILED = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "documents": ("doc_id", "text", "lang", "source", "n_chars")}
 
 
-@made("dict_columns", "SELECT upper(table_name) AS table_name, upper(column_name) AS column_name, CAST(ordinal_position AS INTEGER) AS column_id FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'orders', 'lineitem')")
+@made("dict_columns", " UNION ALL ".join(f"SELECT '{t.upper()}' AS table_name, '{c.upper()}' AS column_name, {i} AS column_id, COUNT({c}) AS filled, COUNT(DISTINCT {c}) AS kinds, MAX(CASE WHEN typeof({c}) = 'BIGINT' THEN 'bigint' WHEN typeof({c}) = 'VARCHAR' THEN 'string' WHEN typeof({c}) = 'DOUBLE' THEN 'double' WHEN typeof({c}) = 'INTEGER' THEN 'int' ELSE 'timestamp_ntz' END) AS data_type FROM {t}" for t, cs in PROFILED.items() for i, c in enumerate(cs, 1)))
 def dict_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_dictionary(spark, sf_dir).sql("SELECT table_name, column_name, column_id FROM all_tab_columns WHERE table_name IN ('REGION', 'NATION', 'CUSTOMER', 'ORDERS', 'LINEITEM')")
+    """A profile of each column of some tables, by what the dictionary says they have."""
+    e = with_dictionary(spark, sf_dir)
+    profile = " UNION ALL ".join(f"SELECT '{t.upper()}' AS t, '{c.upper()}' AS c, COUNT({c}) AS filled, COUNT(DISTINCT {c}) AS kinds FROM {t}" for t, cs in PROFILED.items() for c in cs)
+    return e.sql(f"SELECT d.table_name, d.column_name, d.column_id, p.filled, p.kinds, d.data_type FROM all_tab_columns d JOIN ({profile}) p ON p.t = d.table_name AND p.c = d.column_name")
 
 
-@made("dict_constraints", "SELECT * FROM (VALUES ('PK_NATION', 'P', 'N_NATIONKEY', NULL), ('FK_REGION', 'R', 'N_REGIONKEY', 'REGION')) v(constraint_name, kind, column_name, target)")
+@made("dict_constraints", "SELECT 'PK_NATION' AS constraint_name, 'P' AS kind, 'N_NATIONKEY' AS column_name, NULL AS target, COUNT(DISTINCT n_nationkey) AS kinds FROM nation UNION ALL SELECT 'FK_REGION', 'R', 'N_REGIONKEY', 'REGION', COUNT(DISTINCT n_regionkey) FROM nation")
 def dict_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_dictionary(spark, sf_dir).sql("SELECT c.constraint_name, c.constraint_type AS kind, k.column_name, c.r_table_name AS target FROM all_constraints c JOIN all_cons_columns k ON c.constraint_name = k.constraint_name AND c.table_name = k.table_name")
+    """Constraints by the dictionary, beside how many values their columns hold."""
+    return with_dictionary(spark, sf_dir).sql("""SELECT c.constraint_name, c.constraint_type AS kind, k.column_name, c.r_table_name AS target, v.kinds
+        FROM all_constraints c JOIN all_cons_columns k ON c.constraint_name = k.constraint_name AND c.table_name = k.table_name
+        JOIN (SELECT 'N_NATIONKEY' AS col, COUNT(DISTINCT n_nationkey) AS kinds FROM nation UNION ALL SELECT 'N_REGIONKEY', COUNT(DISTINCT n_regionkey) FROM nation) v ON v.col = k.column_name""")
 
 
 @made("ddl_create_table", "SELECT n_nationkey AS id, n_name AS nm, 'new' AS state FROM nation")
@@ -201,17 +215,21 @@ def aq_recipients_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 # counts, transfer, phases
 
 
-@made("rowcount_statistics", "SELECT 1234 AS n_rows, 'statistics' AS method")
+@made("rowcount_statistics", "SELECT COUNT(*) AS n_rows, 'statistics' AS method FROM orders")
 def rowcount_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics as an earlier count of the table left them."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     counter = rowcount.Counter(rowcount.Settings(method="STATISTICS_ONLY"))
-    return counter.count(spark.read.parquet(f"{sf_dir}/orders.parquet"), rowcount.Statistics(num_rows=1234, modifications=1)).select(F.col("n_rows").cast("int").alias("n_rows"), "method")
+    return counter.count(orders, rowcount.Statistics(num_rows=rowcount.exact(orders).first().n_rows, modifications=1)).select(F.col("n_rows").cast("long").alias("n_rows"), "method")
 
 
-@made("rowcount_segment", "SELECT 100 AS by_bytes, 7 AS by_count, 8192 AS by_blocks, TRUE AS old, FALSE AS fresh")
+@made("rowcount_segment", "SELECT CAST(SUM(strlen(c_name)) // MAX(strlen(c_name)) AS BIGINT) AS by_bytes, COUNT(*) AS by_count, CAST(floor(COUNT(*) * 8192 * 0.8 / MAX(strlen(c_name))) AS BIGINT) AS by_blocks, TRUE AS old, FALSE AS fresh FROM customer")
 def rowcount_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = rowcount.Statistics
-    by = [rowcount.from_segment(x) for x in (s(bytes=1000, avg_row_len=10), s(num_rows=7), s(blocks=10, avg_row_len=8))]
-    return values(spark, by_bytes=by[0], by_count=by[1], by_blocks=by[2], old=rowcount.stale(s(10, 50)), fresh=rowcount.stale(s(100, 10)))
+    """Estimates from sizes that are measured on a table."""
+    s, n = rowcount.Statistics, F.octet_length("c_name")
+    m = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.sum(n).alias("bytes"), F.max(n).alias("longest"), F.count(F.lit(1)).alias("rows")).first()
+    by = [rowcount.from_segment(x) for x in (s(bytes=m.bytes, avg_row_len=m.longest), s(num_rows=m.rows), s(blocks=m.rows, avg_row_len=m.longest))]
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in zip(("by_bytes", "by_count", "by_blocks"), by)], F.lit(rowcount.stale(s(m.rows, 5 * m.rows))).alias("old"), F.lit(rowcount.stale(s(m.rows, m.rows // 10))).alias("fresh"))
 
 
 @made("rowcount_sampling_near", "SELECT TRUE AS near")
@@ -227,10 +245,16 @@ def transfer_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.plan(d.select("doc_id", F.struct("lang", "source").alias("o"), F.encode("lang", "utf-8").alias("b"), F.col("n_chars").cast("long").alias("n")))
 
 
-@made("transfer_shapes", "SELECT * FROM (VALUES ('nation', 'simple', 0), ('embeddings', 'mixed', 1)) v(table_name, shape, complex)")
+@made("transfer_shapes", "SELECT 'nation' AS table_name, 'simple' AS shape, 0 AS complex, COUNT(*) AS n FROM nation UNION ALL SELECT 'embeddings', 'mixed', 1, COUNT(*) FROM embeddings")
 def transfer_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(t, planner.analyse(spark.read.parquet(f"{sf_dir}/{t}.parquet").schema)) for t in ("nation", "embeddings")]
-    return spark.createDataFrame([(t, a.shape, a.complex) for t, a in rows], "table_name string, shape string, complex int")
+    """How each table would be transferred, and the rows that there are."""
+    out = None
+    for t in ("nation", "embeddings"):
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        a = planner.analyse(df.schema)
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), F.lit(a.shape).alias("shape"), F.lit(a.complex).cast("int").alias("complex"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @made("job_phases", "SELECT '[\"EXTRACT\", \"TRANSFER\"]' AS ran, 100 AS percent, 'DONE' AS state")
@@ -241,12 +265,16 @@ def job_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, ran=json.dumps(seen), percent=int(m.percent), state=m.state)
 
 
-@made("constraint_order", "SELECT * FROM (VALUES (0, 'p'), (1, 'c'), (2, 'f')) v(place, name)")
+@made("constraint_order", "SELECT 0 AS place, 'p' AS name, COUNT(*) AS bad FROM (SELECT n_regionkey FROM nation GROUP BY n_regionkey HAVING COUNT(*) > 1) UNION ALL SELECT 1, 'c', COUNT(*) FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 2, 'f', COUNT(DISTINCT n_nationkey) FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region)")
 def constraint_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constraints are checked in an order of their own, each with the rows or keys that break it."""
     c = constraints
-    given = [c.Constraint("f", "R", ("n_regionkey",), target="region", target_columns=("r_regionkey",)), c.Constraint("c", "C", condition="n_nationkey >= 0"), c.Constraint("p", "P", ("n_nationkey",))]
-    out = c.validate(engine(spark, sf_dir), "nation", given)
-    return spark.createDataFrame([(i, o.constraint.name) for i, o in enumerate(out)], "place int, name string")
+    given = [c.Constraint("f", "R", ("n_nationkey",), target="region", target_columns=("r_regionkey",)), c.Constraint("c", "C", condition="n_nationkey >= 5"), c.Constraint("p", "P", ("n_regionkey",))]
+    out = None
+    for i, o in enumerate(c.validate(engine(spark, sf_dir), "nation", given)):
+        row = o.violations.agg(F.count(F.lit(1)).alias("bad")).select(F.lit(i).alias("place"), F.lit(o.constraint.name).alias("name"), "bad")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @made("index_advice", "SELECT * FROM (VALUES ('a', 'sort files by x'), ('b', 'not supported: bitmap'), ('d', 'covered by a constraint'), ('e', 'bloom filter on u')) v(index_name, advice)")
