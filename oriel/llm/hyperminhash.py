@@ -448,10 +448,15 @@ class _Search:
 
     def conflicts(self, rows: DataFrame, label: str) -> DataFrame:
         """Rows (bucket, rep, comp, n) of buckets that hold several components, with the bucket's size m,
-        the component ``main`` of one of its members, and how many members ``o`` are of others."""
-        held = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("rep", "bucket")).alias("h"))
-        main = held.groupBy("bucket").agg(F.sum("c").alias("m"), F.min(F.struct("h", "comp", "c")).alias("s"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        main = main.where("low <> high").select("bucket", F.col("s.comp").alias("main"), "m", (F.col("m") - F.col("s.c")).alias("o"))
+        the component ``main`` of one of its members, how many members ``o`` are of others, and in how many
+        blocks of bytes the full sets of all (``all_blocks``) and of those others (``other_blocks``) go."""
+        size = F.sum(8 * F.col("n") + 2 * BUCKETS)
+        held = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("rep", "bucket")).alias("h"), size.alias("b"))
+        main = held.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum("b").alias("b"), F.min(F.struct("h", "comp", "c", "b")).alias("s"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        blocks = lambda b: F.ceil(F.greatest(b, F.lit(1)) / BLOCK_BYTES).cast("int")
+        main = main.where("low <> high").select(
+            "bucket", F.col("s.comp").alias("main"), "m", (F.col("m") - F.col("s.c")).alias("o"), blocks(F.col("b")).alias("all_blocks"), blocks(F.col("b") - F.col("s.b")).alias("other_blocks")
+        )
         rows = rows.join(main, "bucket").withColumn("other", F.col("comp") != F.col("main"))
         return self.ws.keep(rows, f"rows-{label}")
 
@@ -523,14 +528,12 @@ class _Search:
         return self.settled(roots, out, "third")
 
     def in_blocks(self, rows: DataFrame, depth: str) -> DataFrame:
-        """Links of crowded buckets that stay alike, from rows (bucket, main, rep, comp, n)."""
+        """Links of crowded buckets that stay alike, from whole buckets of ``conflicts``."""
         ws = self.ws
-        rows = rows.select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("other"), (8 * F.col("n") + 2 * BUCKETS).alias("bytes"))
+        rows = rows.select("bucket", "rep", "comp", (F.col("comp") != F.col("main")).alias("other"), F.col("all_blocks").alias("nx"), F.col("other_blocks").alias("ny"))
         if not rows.limit(1).count():
             return self.src.sparkSession.createDataFrame([], "u long, v long")
-        blocks = lambda b: F.ceil(F.greatest(F.sum(b), F.lit(1)) / BLOCK_BYTES).cast("int")
-        sizes = rows.groupBy("bucket").agg(blocks(F.col("bytes")).alias("nx"), blocks(F.when(F.col("other"), F.col("bytes"))).alias("ny"))
-        rows = ws.keep(rows.drop("bytes").join(sizes, "bucket"), f"crowded-{depth}")
+        rows = ws.keep(rows, f"crowded-{depth}")
         sets = self.sets(ws.keep(rows.select("rep").distinct(), f"members-{depth}"), f"crowded-{depth}")
         facts = sets.join(self.classes.select("rep", "n", "sig"), "rep")
         place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -566,25 +569,28 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
         signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes"
     )
     banded = ws.keep(classes.where(F.col("n") >= rule.least).select("rep", "sig").mapInArrow(_bands, "bucket long, rep long"), "banded")
-    sketch = classes.select("rep", "n", "sig").mapInArrow(_sketch, "rep long, n long, s0 long, s1 long")
-    heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = ws.keep(banded.join(heads, "bucket").join(sketch, "rep"), "shared")
+    sketch = ws.keep(classes.select("rep", "n", "sig").mapInArrow(_sketch, "rep long, n long, s0 long, s1 long"), "sketch")
+    heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = ws.keep(heads, "heads")
+    # a bucket of two is a pair without looking its members up
+    shared = banded.join(heads.where("size > 2").select("bucket", "head"), "bucket").join(classes.select("rep", "n"), "rep")
+    shared = ws.keep(shared, "shared")
     ws.drop("banded")
     search = _Search(ws, rule, src, classes)
 
-    # round 1: every member with the smallest of its bucket
-    # a pair that shares many bands is looked at once
-    first = shared.where("rep = head").select("head", *[F.col(c).alias(f"h_{c}") for c in ("n", "s0", "s1")]).distinct()
+    # round 1: every member with the smallest of its bucket; a pair that shares many bands is looked at once
+    twos = heads.where("size = 2").select("head", F.col("last").alias("rep"))
+    met = twos.unionByName(shared.select("head", "rep")).where("rep <> head").distinct()
+    first = sketch.select(F.col("rep").alias("head"), *[F.col(c).alias(f"h_{c}") for c in ("n", "s0", "s1")])
     bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in ("s0", "s1")), F.lit(0))
     fits = (100 * F.least("n", "h_n") >= rule.percent * F.greatest("n", "h_n")) & (bits <= differing(rule.percent))
-    met = shared.where("rep <> head").select("head", "rep", "n", "s0", "s1").distinct()
-    pairs = met.join(first, "head").where(fits).select(F.col("head").alias("u"), F.col("rep").alias("v"))
+    pairs = met.join(sketch, "rep").join(first, "head").where(fits).select(F.col("head").alias("u"), F.col("rep").alias("v"))
     links = search.confirmed([search.promising(pairs)], "first")
     roots = ws.keep(components(ws, links, "first"), "roots")
 
     # round 2: what its bucket still holds apart
-    roots = search.apart(shared.where("size > 2"), roots)
-    ws.drop("shared")
+    roots = search.apart(shared.select("bucket", "rep", "n"), roots)
+    ws.drop("shared", "heads", "sketch")
 
     found = classes.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n", "key").join(found, "key", "left")
