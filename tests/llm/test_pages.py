@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -257,6 +258,43 @@ def test_few_distinct_vectors_among_thousands(spark, distinct):
         assert [(g.score, g.vec_id) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == want
 
 
+def test_shards_are_bounded_and_long_lists_split(spark):
+    dealt = ann.Shards.deal(np.array([10.0, 10, 950, 10, 40, 60]), 100, 2)
+    assert dealt.parts.tolist() == [1, 1, 10, 1, 1, 1]
+    held = np.zeros(20)
+    for first, parts, n in zip(dealt.first, dealt.parts, (10, 10, 950, 10, 40, 60)):
+        held[first : first + parts] += n / parts
+    assert held.max() <= 101
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (700, 8)).astype(np.float32)[r.integers(0, 700, 3000)]  # copies of most vectors
+    table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = ann.search(table, table.where("vec_id % 100 = 0"), ann.Spann(list_size=100, recall=1.0, shard_bytes=4 * 8 * 40)).collect()
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+        own = sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)
+        assert [g.rank for g in own] == list(range(1, 11)) and all(g.score == d[g.vec_id] for g in own)
+        hits += len({g.vec_id for g in own} & set([i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]))
+    assert hits >= 0.95 * 300
+
+
+def test_a_query_goes_to_a_shard_once(spark, monkeypatch):
+    rows = []
+    probe = ann._probe
+
+    def counted(*args):
+        run = probe(*args)
+        table = pa.table({"q": np.arange(50), "v": pa.array(x[:50].tolist(), pa.list_(pa.float32()))})
+        rows.extend(b.num_rows for b in run(iter(table.to_batches())))
+        return run
+
+    x = np.random.default_rng(4).normal(0, 1, (4000, 16)).astype(np.float32)
+    monkeypatch.setattr(ann, "_probe", counted)
+    table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert ann.search(table, table.where("vec_id % 100 = 0"), ann.Spann(list_size=16, shards=4)).count() == 400
+    assert sum(rows) <= 50 * 5
+
+
 def test_queries_that_want_more_lists_than_the_beam_get_them():
     r = np.random.default_rng(2)
     x = r.normal(0, 1, (3000, 24))
