@@ -17,6 +17,7 @@ Everything that is shuffled is packed in compressed blobs.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import BYTE_CODE, POWERS, Workspace, in_groups, mix64, text_slices
 
 LOW6 = np.uint64(63)
-#: Bytes of input for each bucket of grams and each block of documents.
-BUCKET_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
+#: Bytes of input for each bucket of grams, each part (whole buckets that are sent together) and each block of documents.
+#: What is sent has a blob for each part and block, so these are as large as a task can hold.
+BUCKET_BYTES, PART_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20, 16 << 20
 #: Partitions that the driver keeps track of at most; beyond, each has several buckets or blocks, one after the other.
 MOST_PARTITIONS = 16_384
 #: Bytes that one suffix array is built over, but for a single gram's segments.
@@ -90,13 +92,19 @@ def segments(offsets: np.ndarray, data: np.ndarray, rule: Repeats) -> tuple[np.n
 # blobs: columns of one length, compressed together
 
 
+@functools.cache
+def _coder() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One for all blobs of a process: making one costs more than a small blob does."""
+    return zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+
+
 def pack(*columns: np.ndarray) -> bytes:
     head = np.array([len(columns), len(columns[0]), *(c.dtype.itemsize for c in columns)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(3).compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    return _coder()[0].compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = _coder()[1].decompress(blob)
     _, n = np.frombuffer(raw, "<u4", 2)
     at, out = 4 * (2 + len(kinds)), []
     for kind in kinds:
@@ -119,25 +127,34 @@ def _step_back(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-def _grams(rule: Repeats, buckets: int):
+def _grams(rule: Repeats, parts: int, fine: int):
+    """The segments of runs of batches, dealt by part."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        d, a, n, h = (np.concatenate(c) for c in zip(*held))
+        if not len(d):
+            return
+        keys, blobs, tags = [], [], []
+        for key, r in dealt((h % np.uint64(parts)).astype(np.int64)):
+            tag = (h[r] // np.uint64(parts)).astype("<u8")  # five of its bytes are sent
+            keys.append(key)
+            blobs.append(pack(_step_back(d[r]), a[r], n[r], (tag % np.uint64(fine)).astype("u1")))
+            tags.append(tag.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), pa.array(tags, pa.binary())], names=["bucket", "blob", "tags"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             ids = batch.column("d").to_numpy()
-            held = []
             for first, rows, offsets, data in text_slices(batch, "text"):
                 doc, a, n, h = segments(offsets, data, rule)
                 held.append((ids[first : first + rows][doc], a.astype(np.uint32), n.astype(np.uint8), h))
-            d, a, n, h = (np.concatenate(c) for c in zip(*held)) if held else [np.zeros(0)] * 4
-            if not len(d):
-                continue
-            b = np.uint64(buckets)
-            keys, blobs, tags = [], [], []
-            for key, r in dealt((h % b).astype(np.int64)):
-                tag = (h[r] // b).astype("<u8")  # five of its bytes are sent
-                keys.append(key)
-                blobs.append(pack(_step_back(d[r]), a[r], n[r]))
-                tags.append(tag.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), pa.array(tags, pa.binary())], names=["bucket", "blob", "tags"])
+                size += len(data)
+                if size >= PART_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -149,11 +166,11 @@ def _partners(blocks: int):
         for t in in_groups(batches, ["bucket"]):
             bucket, parts = t.column("bucket")[0].as_py(), []
             for blob, tags in zip(t.column("blob").to_pylist(), t.column("tags").to_pylist()):
-                d, a, w = unpack(blob, "<i8", "<u4", "u1")
+                d, a, w, sub = unpack(blob, "<i8", "<u4", "u1", "u1")
                 tag = np.zeros((len(d), 8), np.uint8)
                 tag[:, :5] = np.frombuffer(tags, np.uint8).reshape(-1, 5)
-                parts.append((np.cumsum(d), a, w, tag.view("<u8").reshape(-1)))
-            d, a, w, tag = (np.concatenate(c) for c in zip(*parts))
+                parts.append((np.cumsum(d), a, w, sub, tag.view("<u8").reshape(-1)))
+            d, a, w, sub, tag = (np.concatenate(c) for c in zip(*parts))
             order = np.argsort(tag, kind="stable")
             head = np.flatnonzero(np.concatenate([[True], np.diff(tag[order]) != 0]))
             sizes = np.diff(np.append(head, len(order)))
@@ -162,11 +179,11 @@ def _partners(blocks: int):
             pick = np.sort(order[good])
             if not len(pick):
                 continue
-            d, a, w = d[pick], a[pick], w[pick]
+            d, a, w, sub = d[pick], a[pick], w[pick], sub[pick]
             keys, blobs = [], []
             for key, r in dealt(block_of(d, blocks)):
                 keys.append(key)
-                blobs.append(pack(d[r], a[r], w[r]))
+                blobs.append(pack(d[r], a[r], w[r], sub[r]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int32()), pa.array([bucket] * len(keys), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "bucket", "blob"]
             )
@@ -212,16 +229,32 @@ def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[
 
 
 def _contents(rule: Repeats):
-    """The bytes of chosen segments, dealt by bucket."""
+    """The bytes of chosen segments, dealt by part, those of a bucket together."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """A blob for each part from (part, document, place, bytes, bucket, ends of bytes, bytes) of several slices, each sorted by part."""
+        keys, heads, raws = [], [], []
+        for key in np.unique(np.concatenate([x[0] for x in held])).tolist():
+            mine, raw = [], []
+            for part, d, a, n, sub, ends, data in held:
+                lo, hi = (int(np.searchsorted(part, key, s)) for s in ("left", "right"))
+                if hi > lo:
+                    mine.append((d[lo:hi], a[lo:hi], n[lo:hi], sub[lo:hi]))
+                    raw.append(data[ends[lo - 1] if lo else 0 : ends[hi - 1]])
+            keys.append(key)
+            heads.append(pack(*(np.concatenate(c) for c in zip(*mine))))
+            raws.append(_coder()[0].compress(b"".join(raw)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(heads, pa.binary()), pa.array(raws, pa.binary())], names=["bucket", "blob", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs, texts in _with_texts(batches):
-            parts = [(*unpack(blob, "<i8", "<u4", "u1"), bucket) for bucket, blob in blobs]
+            parts = [(*unpack(blob, "<i8", "<u4", "u1", "u1"), bucket) for bucket, blob in blobs]
             if parts:
-                d, a, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
-                bucket = np.repeat([p[3] for p in parts], [len(p[0]) for p in parts])
+                d, a, w, sub = (np.concatenate([p[i] for p in parts]) for i in range(4))
+                bucket = np.repeat([p[4] for p in parts], [len(p[0]) for p in parts])
                 order = np.argsort(d, kind="stable")
-                d, a, w, bucket = d[order], a[order].astype(np.int64), w[order].astype(np.int64), bucket[order]
+                d, a, w, sub, bucket = d[order], a[order].astype(np.int64), w[order].astype(np.int64), sub[order], bucket[order]
+            held, size = [], 0
             for batch in texts:
                 if not parts:
                     continue
@@ -233,20 +266,21 @@ def _contents(rule: Repeats):
                         continue
                     pick = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
                     start = np.repeat(offsets[:-1], count) + a[pick]
-                    size = w[pick] + rule.length - 1
-                    fits = start + size <= np.repeat(offsets[1:], count)  # all, unless an id repeats with another text
-                    pick, start, size = pick[fits], start[fits], size[fits]
-                    keys, out = [], []
-                    for key, r in dealt(bucket[pick]):
-                        s, n = start[r], size[r]
-                        take = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
-                        keys.append(key)
-                        head = pack(d[pick][r], a[pick][r].astype("<u4"), n.astype("u1"))
-                        out.append((head, zstandard.ZstdCompressor(3).compress(data[take].tobytes())))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.int32()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())],
-                        names=["bucket", "blob", "bytes"],
-                    )
+                    n = w[pick] + rule.length - 1
+                    fits = start + n <= np.repeat(offsets[1:], count)  # all, unless an id repeats with another text
+                    pick, start, n = pick[fits], start[fits], n[fits]
+                    if not len(pick):
+                        continue
+                    order = np.argsort(bucket[pick], kind="stable")
+                    pick, start, n = pick[order], start[order], n[order]
+                    take = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    held.append((bucket[pick], d[pick], a[pick].astype("<u4"), n.astype("u1"), sub[pick], np.cumsum(n), data[take].tobytes()))
+                    size += len(held[-1][-1])
+                    if size >= 2 * PART_BYTES:
+                        yield from flush(held)
+                        held, size = [], 0
+            if held:
+                yield from flush(held)
 
     return run
 
@@ -358,21 +392,17 @@ class SuffixArray:
                     stack.append([value, start, side])
 
 
-def _removals(rule: Repeats, blocks: int):
-    """Byte ranges that go, by document, from the segments of one bucket."""
+def _removals(rule: Repeats, blocks: int, fine: int):
+    """Byte ranges that go, by document, from the segments of one part, bucket by bucket."""
 
-    def ranges(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def ranges(segments: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         known: dict[bytes, int] = {}
         firsts: list[int] = []
         ids, docs, starts = [], [], []
-        for blob, packed in zip(t.column("blob").to_pylist(), t.column("bytes").to_pylist()):
-            d, a, n = unpack(blob, "<i8", "<u4", "u1")
-            raw = zstandard.ZstdDecompressor().decompress(packed)
-            ends = np.cumsum(n.astype(np.int64)).tolist()
-            own, begin = [], 0
-            for end, doc in zip(ends, d.tolist()):
+        for d, a, n, begins, raw in segments:
+            own = []
+            for begin, end, doc in zip(begins.tolist(), (begins + n).tolist(), d.tolist()):
                 s = raw[begin:end]
-                begin = end
                 i = known.setdefault(s, len(known))
                 if i == len(firsts):
                     firsts.append(doc)
@@ -436,7 +466,17 @@ def _removals(rule: Repeats, blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in in_groups(batches, ["bucket"]):
-            d, a, z = ranges(t)
+            held = []
+            for blob, packed in zip(t.column("blob").to_pylist(), t.column("bytes").to_pylist()):
+                d, a, n, sub = unpack(blob, "<i8", "<u4", "u1", "u1")
+                n = n.astype(np.int64)
+                held.append((d, a, n, np.cumsum(n) - n, sub, _coder()[1].decompress(packed)))
+            gone = []
+            for bucket in range(fine):
+                some = [(d[r], a[r], n[r], begins[r], raw) for d, a, n, begins, sub, raw in held if len(r := np.flatnonzero(sub == bucket))]
+                if some:
+                    gone.append(ranges(some))
+            d, a, z = (np.concatenate(c) for c in zip(*gone)) if gone else (np.zeros(0, np.int64),) * 3
             if not len(d):
                 continue
             keys, blobs = [], []
@@ -490,8 +530,14 @@ def _cut(keep_text: bool):
 
 
 def dealing(size: int) -> tuple[int, int]:
-    """(buckets, blocks) for so many bytes of text: what a task holds at once is one of them, however many its partition has."""
-    return max(48, size // BUCKET_BYTES), max(24, size // BLOCK_BYTES)
+    """(buckets, blocks) for so many bytes of text: what a task holds at once is a part of buckets or a block, however many its partition has."""
+    return max(48, size // BUCKET_BYTES), max(48, size // BLOCK_BYTES)
+
+
+def parts_of(buckets: int) -> tuple[int, int]:
+    """(parts, buckets in each): up to PART_BYTES in a part, and 48 parts where there are as many buckets."""
+    fine = max(1, min(PART_BYTES // (1 << 20), buckets // 48))
+    return -(-buckets // fine), fine
 
 
 def substring_dedup(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -509,8 +555,9 @@ def substring_dedup(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "d
     # both follow the input, so what a task holds does not
     size = named.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets, blocks = dealing(size)
-    grams = named.where(F.octet_length("text") >= rule.length).mapInArrow(_grams(rule, buckets), "bucket int, blob binary, tags binary")
-    grams = grams.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    parts, fine = parts_of(buckets)
+    grams = named.where(F.octet_length("text") >= rule.length).mapInArrow(_grams(rule, parts, fine), "bucket int, blob binary, tags binary")
+    grams = grams.repartition(min(parts, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
     partners = ws.keep(grams.mapInArrow(_partners(blocks), "block int, bucket int, blob binary"), "partners")
 
     def with_texts(blobs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -523,7 +570,7 @@ def substring_dedup(docs: DataFrame, rule: Repeats = Repeats(), id_col: str = "d
         )
 
     contents = with_texts(partners, named.where(F.octet_length("text") >= rule.length)).mapInArrow(_contents(rule), "bucket int, blob binary, bytes binary")
-    removals = contents.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_removals(rule, blocks), "block int, bucket int, blob binary")
+    removals = contents.repartition(min(parts, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_removals(rule, blocks, fine), "block int, bucket int, blob binary")
     removals = ws.keep(removals, "removals")
     ws.drop("partners")
     schema = "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:bigint,z:bigint>>, kept binary"

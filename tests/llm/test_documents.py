@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -327,3 +328,22 @@ def test_substring_partitions_are_bounded(spark, monkeypatch):
     assert sum(w.n_removed > 0 for w in want) >= 59
     monkeypatch.setattr(substring, "MOST_PARTITIONS", 3)
     assert sorted(substring.substring_dedup(docs).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect()) == want
+
+
+def test_substring_blobs_follow_parts_not_buckets(spark, monkeypatch):
+    """Many buckets are sent in few blobs, and give the rows that few buckets give."""
+    assert substring.parts_of(6000) == (375, 16) and substring.parts_of(48) == (48, 1)
+    r = random.Random(13)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(50, 400))) for _ in range(40)]
+    rows = [(i, "".join(r.choice(passages) + r.choice("xyz") * 3 for _ in range(12))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(substring.substring_dedup(docs).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect())
+    sent = []
+    table = pa.table({"d": [i for i, _ in rows], "text": [t for _, t in rows]})
+    monkeypatch.setattr(substring, "pack", lambda *c, own=substring.pack: sent.append(len(c[0])) or own(*c))
+    for _ in substring._grams(substring.Repeats(), *substring.parts_of(800))(iter(table.to_batches(max_chunksize=30))):
+        pass
+    assert len(sent) <= 50  # not one for each of ten batches and each bucket
+    monkeypatch.undo()
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 1 << 10)
+    assert sorted(substring.substring_dedup(docs).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect()) == want
