@@ -185,18 +185,18 @@ def _bucket_keys(values: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of a document that holds a register."""
+    """A row for each band of a document that holds a register, with the size of its set, so that no bucket looks it up."""
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
             values = np.ascontiguousarray(_signatures(part.column("sig"))).view(np.uint64)
             keys, held = _bucket_keys(values, 0), values != 0
-            rep = np.repeat(part.column("rep").to_numpy(), held.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[held]), pa.array(rep)], names=["bucket", "rep"])
+            rep, n = (np.repeat(part.column(c).to_numpy(), held.sum(1)) for c in ("rep", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[held]), pa.array(rep), pa.array(n)], names=["bucket", "rep", "n"])
 
 
 def _wide_bands(salt: int):
-    """Rows (parent, bucket, rep, comp): the bands that a bucket's members are dealt to again."""
+    """Rows (parent, bucket, rep, comp, n): the bands that a bucket's members are dealt to again."""
     draw = np.random.default_rng(1000 + salt)
     chosen = np.array([draw.choice(BUCKETS, WIDE_ROWS, replace=False) for _ in range(WIDE_BANDS)])
 
@@ -206,12 +206,12 @@ def _wide_bands(salt: int):
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 sig = _signatures(part.column("sig"))[:, chosen]
-                parent, rep, comp = (np.repeat(part.column(c).to_numpy(), WIDE_BANDS) for c in ("bucket", "rep", "comp"))
+                parent, rep, comp, n = (np.repeat(part.column(c).to_numpy(), WIDE_BANDS) for c in ("bucket", "rep", "comp", "n"))
                 with np.errstate(over="ignore"):
                     value = mix64((sig.astype(np.uint64) * weight).sum(2, dtype=np.uint64))
                     keys = mix64(_bucket_keys(value, salt + 1).view(np.uint64).reshape(-1) ^ mix64(parent.view(np.uint64)))
                 held = (sig != 0).any(2).reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (parent, keys.view(np.int64), rep, comp)], names=["parent", "bucket", "rep", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[held]) for x in (parent, keys.view(np.int64), rep, comp, n)], names=["parent", "bucket", "rep", "comp", "n"])
 
     return run
 
@@ -462,11 +462,12 @@ class _Search:
 
     def dealt(self, rows: DataFrame, chosen: Column, once: bool, label: str) -> DataFrame:
         """Candidates between the ``chosen`` rows of a bucket, which are few, and all of its rows, block by block."""
-        rows = rows.withColumn("nx", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
-        all_x = F.explode(F.sequence(F.lit(0), F.col("nx") - 1))
-        mine = rows.select(*COLUMNS, F.lit(False).alias("other"), F.pmod(F.xxhash64("rep"), F.col("nx")).cast("int").alias("x"))
-        out = mine.unionByName(rows.where(chosen).select(*COLUMNS, F.lit(True).alias("other"), all_x.alias("x")))
-        out = self.signed(out).repartition("bucket", "x").sortWithinPartitions("bucket", "x")
+        nx = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+        rows = self.signed(rows.select(*COLUMNS, nx.alias("nx"), chosen.alias("chosen")))  # signed once, then dealt to several blocks
+        own = F.struct(F.lit(False).alias("other"), F.pmod(F.xxhash64("rep"), F.col("nx")).cast("int").alias("x"))
+        every = F.transform(F.sequence(F.lit(0), F.col("nx") - 1), lambda x: F.struct(F.lit(True).alias("other"), x.alias("x")))
+        out = rows.select(*COLUMNS, "sig", F.inline(F.when(F.col("chosen"), F.concat(F.array(own), every)).otherwise(F.array(own))))
+        out = out.repartition("bucket", "x").sortWithinPartitions("bucket", "x")
         return self.ws.keep(out.mapInArrow(_few_apart(self.rule, once), "u long, v long"), label)
 
     def near_pairs(self, rows: DataFrame, label: str) -> list[DataFrame]:
@@ -511,8 +512,8 @@ class _Search:
             if depth == WIDE_ROUNDS:
                 links.append(self.in_blocks(rest, str(depth)))
                 break
-            signed = rest.select("bucket", "rep", "comp").join(self.classes.select("rep", "sig"), "rep")
-            wide = ws.keep(signed.mapInArrow(_wide_bands(depth), "parent long, bucket long, rep long, comp long"), f"wide-{depth}")
+            signed = self.signed(rest.select(*COLUMNS))
+            wide = ws.keep(signed.mapInArrow(_wide_bands(depth), "parent long, bucket long, rep long, comp long, n long"), f"wide-{depth}")
             parts = wide.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
             parts = ws.keep(parts.where("low <> high").drop("low", "high"), f"parts-{depth}")
             left = parts.groupBy("parent").agg(F.sum(F.col("size").cast("double") * (F.col("size") - 1)).alias("left"))
@@ -520,7 +521,7 @@ class _Search:
             dense = ws.keep(dense.where(F.col("left") * THINNING > F.col("m") * F.col("m")).select("parent"), f"dense-{depth}")
             links.append(self.in_blocks(rest.join(dense.withColumnRenamed("parent", "bucket"), "bucket", "left_semi"), str(depth)))
             sparse = parts.join(dense, "parent", "left_anti").select("bucket")
-            rows = self.conflicts(wide.select("bucket", "rep", "comp").join(sparse, "bucket", "left_semi").join(self.classes.select("rep", "n"), "rep"), str(depth))
+            rows = self.conflicts(wide.select(*COLUMNS).join(sparse, "bucket", "left_semi"), str(depth))
             ws.drop(f"wide-{depth}", f"parts-{depth}")
         out = self.confirmed(pairs, "third")
         for x in links:
@@ -537,11 +538,13 @@ class _Search:
         sets = self.sets(ws.keep(rows.select("rep").distinct(), f"members-{depth}"), f"crowded-{depth}")
         facts = sets.join(self.classes.select("rep", "n", "sig"), "rep")
         place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        at = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
+        left, right = F.transform(every("ny"), lambda y: at(0, place("nx"), y)), F.transform(every("nx"), lambda x: at(1, x, place("ny")))
+        # a member meets its set once and is dealt to several blocks then
         dealt = (
-            rows.select("bucket", "rep", "comp", F.lit(0).alias("side"), place("nx").alias("x"), every("ny").alias("y"))
-            .unionByName(rows.where("other").select("bucket", "rep", "comp", F.lit(1).alias("side"), place("ny").alias("y"), every("nx").alias("x")))
-            .join(facts, "rep")
+            rows.join(facts, "rep")
+            .select("bucket", "rep", "comp", "n", "sig", "members", F.inline(F.when(F.col("other"), F.concat(left, right)).otherwise(left)))
             .repartition(F.col("bucket"), F.col("x"), F.col("y"))
             .sortWithinPartitions("bucket", "x", "y")
         )
@@ -568,12 +571,12 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     classes = ws.keep(
         signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes"
     )
-    banded = ws.keep(classes.where(F.col("n") >= rule.least).select("rep", "sig").mapInArrow(_bands, "bucket long, rep long"), "banded")
+    banded = ws.keep(classes.where(F.col("n") >= rule.least).select("rep", "n", "sig").mapInArrow(_bands, "bucket long, rep long, n long"), "banded")
     sketch = ws.keep(classes.select("rep", "n", "sig").mapInArrow(_sketch, "rep long, n long, s0 long, s1 long"), "sketch")
     heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("size > 1")
     heads = ws.keep(heads, "heads")
     # a bucket of two is a pair without looking its members up
-    shared = banded.join(heads.where("size > 2").select("bucket", "head"), "bucket").join(classes.select("rep", "n"), "rep")
+    shared = banded.join(heads.where("size > 2").select("bucket", "head"), "bucket")
     shared = ws.keep(shared, "shared")
     ws.drop("banded")
     search = _Search(ws, rule, src, classes)

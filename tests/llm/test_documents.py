@@ -347,3 +347,14 @@ def test_substring_blobs_follow_parts_not_buckets(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(substring, "BUCKET_BYTES", 1 << 10)
     assert sorted(substring.substring_dedup(docs).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect()) == want
+
+
+def test_bands_carry_the_size_of_the_set():
+    """No member of a bucket has to be joined with its class for it."""
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, 40 + i, dtype=np.uint64)) for i in range(5)]
+    sig = hyperminhash.registers(sets)
+    columns = [pa.array([1, 1, 2, 2, 3]), pa.array(range(10, 15)), pa.array([0, 1, 0, 1, 0]), pa.array([len(x) for x in sets]), pa.array([x.tobytes() for x in sig], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "rep", "comp", "n", "sig"])
+    for run in (hyperminhash._bands, hyperminhash._wide_bands(0)):
+        out = pa.Table.from_batches(run(iter([batch])))
+        assert set(zip(out["rep"].to_pylist(), out["n"].to_pylist())) == {(10 + i, len(x)) for i, x in enumerate(sets)}
