@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.json_patch import Op, json_transform
 from ..operators.model import ANY, CV, Model, Rule
@@ -46,12 +49,30 @@ def cursor_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 # object types
 
 
+def rounded(x: Column, places: int = 2) -> Column:
+    """ROUND of a double as SQL has it: halves of the binary product go away from zero, a negative zero stays one, and what the product overflows is left alone.
+
+    Spark's own rounds the shortest decimal that stands for the double, so it takes 1.005 up to 1.01.
+    """
+    by = float(10**places)
+    up = x * by
+    size, whole = F.abs(up), F.floor(F.abs(up)).cast("double")
+    near = F.when(size < 2.0**52, F.signum(up) * (whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0))).otherwise(up)
+    return F.when(F.abs(near) < math.inf, near / by).otherwise(x)
+
+
+@F.udf(T.StringType(), useArrow=True)
+def two_places(x: float | None) -> str | None:
+    """printf('%.2f'): every digit of the double; Java's stops at 17 and writes a null as text."""
+    return None if x is None else f"{x:.2f}"
+
+
 def parties() -> TypeTree:
     """A party, not instantiable; customers and suppliers under it; customers of one segment, who score differently, under those."""
     tree = TypeTree()
     tree.add("t_party", {"id": "bigint", "name": "string", "balance": "double"}, abstract=True, map_method="score",
-             score=lambda o: F.round(o.balance, 2), label=lambda o: F.concat(o.name, F.lit(" "), F.format_string("%.2f", o.call("score"))))
-    tree.add("t_customer", {"segment": "string"}, "t_party", score=lambda o: F.round(o.balance * 2, 2))
+             score=lambda o: rounded(o.balance), label=lambda o: F.concat(o.name, F.lit(" "), two_places(o.call("score"))))
+    tree.add("t_customer", {"segment": "string"}, "t_party", score=lambda o: rounded(o.balance * 2))
     tree.add("t_builder", {}, "t_customer", score=lambda o: o.above("score") + 1000)
     tree.add("t_supplier", {"nation": "bigint"}, "t_party")
     return tree
