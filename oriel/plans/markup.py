@@ -28,11 +28,18 @@ q("fn_xml_query", f"SELECT c.k, XMLQUERY('/orders/order/@id' PASSING c.doc RETUR
 q("agg_xml_many", "SELECT l_linestatus, l_linenumber, LENGTH(XMLAGG(XMLELEMENT(\"k\", l_orderkey) ORDER BY l_orderkey, l_quantity)) AS n FROM lineitem GROUP BY l_linestatus, l_linenumber", "SELECT l_linestatus, l_linenumber, CAST(SUM(length('<k>' || l_orderkey || '</k>')) AS INTEGER) AS n FROM lineitem GROUP BY l_linestatus, l_linenumber")
 
 
+#: Parts that the customers of a nation are dealt to, each beside all suppliers of the nation: nations are few, and a join on them alone has no more tasks.
+DEALS = 32
+
+
 @made("xml_row_source", "SELECT c_custkey, c_name, s.s_suppkey, s.s_name FROM customer LEFT JOIN supplier s ON s.s_nationkey = c_nationkey AND s.s_suppkey % 2 = 0")
 def xml_row_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of a nation as one document, joined to customers and opened again; customers of nations without any keep a row."""
+    """Suppliers of a nation as documents of up to 10,000 keys, opened once and then joined to customers; customers of nations without any keep a row."""
     s, c = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 2 = 0"), spark.read.parquet(f"{sf_dir}/customer.parquet")
     parts = xml.element("supplier", xml.forest(name=F.col("s_name")), attributes={"key": F.col("s_suppkey")})
-    docs = s.groupBy("s_nationkey").agg(F.listagg(parts, F.lit("")).alias("inner")).select(F.col("s_nationkey").alias("c_nationkey"), xml.element("all", xml.element("in", F.col("inner"))).alias("doc"))
-    out = xml.xml_table(c.join(docs, "c_nationkey", "left"), "doc", "/all/in/supplier", [XmlColumn("s_suppkey", "bigint", "@key"), XmlColumn("s_name", "string", "name")], outer=True)
-    return out.select("c_custkey", "c_name", "s_suppkey", "s_name")
+    docs = s.groupBy("s_nationkey", F.expr("s_suppkey div 10000")).agg(F.listagg(parts, F.lit("")).alias("inner")).select(F.col("s_nationkey").alias("c_nationkey"), xml.element("all", xml.element("in", F.col("inner"))).alias("doc"))
+    opened = xml.xml_table(docs, "doc", "/all/in/supplier", [XmlColumn("s_suppkey", "bigint", "@key"), XmlColumn("s_name", "string", "name")])
+    by = ["c_nationkey", "deal"]
+    suppliers = opened.select("c_nationkey", "s_suppkey", "s_name", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal")).repartition(*by)
+    customers = c.select("*", F.pmod(F.hash("c_custkey"), F.lit(DEALS)).alias("deal")).repartition(*by)
+    return customers.join(suppliers, by, "left").select("c_custkey", "c_name", "s_suppkey", "s_name")

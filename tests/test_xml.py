@@ -3,9 +3,11 @@
 import random
 import xml.etree.ElementTree as ET
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from oriel.engine import Engine
 from oriel.functions import xml
 from oriel.functions.xml import BadPath, XmlColumn
@@ -98,3 +100,18 @@ def test_sql_row_source(e):
     for bad in ("SELECT * FROM t, XMLTABLE('//i' PASSING t.c COLUMNS id INTEGER PATH '@id') x", "SELECT XMLQUERY('/a/b' PASSING c RETURNING CONTENT) AS q FROM t", "SELECT XMLFOREST(a + 1) AS f FROM t"):
         with pytest.raises(UnsupportedSyntax):
             e.sql(bad)
+
+
+def test_documents_are_opened_once_and_then_joined(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS c_custkey, 'C' || i AS c_name, CASE WHEN i % 7 > 0 THEN CAST(i % 5 AS INTEGER) END AS c_nationkey FROM range(300) t(i)) TO '{tmp_path}/customer.parquet'")
+    con.execute(f"COPY (SELECT i * 37 - 3000 AS s_suppkey, CASE WHEN i % 11 > 0 THEN 'S <' || i || '>' END AS s_name, CASE WHEN i % 13 > 0 THEN CAST(i % 3 AS INTEGER) END AS s_nationkey FROM range(1000) t(i)) TO '{tmp_path}/supplier.parquet'")
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = entry.queries()["xml_row_source"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()['xml_row_source']})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+    assert len(want) > 20000 and sum(r[2] is None for r in want) > 100
+    # a document is parsed below the join, not again for each of its nation's customers
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1 and plan.index("Join LeftOuter") < plan.index("from_xml")
